@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact, mixing, ring
+from ledgerloom.llm import exact, langid, mixing, quality, ring
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact.op4_exact_dedup,
+        "op5_quality_resampling": quality.op5_quality_resampling,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op9_language_id": langid.op9_language_id,
         "op10_ring_sharding": ring.op10_ring_sharding,
     }
 
