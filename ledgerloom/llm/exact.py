@@ -50,7 +50,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         second = second.join(read, "id", "left").withColumn("digest", F.when(F.col("same_head") > 1, F.col("whole")))
     second = durable(second.select("id", F.when(F.col("same_head") > 1, F.col("digest")).alias("key"), "digest"))
     groups = second.filter("key is not null").groupBy("key").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
-    out = second.join(groups, "key", "left")
+    # Rows that an earlier round settled have no key: were they joined, all would meet in one task.
+    grouped = second.filter("key is not null").join(groups, "key").select("id", "keep", "size", "digest")
+    alone = second.filter("key is null").select("id", F.lit(None).cast(second.schema["id"].dataType).alias("keep"), F.lit(None).cast("long").alias("size"), "digest")
+    out = grouped.union(alone)
     keep = F.coalesce("keep", "id")
     return out.select(
         F.col("id").alias(id_col),
