@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact, langid, mixing, quality, ring
+from ledgerloom.llm import exact, langid, mixing, quality, ring, secrets
 
 
 def queries() -> dict:
     return {
+        "op3_secret_scan": secrets.op3_secret_scan,
         "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_quality_resampling": quality.op5_quality_resampling,
         "op6_mix_sources": mixing.op6_mix_sources,
