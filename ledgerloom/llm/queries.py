@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact, langid, mixing, quality, ring, secrets
+from ledgerloom.llm import decontam, exact, langid, mixing, pii, quality, ring, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_personal_data": pii.op1_personal_data,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_quality_resampling": quality.op5_quality_resampling,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_decontaminate": decontam.op7_decontaminate,
         "op9_language_id": langid.op9_language_id,
         "op10_ring_sharding": ring.op10_ring_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.OP4_SQL}
+    return {"op4_exact_dedup": exact.OP4_SQL, "op7_decontaminate": decontam.OP7_SQL}
