@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontam, exact, langid, mixing, pii, quality, ring, secrets
+from ledgerloom.llm import decontam, exact, langid, minhash, mixing, pii, quality, ring, secrets
 
 
 def queries() -> dict:
     return {
         "op1_personal_data": pii.op1_personal_data,
+        "op2_near_duplicates": minhash.op2_near_duplicates,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_exact_dedup": exact.op4_exact_dedup,
         "op5_quality_resampling": quality.op5_quality_resampling,

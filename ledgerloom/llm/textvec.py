@@ -87,7 +87,7 @@ def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
     up, down = _powers(1 << max(10, int(len(raw)).bit_length()))
-    sums = np.concatenate(([0], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64))).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
     h = (sums[end] - sums[start]) * down[start]
     return mix64(h + (end - start).astype(np.uint64))
 
