@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontam, exact, langid, minhash, mixing, pii, quality, ring, secrets
+from ledgerloom.llm import decontam, exact, htmltext, langid, minhash, mixing, pii, quality, ring, secrets
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_resampling": quality.op5_quality_resampling,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_decontaminate": decontam.op7_decontaminate,
+        "op8_page_text": htmltext.op8_page_text,
         "op9_language_id": langid.op9_language_id,
         "op10_ring_sharding": ring.op10_ring_sharding,
     }
