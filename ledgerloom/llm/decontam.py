@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACE, durable, small
+from ledgerloom.llm.common import SPACE, durable, let, small
 
 
 def shingles(text: Column, size: int = 5) -> Column:
     """64-bit hashes of all runs of `size` lower-cased words; an empty array for fewer words or null."""
     trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
-    words = F.split(trimmed, SPACE)
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
-    return F.when((F.length(trimmed) > 0) & (F.size(words) >= size), runs).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(words: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
+        return F.when(F.size(words) >= size, found).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.split(trimmed, SPACE), runs)
 
 
 def item_sketches(items: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

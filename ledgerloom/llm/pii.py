@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable, small
+from ledgerloom.llm.common import durable, let, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The formats, with possessive loops where nothing follows them: same matches, no recursion on long runs.
@@ -116,12 +116,15 @@ def find_personal_data(docs: DataFrame, width: int = 60, share: float = 0.75, su
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("th"))
-    spans = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda e: F.struct(
-        F.when(e["kind"].isin("card", "phone"), digits_of(e["value"])).otherwise(F.lower(e["value"])).alias("entity"),
-        F.filter(nearby_terms(F.col("text"), e, width), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))).alias("terms"),
-    ))
-    scanned = durable(spans.select("id", "th", "base", F.when(F.size("base") > 0, near).alias("near")))
+
+    def context(base: Column) -> Column:
+        near = F.transform(base, lambda e: F.struct(
+            F.when(e["kind"].isin("card", "phone"), digits_of(e["value"])).otherwise(F.lower(e["value"])).alias("entity"),
+            F.filter(nearby_terms(F.col("text"), e, width), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))).alias("terms"),
+        ))
+        return F.struct(base.alias("base"), F.when(F.size(base) > 0, near).alias("near"))
+
+    scanned = durable(rows.select("id", "th", let(base_spans(F.col("text")), context).alias("x")).select("id", "th", "x.base", "x.near"))
     near = scanned.filter("near is not null").select("th", F.explode("near").alias("n")).select("th", "n.entity", "n.terms").distinct()
     entities = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = near.select("th", "entity", F.explode("terms").alias("t")).select("th", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
