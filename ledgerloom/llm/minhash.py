@@ -28,7 +28,7 @@ def probminhash(elements: np.ndarray, doc: np.ndarray, weights: np.ndarray, docs
     j = 0
     while len(elements):
         j += 1
-        r = mix64(elements + np.uint64((j * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+        r = mix64(elements + np.uint64((j * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
         t = t - np.log(((r >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weights
         at = doc * m + (mix64(r ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(time, at, t)

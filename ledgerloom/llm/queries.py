@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ledgerloom.llm import decontam, exact, htmltext, langid, minhash, mixing, pii, quality, ring, secrets
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_personal_data": pii.op1_personal_data,
         "op2_near_duplicates": minhash.op2_near_duplicates,
         "op3_secret_scan": secrets.op3_secret_scan,
