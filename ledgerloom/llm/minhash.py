@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
@@ -106,35 +106,64 @@ def components(links: DataFrame) -> DataFrame:
         labels = fresh.select("doc", "label")
 
 
+def compare_with_leaders(buckets: DataFrame, company: DataFrame, sets: DataFrame, leaders: int = 1) -> DataFrame:
+    """(key, doc, leader, j) of each bucket member and its bucket's leaders, the members with the most company; leaders meet those before them."""
+    known = buckets.join(company, "doc").select("key", "doc", (-F.col("c")).alias("c"))
+    if leaders == 1:
+        heads = known.groupBy("key").agg(F.min(F.struct("c", "doc")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("l.c").alias("lc"), F.col("l.doc").alias("leader"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("c", "doc"))
+        heads = known.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", F.col("c").alias("lc"), F.col("doc").alias("leader"))
+    asked = durable(known.join(heads, "key").filter("lc < c or (lc = c and leader < doc)").select("key", "doc", "leader"))
+    pairs = verified(asked.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), sets).groupBy("a", "b").agg(F.max("j").alias("j"))
+    return durable(asked.join(pairs, (F.col("doc") == F.col("a")) & (F.col("leader") == F.col("b"))).select("key", "doc", "leader", "j"))
+
+
+def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, doc): each document under the rarest of its shingles, so many that two similar enough sets must share one.
+
+    Sets of similarity t share at least t*n of either's n shingles, so the n - ceil(t*n) + 1 first of
+    each in one common order meet; the order is rare first, so common passages make no bucket.
+    """
+    flat = durable(sets.select("doc", F.explode("sh").alias("key")))
+    counts = flat.groupBy("key").agg(F.count("*").alias("df"))
+    ordered = flat.join(counts, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("sh"))  # of one document each
+    n = F.size("sh")
+    first = F.slice("sh", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
+    return ordered.select("doc", F.explode(first).alias("x")).filter("x.df > 1").select("x.key", "doc")
+
+
 def near_links(docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) that connect all texts which share a band and are similar enough, directly or through others.
 
     A bucket's members are compared with one leader, the member with the most company in all its
-    buckets; those that fail are compared with a leader of their own, until none is left. So a group
-    of n copies costs n comparisons, not n squared. A member that failed one leader may yet be similar
-    to a follower of that leader: by the triangle inequality of the Jaccard distance only to one far
-    enough off it, and only such pairs whose classes are still apart are compared last.
+    buckets: a group of n copies costs n comparisons, not n squared. Buckets in which some fail (texts
+    that share a common passage fill large ones) are searched again by the exact prefix filter, whose
+    buckets are of rare shingles; there, those that fail are compared with leaders of their own, twice as
+    many each round, until none is left. A member that failed one leader may yet be similar to a follower of that leader: by
+    the triangle inequality of the Jaccard distance only to one far enough off it, and only such pairs
+    whose classes are still apart are compared last.
     """
     buckets = texts.select("doc", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = durable(buckets.join(sizes, "key"))
-    company = members.groupBy("doc").agg(F.sum("n").alias("c"))
-    open_ = durable(members.join(company, "doc").select("key", "doc", "c"))
-    ids = open_.select("doc").distinct().join(texts.select("doc", "th"), "doc")
-    found = docs.select(F.col("doc_id").alias("doc"), F.md5("text").alias("th"), "text").join(small(durable(ids)), ["doc", "th"], "left_semi")
+    company = durable(members.groupBy("doc").agg(F.sum("n").alias("c")))
+    ids = durable(company.select("doc").join(texts.select("doc", "th"), "doc"))
+    found = docs.select(F.col("doc_id").alias("doc"), F.md5("text").alias("th"), "text").join(small(ids), ["doc", "th"], "left_semi")
     sets = durable(found.dropDuplicates(["doc", "th"]).select("doc", shingle_set("text").alias("sh")))
-    spark = docs.sparkSession
-    tried = spark.createDataFrame([], "key long, doc long, leader long, j double")
-    while True:
-        leaders = open_.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "doc")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("l.doc").alias("leader"))
-        asked = durable(open_.join(leaders, "key").filter("doc <> leader"))
-        if asked.limit(1).count() == 0:
-            break
-        pairs = verified(asked.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), sets).groupBy("a", "b").agg(F.max("j").alias("j"))
-        judged = durable(asked.join(pairs, (F.col("doc") == F.col("a")) & (F.col("leader") == F.col("b"))).select("key", "doc", "c", "leader", "j"))
-        tried = tried.union(judged.select("key", "doc", "leader", "j"))
-        open_ = judged.filter(F.col("j") < threshold).select("key", "doc", "c")
-    tried = durable(tried)
+    tried = compare_with_leaders(members.select("key", "doc"), company, sets)
+    failed = tried.filter(F.col("j") < threshold)
+    unsure = members.join(failed.select("key").distinct(), "key", "left_semi").select("doc").distinct()
+    if unsure.limit(1).count():
+        open_ = durable(prefix_buckets(sets.join(unsure, "doc", "left_semi"), threshold))
+        leaders = 1
+        while open_.limit(1).count():
+            judged = compare_with_leaders(open_, company, sets, leaders)
+            tried = tried.union(judged)
+            met = judged.groupBy("key", "doc").agg(F.max("j").alias("j"), F.count("*").alias("met"))
+            open_ = met.filter((F.col("j") < threshold) & (F.col("met") >= leaders)).select("key", "doc")
+            leaders *= 2
+        tried = durable(tried)
     links = tried.filter(F.col("j") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
     far = 1 - threshold
     failed = tried.filter((F.col("j") < threshold) & (1 - F.col("j") <= 2 * far + 1e-9))
@@ -142,11 +171,11 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         return durable(links)
     label = components(links)
     side = lambda name: label.select(F.col("doc").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = failed.join(side("doc"), "doc", "left").join(side("leader"), "leader", "left").filter("coalesce(doc_label, doc) <> coalesce(leader_label, leader)").select("key", "leader", F.col("doc").alias("a"), F.col("j").alias("ja"), F.coalesce("doc_label", "doc").alias("a_label"))
-    followers = tried.filter(F.col("j") >= threshold).join(side("doc"), "doc", "left").select("key", "leader", F.col("doc").alias("b"), F.col("j").alias("jb"))
+    apart = failed.join(side("doc"), "doc", "left").join(side("leader"), "leader", "left").filter("coalesce(doc_label, doc) <> coalesce(leader_label, leader)").select("key", "leader", F.col("doc").alias("a"), F.col("j").alias("ja"))
+    followers = tried.filter(F.col("j") >= threshold).select("key", "leader", F.col("doc").alias("b"), F.col("j").alias("jb"))
     pairs = apart.join(followers, ["key", "leader"]).filter((F.col("jb") <= F.col("ja") + far + 1e-9) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    late = verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b").distinct()
-    return durable(links.union(late).distinct())
+    late = durable(verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b").distinct())
+    return durable(links.union(late).distinct()) if late.limit(1).count() else links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
