@@ -9,10 +9,11 @@ from ledgerloom.llm.common import durable, let, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The formats, with possessive loops where nothing follows them: same matches, no recursion on long runs.
+#: A match can only start where a run does or where the last match ended: said so, long runs take linear time.
 #: A card's run is maximal either way, so runs of fewer than 14 digits need not match at all.
 FORMATS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -101,18 +102,18 @@ def find_personal_data(docs: DataFrame, width: int = 60, share: float = 0.75, su
     """(id, base, spans) for each row of docs: arrays of (start, end, kind, value).
 
     Base spans are the fixed formats. The method adds terms: for a term t near a protected value e,
-    PMI(t;e) = log(N n(t,e) / (n(t) n(e))) over the N distinct texts of the whole corpus says how much
+    PMI(t;e) = log(N n(t,e) / (n(t) n(e))) over the N documents of the whole corpus says how much
     of e's information content IC(e) = log(N / n(e)) the term gives away. A term seen near e in at
     least `support` distinct texts, with PMI >= `share` * IC, discloses e, and is a span wherever it
-    stands near e. n(t,e) counts texts with t within `width` characters of e; n(t) and n(e) count all texts.
+    stands near e. n(t,e) counts documents with t within `width` characters of e; n(t) and n(e) count all documents.
 
     Everything is DataFrame functions. Only narrow rows are shuffled: values, nearby terms and, for
     n(t), the candidate terms' occurrences, aggregated before they meet. Candidates are broadcast up
     to a counted size. A value in a third of all texts is counted with map-side combine and its join
     sides are split by the adaptive skew join.
 
-    Null counts as empty: no spans. Repeated rows get equal spans, and equal texts count once in the
-    statistics. A null id is allowed. Empty input gives an empty result.
+    Null counts as empty: no spans. Repeated rows get equal spans, and equal texts count once towards
+    `support`. A null id is allowed. Empty input gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("th"))
@@ -125,15 +126,16 @@ def find_personal_data(docs: DataFrame, width: int = 60, share: float = 0.75, su
         return F.struct(base.alias("base"), F.when(F.size(base) > 0, near).alias("near"))
 
     scanned = durable(rows.select("id", "th", let(base_spans(F.col("text")), context).alias("x")).select("id", "th", "x.base", "x.near"))
-    near = scanned.filter("near is not null").select("th", F.explode("near").alias("n")).select("th", "n.entity", "n.terms").distinct()
-    entities = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("th", "entity", F.explode("terms").alias("t")).select("th", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    both = pairs.select("term", "entity", "th").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    once = scanned.filter("near is not null").groupBy("th").agg(F.count("*").alias("copies"), F.first("near").alias("near"))
+    near = durable(once.select("th", "copies", F.explode("near").alias("n")).select("th", "copies", "n.entity", "n.terms"))
+    entities = near.select("entity", "th", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    pairs = near.select("th", "copies", "entity", F.explode("terms").alias("t")).select("th", "copies", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    both = pairs.select("term", "entity", "th", "copies").distinct().groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     both = durable(both.join(entities, "entity"))
     wanted = small(both.select("term").distinct())
-    words = rows.select("th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.select("th").distinct().count()
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    total = scanned.count()
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(total)) / F.col("n_e"))
     telling = both.join(terms, "term").filter((content > 0) & (pmi >= share * content)).select("term", "entity")
