@@ -171,9 +171,9 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         return durable(links)
     label = components(links)
     side = lambda name: label.select(F.col("doc").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = failed.join(side("doc"), "doc", "left").join(side("leader"), "leader", "left").filter("coalesce(doc_label, doc) <> coalesce(leader_label, leader)").select("key", "leader", F.col("doc").alias("a"), F.col("j").alias("ja"))
-    followers = tried.filter(F.col("j") >= threshold).select("key", "leader", F.col("doc").alias("b"), F.col("j").alias("jb"))
-    pairs = apart.join(followers, ["key", "leader"]).filter((F.col("jb") <= F.col("ja") + far + 1e-9) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    apart = failed.join(side("doc"), "doc", "left").join(side("leader"), "leader", "left").filter("coalesce(doc_label, doc) <> coalesce(leader_label, leader)").select("leader", F.col("doc").alias("a"), F.col("j").alias("ja")).distinct()
+    followers = tried.filter(F.col("j") >= threshold).select("leader", F.col("doc").alias("b"), F.col("j").alias("jb")).distinct()
+    pairs = apart.join(followers, "leader").filter((F.col("jb") <= F.col("ja") + far + 1e-9) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     late = durable(verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b").distinct())
     return durable(links.union(late).distinct()) if late.limit(1).count() else links
 
