@@ -1,4 +1,4 @@
-"""The pipeline's stages, each on its own input, and the queries' columns."""
+"""The pipeline's stages, each on its own input, and the registered queries."""
 
 import re
 
@@ -8,26 +8,22 @@ from ledgerloom.llm import queries
 DIR = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+def test_run_is_the_stages_in_order(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    names = docs.columns
-    rows = docs.count()
+    names, rows = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, DIR)
+        docs = stage(spark, docs, DIR)
         if name != "shard":
-            assert out.columns == names, name
-        assert 0 < out.count() <= 3 * rows
-    empty = docs.filter("false")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, DIR).count() == 0
+            assert docs.columns == names, name
+        docs = docs.cache()
+        assert 0 < docs.count() <= 3 * rows
+    assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == sorted(map(tuple, docs.collect()))
 
 
-def test_run_is_the_stages_in_order(spark):
-    got = corpus_pipeline.run(spark, DIR)
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+def test_stages_of_no_documents(spark):
+    empty = spark.read.parquet(f"{DIR}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, DIR)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+        assert stage(spark, empty, DIR).count() == 0
 
 
 def test_ten_operators_and_the_pipeline_are_registered():
