@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,9 @@ from ledgerloom.functions import coerce as C
 from ledgerloom.functions import text as T
 from ledgerloom.operators import anomaly, joins, matching, quality, reports, windows, workflow
 from ledgerloom.plans import adapters
-from ledgerloom.plans.adapters import FOLD, VIEWS, sql_category
+from ledgerloom.plans.adapters import FOLD, VIEWS
+from ledgerloom.sources import ofx
+from ledgerloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +32,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def scratch(self) -> str:
+        """A fresh folder in the shared one that spark.checkpoint.dir names; local only where that is unset, as in tests."""
+        return f"{self.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+
     def bank(self) -> DataFrame:
         return adapters.bank_tx(self.spark, self.dir)
 
@@ -241,3 +249,22 @@ _LIMIT = "CASE role WHEN 'operator' THEN 5000 WHEN 'reviewer' THEN 25000 WHEN 'a
 reg("J19_authorize_actions", lambda v: workflow.authorize(_log(v)).select("id", "is_allowed", "deny_reason"), f"SELECT id, NOT coalesce(abs(amount) > {_LIMIT}, false) AS is_allowed, CASE WHEN abs(amount) > {_LIMIT} THEN 'amount over limit' END AS deny_reason FROM {LOG}")
 reg("A28_role_access_summary", lambda v: workflow.role_access_summary(_log(v)), f"SELECT role, NOT coalesce(abs(amount) > {_LIMIT}, false) AS is_allowed, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM {LOG} GROUP BY 1, 2")
 reg("G6_timed_out", lambda v: workflow.timed_out(_log(v), AS_OF).select("id", "state", F.col("age_minutes").cast("long").alias("age_minutes")), f"SELECT id, state, CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(since))) / 60) AS BIGINT) AS age_minutes FROM {LOG} WHERE floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(since))) / 60) > CASE state WHEN 'pending_review' THEN 1440 WHEN 'pending_approval' THEN 2880 WHEN 'on_hold' THEN 10080 END")
+
+# Sources and streams
+reg("S1_ofx_source", lambda v: ofx.statement_rows(ofx.statement_texts(v.bank().filter("description <> ''"))).select("account_id", "transaction_id", F.col("timestamp").cast("date").cast("string").alias("date"), F.col("amount").cast("double").alias("amount"), "description", "transaction_type"),
+    "SELECT account_id, transaction_id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, trim(regexp_replace(trim(description), '^(TED|DOC|PIX|TRANSF|SAQUE|DEPOSITO|COMPRA)\\b(\\s*[-:]\\s*)?', '', 'i')) AS description, transaction_type FROM bank_tx WHERE description <> ''")
+reg("S7_statement_summary", lambda v: ofx.statement_summary(ofx.statement_rows(ofx.statement_texts(v.bank()))),
+    f"SELECT account_id || '/' || strftime(date, '%Y%m') AS path, count(*) AS n, {POS} AS credits, abs({money('sum(CASE WHEN amount <= 0 THEN amount END)')}) AS debits, {NET} AS balance FROM bank_tx GROUP BY 1")
+reg("S6_account_header", lambda v: ofx.account_header(ofx.statement_texts(v.bank())).select("path", "account_id", "bank_id", F.col("balance").cast("double").alias("balance")), f"SELECT account_id || '/' || strftime(date, '%Y%m') AS path, account_id, '104' AS bank_id, {NET} AS balance FROM bank_tx GROUP BY ALL")
+reg("S12_skip_seen_files", lambda v: ofx.skip_seen_files(ofx.statement_texts(v.bank()), ofx.statement_texts(v.bank().filter("account_id like '%1'")).select(F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))).select("path"),
+    "SELECT DISTINCT account_id || '/' || strftime(date, '%Y%m') AS path FROM bank_tx WHERE account_id NOT LIKE '%1'")
+reg("T2_stream_dedup", lambda v: jobs.run_once(jobs.stream_dedup(jobs.events_stream(v.spark, v.dir).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")), ["event_id"]).select("event_id"), v.scratch()), "SELECT event_id FROM events")
+_marks = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{m}')" for m in marks) + f" THEN '{bank}'" for bank, marks in ofx.BANK_MARKS.items())
+reg("S5_identify_bank", lambda v: v.table("documents").select("doc_id", ofx.identify_bank(F.col("text")).alias("bank")), f"SELECT doc_id, CASE {_marks} ELSE 'unknown' END AS bank FROM documents")
+_ITEMS = f"""(SELECT *, CASE WHEN p > 0.5 THEN 0.95 WHEN p > 0.2 THEN 0.8 WHEN p > 0.05 THEN 0.6 WHEN p > 0.01 THEN 0.3 END AS am, CASE WHEN p > 0.5 THEN least(0.95, p * 1.5) WHEN p > 0.2 THEN least(0.8, p * 2) WHEN p > 0.05 THEN least(0.6, p * 5) WHEN p > 0.01 THEN least(0.3, p * 10) END AS a1,
+  CASE WHEN k > 90 THEN least(0.95, k / 365) WHEN k > 30 THEN least(0.8, k / 120) WHEN k > 7 THEN least(0.6, k / 60) WHEN k > 3 THEN least(0.3, k / 30) END AS a2,
+  CASE WHEN {_CONF} THEN 0.5 WHEN bc <> ec AND (bc IN ('outros','transferencia','saque') OR ec IN ('outros','transferencia','saque')) THEN 0.3 END AS a4, CASE WHEN s > 0.3 THEN s END AS a5, {_CONF} AS hard
+  FROM (SELECT *, {PCT} AS p, abs(d - f) AS k, {RISK} AS s FROM (SELECT *, abs(CAST(a AS DOUBLE)) AS x FROM {ENRICHED})))"""
+_W = "coalesce(a1 * CASE WHEN p > 0.5 THEN 1.0 WHEN p > 0.2 THEN 0.8 WHEN p > 0.05 THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a2 * CASE WHEN k > 90 THEN 1.0 WHEN k > 30 THEN 0.8 WHEN k > 7 THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a4 * CASE WHEN hard THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a5 * CASE WHEN s > 0.5 THEN 0.8 ELSE 0.6 END::DOUBLE, 0)"
+reg("D8_overall_severity", lambda v: anomaly.analyze(_enriched(v)).select("id", "n_anomalies", "total", "severity"),
+    f"SELECT id, n_anomalies, round(t, 6) AS total, CASE WHEN round(t, 6) >= 0.95 OR n_anomalies >= 3 THEN 'critical' WHEN round(t, 6) >= 0.8 THEN 'high' WHEN round(t, 6) >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT id, CAST((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT + (a5 IS NOT NULL)::INT AS INTEGER) AS n_anomalies, {_W} AS t FROM {_ITEMS})")
