@@ -268,3 +268,21 @@ _ITEMS = f"""(SELECT *, CASE WHEN p > 0.5 THEN 0.95 WHEN p > 0.2 THEN 0.8 WHEN p
 _W = "coalesce(a1 * CASE WHEN p > 0.5 THEN 1.0 WHEN p > 0.2 THEN 0.8 WHEN p > 0.05 THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a2 * CASE WHEN k > 90 THEN 1.0 WHEN k > 30 THEN 0.8 WHEN k > 7 THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a4 * CASE WHEN hard THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a5 * CASE WHEN s > 0.5 THEN 0.8 ELSE 0.6 END::DOUBLE, 0)"
 reg("D8_overall_severity", lambda v: anomaly.analyze(_enriched(v)).select("id", "n_anomalies", "total", "severity"),
     f"SELECT id, n_anomalies, round(t, 6) AS total, CASE WHEN round(t, 6) >= 0.95 OR n_anomalies >= 3 THEN 'critical' WHEN round(t, 6) >= 0.8 THEN 'high' WHEN round(t, 6) >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT id, CAST((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT + (a5 IS NOT NULL)::INT AS INTEGER) AS n_anomalies, {_W} AS t FROM {_ITEMS})")
+
+# More scalar functions and lookups
+reg("X2_normalize_strict", lambda v: v.bank().select("id", T.normalize_strict(F.concat(F.lit("  "), "description")).alias("n")), f"SELECT id, trim({FOLD.format('description')}) AS n FROM bank_tx")
+_aggressive = f"list_filter(string_split(trim(regexp_replace(regexp_replace({FOLD.format('description')}, '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND NOT list_contains({NOISE_SQL}, w))"
+reg("X4_normalize_aggressive", lambda v: v.bank().select("id", T.normalize_aggressive(F.col("description")).alias("n")), f"SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS n FROM (SELECT id, {_aggressive} AS w FROM bank_tx)")
+reg("X5_normalize_confidence", lambda v: v.bank().filter("description <> ''").select("id", F.round(F.least(F.lit(1.0), 1.2 * T.word_count(T.normalize_standard(F.col("description"))) / T.word_count(F.col("description"))), 6).alias("c")),
+    f"SELECT id, round(least(1.0, 1.2::DOUBLE * len(string_split(n, ' ')) / len(string_split(description, ' '))), 6) AS c FROM (SELECT id, description, {STANDARD} AS n FROM bank_tx WHERE description <> '')")
+reg("X10_parse_date_text", lambda v: v.bank().select("id", C.parse_date_text(F.when(F.col("id") % 2 == 0, F.concat(F.lit("em "), F.date_format("date", "dd.MM.yyyy"), F.lit(" pago"))).otherwise(F.concat(F.lit("vence 99/99/2024 ou "), F.col("date").cast("string")))).cast("string").alias("d")), "SELECT id, CAST(date AS VARCHAR) AS d FROM bank_tx")
+reg("X13_coerce_description", lambda v: v.table("documents").select("doc_id", F.md5(C.coerce_description(F.col("text"))).alias("d")), "SELECT doc_id, md5(substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 500)) AS d FROM documents")
+reg("X16_type_by_sign", lambda v: v.bank().select("id", C.bank_type(F.col("amount")).alias("bank_type"), C.ledger_type(F.col("amount")).alias("ledger_type")), "SELECT id, CASE WHEN amount > 0 THEN 'credit' ELSE 'debit' END AS bank_type, CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS ledger_type FROM bank_tx")
+reg("X21_canonical_category", lambda v: v.bank().select("id", T.canonical_category(F.when(F.col("id") % 2 == 0, F.lit("MULTA")).otherwise(F.col("category"))).alias("c")), "SELECT id, CASE WHEN id % 2 = 0 THEN 'Juros/Multa' ELSE category END AS c FROM bank_tx")
+reg("F2_search_ledger", lambda v: quality.paginate(v.ledger().filter("transaction_type = 'expense' and date between date'2024-02-01' and date'2024-09-30'"), 2, 40).select("id"), "SELECT id FROM ledger WHERE transaction_type = 'expense' AND date BETWEEN DATE '2024-02-01' AND DATE '2024-09-30' ORDER BY date DESC, id LIMIT 40 OFFSET 40")
+reg("F12_adjusted_flag", lambda v: v.recon().select("id", (F.length(F.trim(F.coalesce("anomaly_action", F.lit(" ")))) > 0).alias("was_adjusted")), "SELECT id, length(trim(coalesce(anomaly_action, ' '))) > 0 AS was_adjusted FROM recon")
+reg("J3_existing_pair_lookup", lambda v: v.recon().filter("id % 3 = 0").select("bank_transaction_id", "company_entry_id").join(v.recon().filter("id % 5 = 0").select(F.col("id").alias("record_id"), "bank_transaction_id", "company_entry_id"), ["bank_transaction_id", "company_entry_id"], "left"),
+    "SELECT a.bank_transaction_id, a.company_entry_id, b.id AS record_id FROM recon a LEFT JOIN recon b ON b.id % 5 = 0 AND a.bank_transaction_id = b.bank_transaction_id AND a.company_entry_id = b.company_entry_id WHERE a.id % 3 = 0")
+reg("J6_fetch_duplicates", lambda v: v.ledger().filter("id % 9 = 0").select("date", "amount", "description").distinct().join(v.ledger().select("id", "date", "amount", "description"), ["date", "amount", "description"]).select("id"), "SELECT id FROM ledger l WHERE EXISTS (SELECT 1 FROM ledger s WHERE s.id % 9 = 0 AND s.date = l.date AND s.amount = l.amount AND s.description = l.description)")
+reg("J2_valid_match_filter", lambda v: matching.scored_pairs(v.bank(), v.ledger()).filter(matching.valid(matching.MatchConfig())).select("b_id", "e_id"))
+SQL["J2_valid_match_filter"] = VIEWS.rstrip() + _PAIRS + "SELECT b_id, e_id FROM g WHERE score >= 0.65 AND days <= 30 AND diff <= 0.02 * greatest(ba, ea)"

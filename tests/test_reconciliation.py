@@ -1,9 +1,9 @@
 """Reconciliation operators on literal rows, and each registered query against its SQL on the smallest tables."""
 
 import datetime as dt
-import math
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,7 +86,7 @@ def test_config_is_checked():
 
 
 def plain(x):
-    return "~" if x is None or (isinstance(x, float) and math.isnan(x)) or x != x else repr(round(x, 8)) if isinstance(x, float) else str(x)
+    return "~" if pd.isna(x) else repr(round(x, 8)) if isinstance(x, float) and not x.is_integer() else str(int(x)) if isinstance(x, float) else str(x)
 
 
 @pytest.fixture(scope="module")
