@@ -155,7 +155,11 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     failed = tried.filter(F.col("j") < threshold)
     unsure = members.join(failed.select("key").distinct(), "key", "left_semi").select("doc").distinct()
     if unsure.limit(1).count():
-        open_ = durable(prefix_buckets(sets.join(unsure, "doc", "left_semi"), threshold))
+        label = components(tried.filter(F.col("j") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct())
+        named = durable(prefix_buckets(sets.join(unsure, "doc", "left_semi"), threshold).join(label, "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label")))
+        # A bucket whose members are all connected by now can add nothing.
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        open_ = durable(named.join(mixed, "key", "left_semi").select("key", "doc"))
         leaders = 1
         while open_.limit(1).count():
             judged = compare_with_leaders(open_, company, sets, leaders)
