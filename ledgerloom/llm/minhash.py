@@ -1,4 +1,4 @@
-"""Near-dedup: ProbMinHash signatures of weighted word shingles, banding, exact verification, connected classes."""
+"""Near-dedup: ProbMinHash signatures of word shingle sets, banding, exact verification, connected classes."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ledgerloom.llm.common import durable, modest_batches, small
 from ledgerloom.llm.textvec import mix64, shingle_hashes, word_hashes
 
 #: 32 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.999997, one of 0.3 with 0.08.
+#: This holds as every shingle of a set has weight 1: the signatures' probability Jaccard then is the set Jaccard that decides.
 BANDS, ROWS = 32, 5
 
 
@@ -49,9 +50,9 @@ def band_keys(texts: list[str | None]) -> list[np.ndarray]:
     for i, t in enumerate(texts):
         s = shingle_hashes(word_hashes(t)) if t else np.zeros(0, dtype=np.uint64)
         if len(s):
-            e, n = np.unique(s, return_counts=True)
+            e = np.unique(s)
             parts.append(e)
-            weights.append(1.0 + np.log(n))
+            weights.append(np.ones(len(e)))
             owner.append(np.full(len(e), len(full), dtype=np.int64))
             full.append(i)
     if full:
@@ -187,8 +188,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Equal texts are one node, under the smallest id. Nodes are linked where the Jaccard similarity of
     their sets of five-word shingles (lower-cased; a text of fewer words is one shingle) is at least
-    `threshold`; candidates share a band of their ProbMinHash signatures, whose weights are 1 + log
-    of a shingle's count. A class is what links connect; its id is its smallest doc_id, and that
+    `threshold`; candidates share a band of their ProbMinHash signatures, in which a shingle weighs
+    the same however often a text repeats it. A class is what links connect; its id is its smallest doc_id, and that
     document is kept. Texts are shuffled once at most, and of bucket members only; what else moves
     are ids and keys. A hot bucket costs one comparison a member.
 

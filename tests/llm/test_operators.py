@@ -234,6 +234,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_near_duplicates_with_a_line_repeated_in_one_copy(spark):
+    """100 shared shingles, and 15 more of a line that one copy repeats 100 or 1000 times: set Jaccard about 0.87."""
+    rng = random.Random(8)
+    texts = []
+    for times in (100, 1000):
+        for _ in range(30):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+            line = [f"w{rng.randrange(10**9)}" for _ in range(11)]
+            texts += [" ".join(words), " ".join(words + line * times)]
+    want = brute_classes(texts)
+    assert want == [i - i % 2 for i in range(len(texts))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_chain_through_a_follower_is_not_lost(spark):
     rng = random.Random(5)
     base = sentence(rng, 200).split()
