@@ -21,7 +21,11 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 #: A maximal run of 32 or more is the same as a maximal run that has 32 or more.
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9_-]{20,}")
+#: Runs of the base64 alphabets and the dot; `=` only as padding, else it parts a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/._-]{14,}={0,2}")
+#: A run that isn't likely as a whole is scored again in the pieces between these.
+PARTS = (re.compile(r"[^.]+"), re.compile(r"[^./+=]+"))
+SHORTEST = 16
 DIGIT = re.compile(r"[0-9]")
 END = ""
 
@@ -38,12 +42,21 @@ def labelled_credentials(each: int = 60, seed: int = 7) -> tuple[list[str], list
     body = lambda n: "".join(rng.choice(mixed) for _ in range(n))
     layouts = [("ghp_", 36), ("sk_live_", 24), ("npm_", 36), ("glpat-", 20), ("AIza", 35), ("xoxb-", 24), ("hf_", 34), ("", 32), ("", 40), ("", 24)]
     secret = [head + body(n) for head, n in layouts for _ in range(each)]
+    base64 = lambda n: "".join(rng.choice(mixed + "+/") for _ in range(n))
+    for _ in range(each):
+        secret += [body(16), body(18), base64(40), base64(40), base64(22) + "==", base64(43) + "=", base64(64), "eyJ" + body(17) + "." + body(40) + "." + body(43)]
     parts = "the of and tion ing er an on st re ha en ed nd ou th ment que eau sch ung keit".split()
     word = lambda n: "".join(rng.choice(parts) for _ in range(n))
     plain = []
     for _ in range(each * 4):
         plain += [word(9), word(5) + "-" + word(5), word(4) + "_" + word(3) + "_" + str(rng.randrange(100)), word(8) + str(rng.randrange(10_000)), str(rng.randrange(10**21, 10**22))]
         plain += [f"{rng.randrange(1990, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}-{word(6)}", word(8).capitalize() + word(1).upper()]
+    camel = lambda n: "".join(word(2).capitalize() for _ in range(n))
+    for _ in range(each * 2):
+        year, top = str(rng.randrange(1990, 2030)), rng.choice(("com", "org", "net"))
+        plain += [f"src/{word(2)}/{word(3)}/{word(3)}_{rng.randrange(100)}.py", f"//www.{word(3)}.{top}/{word(2)}/{year}/{rng.randrange(1, 13):02}/{word(2)}-{word(3)}.html", f"/usr/{word(2)}/{word(2)}{rng.randrange(10)}/{word(3)}"]
+        plain += [f"{word(4)}.{word(3)}.{word(3)}", f"{word(4)}-{rng.randrange(10)}.{rng.randrange(20)}.{rng.randrange(10)}.tar.gz", f"{word(4)}.{word(4).capitalize()}", f"{word(3)}/{word(3)}+{word(3)}", camel(4), f"{camel(3)}.{word(3)}{camel(1)}", f"{word(3)}{camel(2)}{rng.randrange(100)}"]
+        plain += ["".join(rng.choice("0123456789") for _ in range(rng.randrange(16, 40))), word(12).upper(), f"{word(3).upper()}_{word(4).upper()}_{rng.randrange(10)}", f"{word(3)}_{word(3)}{year}", f"//{word(4)}.{top}/{camel(2)}/{year}", f"{word(rng.randrange(1, 3))}{rng.randrange(20)}.{word(rng.randrange(2, 5))}.{top}"]
     return secret, plain
 
 
@@ -148,14 +161,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def method_spans(text: str, base: list[tuple[int, int, str]], model: SecretModel) -> list[tuple[int, int, str]]:
-    """Every token with a digit and a letter, outside base spans, that the automaton finds likely to be a credential."""
-    if not DIGIT.search(text):
-        return []
+    """Every token outside base spans that the automaton finds likely to be a credential: a whole run, else its pieces between dots, else those between all signs."""
     found = []
+
+    def search(start: int, end: int, depth: int) -> None:
+        while start < end and text[start] == ".":
+            start += 1
+        while start < end and text[end - 1] == ".":
+            end -= 1
+        if end - start < SHORTEST:
+            return
+        if not any(s < end and start < e for s, e, _ in base) and model.likely(text[start:end]):
+            found.append((start, end, "token"))
+        elif depth < len(PARTS):
+            for m in PARTS[depth].finditer(text, start, end):
+                search(m.start(), m.end(), depth + 1)
+
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if DIGIT.search(token) and any(c.isalpha() for c in token) and not any(s < m.end() and m.start() < e for s, e, _ in base) and model.likely(token):
-            found.append((m.start(), m.end(), "token"))
+        search(m.start(), m.end(), 0)
     return found
 
 

@@ -190,6 +190,17 @@ def test_secret_model_tells_held_out_credentials():
     assert sum(map(model.likely, plain)) <= 0.01 * len(plain)
 
 
+def test_secret_scan_of_base64_and_short_keys(spark):
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zx8Qw3Rt5Yp1Lm7Kb", "aB3dE6gH9jK2mN5p", "q7Rk2+Zt9/Lx4Vb8Nc1Ws6==", "hJ4kL9mQ2.ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
+    plain = ["see //www.therein.com/tion/2020/07/ment-queau.html", "in src/thement/quetheer/stonthe_12.py", "at mail5.example.com", "class TheMentQueAuThere", "12345678901234567", "the end.Therefore we"]
+    texts = [f"key={keys[0]}.", f"bare {keys[1]} x", keys[2], f"({keys[3]})", keys[4], *plain]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert [got[i] for i in range(4)] == [[k] for k in keys[:4]]
+    assert len(got[4]) == 1 and "16C7e42F292c6912E7710c838347Ae178B4a" in got[4][0]
+    assert not any(got[i] for i in range(5, len(texts)))
+
+
 def brute_classes(texts):
     sets = []
     for t in texts:
