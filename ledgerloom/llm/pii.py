@@ -23,7 +23,7 @@ TERM = r"[\p{L}\p{M}]{3,}+"
 SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
+def matches(text: Column, pattern: str | Column, kind: str) -> Column:
     """All leftmost non-overlapping matches with code point offsets: the lengths of pieces between and of matches, summed up."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
 
@@ -83,34 +83,39 @@ def base_spans(text: Column) -> Column:
     return in_order(F.concat(*parts))
 
 
-def nearby_terms(text: Column, span: Column, width: int) -> Column:
-    """Whole words of letters within `width` characters before or after a span, with offsets in the text.
+def outside(text: Column, base: Column) -> Column:
+    """What stands between the spans; letters that run into a span go, as part of it."""
+    n = F.size(base)
+
+    def piece(i: Column) -> Column:
+        low = F.when(i == 0, 0).otherwise(F.array_max(F.transform(F.slice(base, F.lit(1), i), lambda x: x["end"])))
+        high = F.when(i == n, F.length(text)).otherwise(F.try_element_at(base, i + 1)["start"])
+        before = F.when(i == 0, " ").otherwise(F.substring(text, low, F.lit(1)))
+        after = F.when(i == n, " ").otherwise(F.substring(text, high + 1, F.lit(1)))
+        cut = F.concat(before, F.substring(text, low + 1, F.greatest(high - low, F.lit(0))), after)
+        return F.regexp_replace(cut, r"^[\p{L}\p{M}]++|(?<![\p{L}\p{M}])[\p{L}\p{M}]++$", "")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), " ")
 
-    A word that the window cuts is left out unless the text ends there.
-    """
-    low = F.greatest(span["start"] - width, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(width))
-    high = span["end"] + F.length(right)
-    before = F.filter(matches(left, TERM, "term"), lambda x: (x["start"] > 0) | (low == 0))
-    after = F.filter(matches(right, TERM, "term"), lambda x: (x["end"] + span["end"] < high) | (high >= F.length(text)))
-    moved = lambda xs, by: F.transform(xs, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lit("term").alias("kind"), F.lower(x["value"]).alias("value")))
-    return F.concat(moved(before, low), moved(after, span["end"]))
 
+def words_of(text: Column) -> Column:
+    """The distinct terms of a text, as written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
-def find_personal_data(docs: DataFrame, width: int = 60, share: float = 0.75, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def find_personal_data(docs: DataFrame, share: float = 0.75, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) for each row of docs: arrays of (start, end, kind, value).
 
-    Base spans are the fixed formats. The method adds terms: for a term t near a protected value e,
-    PMI(t;e) = log(N n(t,e) / (n(t) n(e))) over the N documents of the whole corpus says how much
-    of e's information content IC(e) = log(N / n(e)) the term gives away. A term seen near e in at
-    least `support` distinct texts, with PMI >= `share` * IC, discloses e, and is a span wherever it
-    stands near e. n(t,e) counts documents with t within `width` characters of e; n(t) and n(e) count all documents.
+    Base spans are the fixed formats. The method adds terms: for a term t in one document with a protected
+    value e, PMI(t;e) = log(N n(t,e) / (n(t) n(e))) over the N documents of the whole corpus says how much
+    of e's information content IC(e) = log(N / n(e)) the term gives away. A term seen with e, outside
+    base spans, in at least `support` distinct texts, with PMI >= `share` * IC, discloses e, and each of its
+    occurrences outside base spans is a span, in every document, with e or without. All counts are of whole documents.
 
-    Everything is DataFrame functions. Only narrow rows are shuffled: values, nearby terms and, for
-    n(t), the candidate terms' occurrences, aggregated before they meet. Candidates are broadcast up
-    to a counted size. A value in a third of all texts is counted with map-side combine and its join
-    sides are split by the adaptive skew join.
+    Everything is DataFrame functions. Narrow rows are shuffled: values, terms of texts that hold a value which
+    other texts hold too, and candidate terms' occurrences, aggregated before they meet. A term in so many documents
+    that its PMI can't reach the share with any count is left out before terms meet values. Sides are broadcast up
+    to a counted size.
 
     Null counts as empty: no spans. Repeated rows get equal spans, and equal texts count once towards
     `support`. A null id is allowed. Empty input gives an empty result.
@@ -119,30 +124,37 @@ def find_personal_data(docs: DataFrame, width: int = 60, share: float = 0.75, su
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("th"))
 
     def context(base: Column) -> Column:
-        near = F.transform(base, lambda e: F.struct(
-            F.when(e["kind"].isin("card", "phone"), digits_of(e["value"])).otherwise(F.lower(e["value"])).alias("entity"),
-            F.filter(nearby_terms(F.col("text"), e, width), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))).alias("terms"),
-        ))
-        return F.struct(base.alias("base"), F.when(F.size(base) > 0, near).alias("near"))
-
-    scanned = durable(rows.select("id", "th", let(base_spans(F.col("text")), context).alias("x")).select("id", "th", "x.base", "x.near"))
-    once = scanned.filter("near is not null").groupBy("th").agg(F.count("*").alias("copies"), F.first("near").alias("near"))
-    near = durable(once.select("th", "copies", F.explode("near").alias("n")).select("th", "copies", "n.entity", "n.terms"))
-    entities = near.select("entity", "th", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    pairs = near.select("th", "copies", "entity", F.explode("terms").alias("t")).select("th", "copies", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    both = pairs.select("term", "entity", "th", "copies").distinct().groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    both = durable(both.join(entities, "entity"))
-    wanted = small(both.select("term").distinct())
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        entity = F.transform(base, lambda e: F.when(e["kind"].isin("card", "phone"), digits_of(e["value"])).otherwise(F.lower(e["value"])))
+        terms = F.array_distinct(F.transform(words_of(outside(F.col("text"), base)), lambda w: F.lower(w)))
+        return F.struct(base.alias("base"), F.when(F.size(base) > 0, F.array_distinct(entity)).alias("entities"), F.when(F.size(base) > 0, terms).alias("terms"))
+
+    scanned = durable(rows.select("id", "th", let(base_spans(F.col("text")), context).alias("x")).select("id", "th", "x.base", "x.entities", "x.terms"))
     total = scanned.count()
+    holders = scanned.filter("entities is not null")
+    copies = holders.groupBy("th").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
+    held = durable(copies.select("th", "copies", F.explode("entities").alias("entity")))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "n_e")
+    held = durable(held.join(entities, "entity"))
+    terms = holders.select("th", F.explode("terms").alias("term")).distinct().join(held.select("th").distinct(), "th", "left_semi")
+    terms = durable(terms)
+    wanted = small(durable(terms.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support).select("term")))
+    words = rows.select(F.explode(F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.lower(w)))).alias("term"))
+    known = durable(words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
+    # n(t,e) <= n(e), so PMI >= share * IC asks for n(t) <= n(e) * (N / n(e)) ** (1 - share).
+    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - share)) * 1.000001
+    pairs = terms.join(known, "term").join(held, "th").filter(F.col("n_t") <= most)
+    both = pairs.groupBy("term", "entity", "n_t", "n_e").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(total)) / F.col("n_e"))
-    telling = both.join(terms, "term").filter((content > 0) & (pmi >= share * content)).select("term", "entity")
-    added = pairs.join(telling, ["term", "entity"]).select("th", F.struct("start", "end", F.lit("term").alias("kind"), F.col("term").alias("value")).alias("span")).distinct()
-    added = durable(added.groupBy("th").agg(F.collect_list("span").alias("more")))  # of one text each
-    out = scanned.join(added, "th", "left")
-    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(in_order(F.concat("base", "more")))
+    telling = small(durable(both.filter((content > 0) & (pmi >= share * content)).select("term").distinct()))
+    spoken = rows.select("th", F.explode(words_of(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
+    found = small(durable(spoken.join(telling, "term", "left_semi").groupBy("th").agg(F.collect_set("word").alias("words"))))  # of one text each
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    at = F.transform(matches(F.col("text"), pattern, "term"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lower(x["value"]).alias("value")))
+    added = rows.join(found, "th").select("th", at.alias("more")).dropDuplicates(["th"])
+    more = F.filter("more", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    out = scanned.join(durable(added), "th", "left")
+    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(in_order(F.concat(F.col("base"), more)))
     return out.select(F.col("id").alias(id_col), "base", every.alias("spans"))
 
 
