@@ -34,6 +34,39 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Durable tables of one operator's run: save() writes them, clear() deletes those whose readers are done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/ledgerloom-{uuid.uuid4().hex}", 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, hot: int = 50_000) -> DataFrame:
+    """rows inner-joined on `key` with groups, one row per key that says in `count` how many of `total` rows it has.
+
+    A key with over 1/hot of all rows is met by broadcast: there are fewer than `hot` such keys,
+    whatever the input. The rest is a shuffled join in which no key has more than that share, so a
+    key with a third of all rows stays spread over all tasks. Pass tables that are cheap to read, as both are read twice.
+    """
+    least = max(1_000, total // hot)
+    rare = groups.filter(F.col(count) <= least)
+    if total <= least:
+        return rows.join(rare, key)
+    often = groups.filter(F.col(count) > least)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(rest.join(rare, key))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (counted), else unchanged: Spark then shuffles the join.
 
@@ -46,10 +79,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of few rows, so that long texts don't fill a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def modest_batches(spark: SparkSession, rows: int = 1024, size: int = 32 << 20) -> None:
+    """Arrow batches of few rows and bytes for the rest of the session, so that long texts don't fill a worker's memory."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        set_ = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if set_ is None or not 0 < int(set_.rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from ledgerloom.llm.common import durable, modest_batches, small
+from ledgerloom.llm.common import Scratch, durable, join_counted, modest_batches, small
 from ledgerloom.llm.textvec import mix64, shingle_hashes, word_hashes
 
 #: 32 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.999997, one of 0.3 with 0.08.
@@ -84,143 +84,159 @@ def shingle_set(texts: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact Jaccard similarity `j` on shingle sets."""
+    """pairs (a, b) with their exact Jaccard similarity `j` on shingle sets, the largest where an id has several texts."""
     x = sets.select(F.col("doc").alias("a"), F.col("sh").alias("sa"))
     y = sets.select(F.col("doc").alias("b"), F.col("sh").alias("sb"))
     both = pairs.join(x, "a").join(y, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("j"))
+    judged = both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("j"))
+    return judged.groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, label) of all ends of links (a, b): the smallest id that links lead to. Rounds of least neighbour label,
     then the label of the label, until nothing changes; each round is a durable table."""
-    edges = durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    edges = scratch.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.save(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("least"))
         step = labels.join(near, "doc").select("doc", F.least("label", "least").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("doc").alias("label"), F.col("label").alias("further"))
-        fresh = durable(step.join(jump, "label", "left").select("doc", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        fresh = scratch.save(step.join(jump, "label", "left").select("doc", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
         if fresh.filter("label <> old").limit(1).count() == 0:
             return fresh.select("doc", "label")
         labels = fresh.select("doc", "label")
 
 
-def compare_with_leaders(buckets: DataFrame, company: DataFrame, sets: DataFrame, leaders: int = 1) -> DataFrame:
-    """(key, doc, leader, j) of each bucket member and its bucket's leaders, the members with the most company; leaders meet those before them."""
-    known = buckets.join(company, "doc").select("key", "doc", (-F.col("c")).alias("c"))
-    if leaders == 1:
-        heads = known.groupBy("key").agg(F.min(F.struct("c", "doc")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("l.c").alias("lc"), F.col("l.doc").alias("leader"))
-    else:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("c", "doc"))
-        heads = known.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", F.col("c").alias("lc"), F.col("doc").alias("leader"))
-    asked = durable(known.join(heads, "key").filter("lc < c or (lc = c and leader < doc)").select("key", "doc", "leader"))
-    pairs = verified(asked.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), sets).groupBy("a", "b").agg(F.max("j").alias("j"))
-    return durable(asked.join(pairs, (F.col("doc") == F.col("a")) & (F.col("leader") == F.col("b"))).select("key", "doc", "leader", "j"))
+def compare_with_leaders(members: DataFrame, company: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, doc, leader, j) of each bucket member but the leader: its similarity to its bucket's leader, the member with the most company."""
+    known = scratch.save(members.join(company, "doc").select("key", "doc", (-F.col("c")).alias("c")))
+    heads = scratch.save(known.groupBy("key").agg(F.min(F.struct("c", "doc")).alias("l"), F.count("*").alias("n")).select("key", F.col("l.doc").alias("leader"), "n"))
+    asked = scratch.save(join_counted(known, heads, "key", "n", known.count()).filter("doc <> leader").select("key", "doc", "leader"))
+    pairs = scratch.save(verified(asked.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), sets))
+    return scratch.save(asked.join(pairs, (F.col("doc") == F.col("a")) & (F.col("leader") == F.col("b"))).select("key", "doc", "leader", "j"))
 
 
-def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, doc): each document under the rarest of its shingles, so many that two similar enough sets must share one.
+def prefix_rows(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(key, doc, n, p): the shingles under which a document can meet one similar enough, rarest first.
 
-    Sets of similarity t share at least t*n of either's n shingles, so the n - ceil(t*n) + 1 first of
-    each in one common order meet; the order is rare first, so common passages make no bucket.
+    n is the size of the document's set and p the shingle's place in it, in one order for all
+    documents, by how many have it. Of two sets of similarity t or more, the first shingle that both
+    have leaves n - p + 1 >= t*n places in either: what stands later is no key. Shingles of one document
+    only stand first and are no key at all, so a document with more than 1 - t of its shingles to itself has none.
     """
-    flat = durable(sets.select("doc", F.explode("sh").alias("key")))
-    counts = flat.groupBy("key").agg(F.count("*").alias("df"))
-    ordered = flat.join(counts, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("sh"))  # of one document each
-    n = F.size("sh")
-    first = F.slice("sh", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-    return ordered.select("doc", F.explode(first).alias("x")).filter("x.df > 1").select("x.key", "doc")
-
-
-def near_links(docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) that connect all texts which share a band and are similar enough, directly or through others.
-
-    A bucket's members are compared with one leader, the member with the most company in all its
-    buckets: a group of n copies costs n comparisons, not n squared. Buckets in which some fail (texts
-    that share a common passage fill large ones) are searched again by the exact prefix filter, whose
-    buckets are of rare shingles; there, those that fail are compared with leaders of their own, twice as
-    many each round, until none is left. A member that failed one leader may yet be similar to a follower of that leader: by
-    the triangle inequality of the Jaccard distance only to one far enough off it, and only such pairs
-    whose classes are still apart are compared last.
+    numbered = sets.select("doc", F.monotonically_increasing_id().alias("set"), F.size("sh").alias("n"), "sh")
+    flat = scratch.save(numbered.select("doc", "set", "n", F.explode("sh").alias("key")))
+    counts = scratch.save(flat.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = join_counted(flat, counts, "key", "df", flat.count())
+    ordered = shared.groupBy("doc", "set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("x"))  # of one text each
+    place = ordered.select("doc", "n", (F.col("n") - F.size("x")).alias("alone"), F.posexplode(F.transform("x", lambda y: y["key"])).alias("at", "key"))
+    return place.select("key", "doc", "n", (F.col("alone") + F.col("at") + 1).alias("p")).filter(F.col("n") - F.col("p") + 1 >= F.lit(threshold) * F.col("n") - 1e-9)
+
+
+def links_between_classes(sets: DataFrame, label: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of all pairs of sets similar enough that have different labels.
+
+    Two sets meet under the keys of prefix_rows. Under the first key that both have, they share at most
+    n - p + 1 shingles on either side, and similarity t asks for t/(1+t) of both sizes: pairs whose places
+    and sizes can't do that are never made. In each bucket, rows of its largest class ask no one, as
+    every pair of classes has another side; those that ask first meet the (n, p) that the bucket holds, counted
+    out before, and then only rows of those that can do. So a bucket of n copies and few others makes few
+    pairs, whatever n is, and none is lost.
+    """
+    rows = prefix_rows(sets, threshold, scratch).join(label, "doc", "left").select("key", "doc", "n", "p", F.coalesce("label", "doc").alias("label"))
+    rows = scratch.save(rows)
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("classes"), F.sum("c").alias("rows"))
+    mixed = scratch.save(parts.filter("classes > 1").select("key", F.col("most.label").alias("home"), "rows"))
+    known = scratch.save(join_counted(rows, mixed, "key", "rows", rows.count()).select("key", "doc", "n", "p", "label", (F.col("label") == F.col("home")).alias("at_home")))
+    asking = known.filter(~F.col("at_home")).select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("label").alias("la"))
+    cells = known.groupBy("key", "n", "p").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("n")) - 1e-9
+    fits = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("p")) + 1 >= need
+    able = scratch.save(asking.join(cells, "key").filter(fits & ((F.col("low") != F.col("la")) | (F.col("high") != F.col("la")))).select("key", "a", "la", "n", "p"))
+    met = able.join(known, ["key", "n", "p"]).filter((F.col("label") != F.col("la")) & (F.col("at_home") | (F.col("a") < F.col("doc"))))
+    pairs = scratch.save(met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct())
+    return scratch.save(verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b"))
+
+
+def near_classes(docs: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(doc, label) of all texts that verified links connect, the label being the smallest doc of a class.
+
+    A band bucket's members are compared with one leader, the member with the most company in all its
+    buckets: a group of n copies costs n comparisons, not n squared. Where all of a bucket pass, they are
+    connected. The members of buckets in which some fail (texts that share a passage fill large ones) are
+    searched once more, by exact prefixes, for all links between classes that are still apart.
     """
     buckets = texts.select("doc", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = durable(buckets.join(sizes, "key"))
-    company = durable(members.groupBy("doc").agg(F.sum("n").alias("c")))
-    ids = durable(company.select("doc").join(texts.select("doc", "th"), "doc"))
+    members = scratch.save(join_counted(buckets, scratch.save(sizes), "key", "n", texts.count() * BANDS))
+    company = scratch.save(members.groupBy("doc").agg(F.sum("n").alias("c")))
+    ids = scratch.save(company.select("doc").join(texts.select("doc", "th"), "doc"))
     found = docs.select(F.col("doc_id").alias("doc"), F.md5("text").alias("th"), "text").join(small(ids), ["doc", "th"], "left_semi")
-    sets = durable(found.dropDuplicates(["doc", "th"]).select("doc", shingle_set("text").alias("sh")))
-    tried = compare_with_leaders(members.select("key", "doc"), company, sets)
-    failed = tried.filter(F.col("j") < threshold)
-    unsure = members.join(failed.select("key").distinct(), "key", "left_semi").select("doc").distinct()
-    if unsure.limit(1).count():
-        label = components(tried.filter(F.col("j") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct())
-        named = durable(prefix_buckets(sets.join(unsure, "doc", "left_semi"), threshold).join(label, "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label")))
-        # A bucket whose members are all connected by now can add nothing.
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        open_ = durable(named.join(mixed, "key", "left_semi").select("key", "doc"))
-        leaders = 1
-        while open_.limit(1).count():
-            judged = compare_with_leaders(open_, company, sets, leaders)
-            tried = tried.union(judged)
-            met = judged.groupBy("key", "doc").agg(F.max("j").alias("j"), F.count("*").alias("met"))
-            open_ = met.filter((F.col("j") < threshold) & (F.col("met") >= leaders)).select("key", "doc")
-            leaders *= 2
-        tried = durable(tried)
-    links = tried.filter(F.col("j") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    far = 1 - threshold
-    failed = tried.filter((F.col("j") < threshold) & (1 - F.col("j") <= 2 * far + 1e-9))
-    if failed.limit(1).count() == 0:
-        return durable(links)
-    label = components(links)
-    side = lambda name: label.select(F.col("doc").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = failed.join(side("doc"), "doc", "left").join(side("leader"), "leader", "left").filter("coalesce(doc_label, doc) <> coalesce(leader_label, leader)").select("leader", F.col("doc").alias("a"), F.col("j").alias("ja")).distinct()
-    followers = tried.filter(F.col("j") >= threshold).select("leader", F.col("doc").alias("b"), F.col("j").alias("jb")).distinct()
-    pairs = apart.join(followers, "leader").filter((F.col("jb") <= F.col("ja") + far + 1e-9) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    late = durable(verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b").distinct())
-    return durable(links.union(late).distinct()) if late.limit(1).count() else links
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) for each row of docs (doc_id, text).
+    sets = scratch.save(found.select("doc", "th", shingle_set("text").alias("sh")).dropDuplicates(["doc", "th"]).select("doc", "sh"))
+    tried = compare_with_leaders(members.select("key", "doc"), company, sets, scratch)
+    label = components(tried.filter(F.col("j") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), scratch)
+    failed = tried.filter(F.col("j") < threshold).select("key").distinct()
+    unsure = scratch.save(members.join(failed, "key", "left_semi").select("doc").distinct())
+    if unsure.limit(1).count() == 0:
+        return label
+    late = links_between_classes(scratch.save(sets.join(unsure, "doc", "left_semi")), label, threshold, scratch)
+    if late.limit(1).count() == 0:
+        return label
+    side = lambda end: label.select(F.col("doc").alias(end), F.col("label").alias(f"label_{end}"))
+    named = late.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    merged = components(named.distinct(), scratch).select(F.col("doc").alias("label"), F.col("label").alias("whole"))
+    alone = late.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(label, "doc", "left_anti").select("doc", F.col("doc").alias("label"))
+    return scratch.save(label.union(alone).join(merged, "label", "left").select("doc", F.coalesce("whole", "label").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size, kept, text_md5) for each row of docs.
 
     Equal texts are one node, under the smallest id. Nodes are linked where the Jaccard similarity of
     their sets of five-word shingles (lower-cased; a text of fewer words is one shingle) is at least
     `threshold`; candidates share a band of their ProbMinHash signatures, in which a shingle weighs
     the same however often a text repeats it. A class is what links connect; its id is its smallest doc_id, and that
-    document is kept. Texts are shuffled once at most, and of bucket members only; what else moves
-    are ids and keys. A hot bucket costs one comparison a member.
+    document is kept. Texts are never shuffled, shingle sets of bucket members only; what else moves
+    are ids and keys. Ids may be of any type that has an order.
 
     Null texts and texts without words are similar to nothing: classes of their own. Rows without id
-    have class null and are kept. Rows that share an id count as one document. Empty input: empty result.
+    have class null and are kept. Rows that share an id are judged each by its own text. Empty input: empty result.
     """
     spark = docs.sparkSession
     modest_batches(spark)
-    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("th"), bands_of("text").alias("bands")))
+    scratch = Scratch(spark)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.save(docs.select("doc_id", F.md5("text").alias("th"), bands_of("text").alias("bands")))
     wordy = rows.filter("doc_id is not null and size(bands) > 0")
-    texts = durable(wordy.groupBy("th").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("th", F.col("x.doc_id").alias("doc"), F.col("x.bands").alias("bands")))
-    links = near_links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), texts, threshold)
-    label = components(links)
-    classes = texts.select("th", "doc").join(label, "doc", "left").select("th", F.coalesce("label", "doc").alias("class_id"))
-    known = wordy.select("doc_id", "th").join(durable(classes), "th").select("doc_id", "class_id")
-    alone = rows.filter("doc_id is null or size(bands) = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    out = durable(known.union(alone))
-    sizes = out.filter("class_id is not null").groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1")
-    grouped = out.filter("class_id is not null").join(sizes, "class_id", "left")
-    lost = out.filter("class_id is null").select("class_id", "doc_id", F.lit(1).cast("long").alias("class_size"))
-    return grouped.union(lost).select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one row of each near-duplicate class; all columns as they were. Repeated rows of a kept id become one."""
-    found = durable(near_duplicates(docs.select("doc_id", "text"), threshold))
-    gone = small(found.filter(~F.col("kept")).select("doc_id").distinct())
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(left.filter("doc_id is null")) if repeated else left
+    texts = scratch.save(wordy.groupBy("th").agg(F.min(F.struct("doc_id", "bands")).alias("x"), F.count("*").alias("rows")).select("th", F.col("x.doc_id").alias("doc"), F.col("x.bands").alias("bands"), "rows"))
+    label = near_classes(docs, texts, threshold, scratch)
+    classes = scratch.save(texts.select("th", "doc", "rows").join(label, "doc", "left").select("th", F.coalesce("label", "doc").alias("class_id"), "rows"))
+    sizes = scratch.save(classes.groupBy("class_id").agg(F.sum("rows").alias("class_size")))
+    sized = scratch.save(join_counted(classes, sizes, "class_id", "class_size", rows.count()))
+    known = join_counted(wordy.select("doc_id", "th"), sized, "th", "rows", rows.count())
+    alone = rows.filter("doc_id is null or size(bands) = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "th")
+    out = known.select("doc_id", "class_id", "class_size", "th").union(alone)
+    out = durable(out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("th").alias("text_md5")))
+    scratch.clear()
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate class, and all rows without id; all columns as they were.
+
+    Where rows share an id, those whose own text is in another document's class go, and of equal ones one stays.
+    """
+    found = near_duplicates(docs, threshold, id_col, text_col)
+    keys = lambda df: df.select(F.col("doc_id").alias("_near_id"), F.col("text_md5").alias("_near_md5"))
+    same = F.col(id_col).eqNullSafe(F.col("_near_id")) & F.md5(text_col).eqNullSafe(F.col("_near_md5"))
+    left = docs.join(small(keys(found.filter(~F.col("kept"))).distinct()), same, "left_anti")
+    stay = found.filter("kept and doc_id is not null")
+    if stay.groupBy("class_id").count().filter("count > 1").limit(1).count() == 0:
+        return left
+    marked = left.join(small(keys(stay).distinct()), same, "left_semi").dropDuplicates([id_col])
+    return marked.unionByName(left.filter(F.col(id_col).isNull()))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_md5")
