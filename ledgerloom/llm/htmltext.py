@@ -15,9 +15,11 @@ from pyspark.sql.functions import pandas_udf
 
 from ledgerloom.llm.common import modest_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-MARK = re.compile(r"""data-y=["']?([01])""")
+START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: One attribute's name, up to its value if it has one.
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=]*+)(?:\s*+=\s*+)?+")
+BARE = re.compile(r"[^\s>]*+")
+NAMED = frozenset(["class", "id", "role"])
 PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
@@ -26,68 +28,159 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins
 ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 ENDS |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 WALLS = frozenset("html body div section article main aside nav header footer table ul ol dl td th form blockquote li figure".split())
-#: Words of class, id and role that speak for content or against it; the model learns how much they say.
-GOOD = frozenset("article content entry story post main text body prose".split())
-TALK = frozenset("comment comments discussion disqus reply replies respond".split())
-BAD = frozenset("ad ads advert advertisement aside banner breadcrumb breadcrumbs complementary contentinfo consent cookie copyright footer form header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related search share sharing sidebar social sponsor sponsored subscribe tags toolbar widget".split())
-
 
 @dataclass
 class Node:
     tag: str
     parent: int
-    names: str = "none"
+    names: frozenset[str] = frozenset()
     words: int = 0
     linked: int = 0
     label: int | None = None
 
 
+class Scanner:
+    """Finds marks from left to right; what isn't found once is never looked for again, so a page takes linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gone = page, set()
+
+    def find(self, mark: str, at: int) -> int:
+        if mark in self.gone:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.gone.add(mark)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """(attributes, whether the tag closes itself, where it ends) of a tag whose name ends at `at`; -1 if it doesn't end."""
+        page, found, closed = self.page, {}, False
+        if self.find(">", at) < 0:
+            return found, closed, -1
+        while True:
+            if at < len(page) and page[at] == ">":
+                return found, closed, at + 1
+            m = ATTRIBUTE.match(page, at)
+            name, equals, end = m[1].lower(), m.end() > m.end(1) and page[m.end(1) : m.end()].strip() == "=", m.end() if m[1] or page[m.end(1) : m.end()] else m.end(1)
+            closed = not name and page[end - 1 : end] == "/"
+            if not equals:
+                if end == at:  # a stray sign
+                    end += 1
+                if end >= len(page):
+                    return found, closed, -1
+                at = end
+                found.setdefault(name, "")
+                continue
+            quote = page[end : end + 1]
+            if quote in ('"', "'") and quote:
+                stop = self.find(quote, end + 1)
+                if stop >= 0:
+                    found.setdefault(name, page[end + 1 : stop])
+                    at = stop + 1
+                    continue
+            m = BARE.match(page, end)  # also a value whose quote is never closed
+            found.setdefault(name, m[0])
+            at = m.end()
+            if at >= len(page):
+                return found, closed, -1
+
+
+class OpenTags:
+    """The open elements, with the places of each tag and of containers, so that no search goes through all of them."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.walls = [0]
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in WALLS:
+            self.walls.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of the tag; 0 for none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Nodes in document order (parents first), and the text runs as (node, text); node -1 marks the border of a block."""
-    nodes, runs, stack, at = [Node("#root", -1)], [], [0], 0
+    """Nodes in document order (parents first), and the text runs as (node, text); node -1 marks the border of a block.
+
+    Linear in the page's length, however broken it is: a tag, comment or raw element that never ends takes the rest of the page.
+    """
+    nodes, runs, at = [Node("#root", -1)], [], 0
+    scan, open_ = Scanner(page), OpenTags()
 
     def text(piece: str) -> None:
         if piece:
-            runs.append((stack[-1], piece))
+            runs.append((open_.nodes[-1], piece))
 
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
+        lt = scan.find("<", at)
+        if lt < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        m = START.match(page, lt)
+        if m is None:
+            if page.startswith(("<!", "<?"), lt):
+                text(page[at:lt])
+                comment = page.startswith("<!--", lt)
+                end = scan.find("-->" if comment else ">", lt + 2)
+                at = len(page) if end < 0 else end + (3 if comment else 1)
+            else:  # a sign of its own
+                text(page[at : lt + 1])
+                at = lt + 1
             continue
-        tag = m[2].lower()
+        text(page[at:lt])
+        tag, attributes, closed = m[2].lower(), {}, False
+        at = scan.find(">", m.end())
+        if at < 0:
+            break
+        inside = page[m.end() : at]
+        if "=" in inside:
+            attributes, closed, at = scan.attributes(m.end())
+            if at < 0:
+                break
+        else:
+            closed, at = inside.endswith("/"), at + 1
         if tag not in INLINE:
             runs.append((-1, ""))
         elif tag == "br":
             text(" ")
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
+            place = open_.last(tag)
             # An end tag without its start ends nothing; an inline one ends no container.
-            if depth and (tag not in INLINE or not any(nodes[x].tag in WALLS for x in stack[depth + 1 :])):
-                del stack[depth:]
+            if place and (tag not in INLINE or open_.walls[-1] < place):
+                open_.close(place)
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag in ENDS.get(tag, ()):
-                del stack[k:]
-                break
-            if nodes[stack[k]].tag in WALLS:
-                break
-        node = Node(tag, stack[-1])
-        if m[3] and "=" in m[3]:
-            parts = {p for x in NAMES.findall(m[3]) for p in PART.findall(x.lower())}
-            node.names = "talk" if parts & TALK else "bad" if parts & BAD else "good" if parts & GOOD else "none"
-            if y := MARK.search(m[3]):
-                node.label = int(y[1])
+        if tag in ENDS:
+            place = max(open_.last(t) for t in ENDS[tag])
+            if place and place >= open_.walls[-1]:
+                open_.close(place)
+        node = Node(tag, open_.nodes[-1])
+        if attributes:
+            node.names = frozenset(p for k in NAMED for p in PART.findall(attributes.get(k, "").lower()))
+            if attributes.get("data-y") in ("0", "1"):
+                node.label = int(attributes["data-y"])
         nodes.append(node)
         if tag in RAW:
-            end = re.compile(f"</{tag}\\s*>", re.IGNORECASE).search(page, at) if not m[3].rstrip().endswith("/") else None
-            at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(page))
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(len(nodes) - 1)
+            if not closed:
+                end = re.compile(f"</{tag}\\s*+>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else len(page)
+        elif tag not in VOID and not closed:
+            open_.push(len(nodes) - 1, tag)
     for i, piece in runs:
         if i >= 0:
             n = len(piece.split())
@@ -100,15 +193,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
-def features(node: Node) -> tuple:
+def features(node: Node) -> list[tuple]:
+    """What a label emits: the tag, each word of class, id and role, and for blocks size and share of links."""
+    own = [("tag", node.tag), ("named", bool(node.names)), *(("name", x) for x in sorted(node.names))]
     if node.tag in INLINE:
-        return (("tag", node.tag), ("names", node.names))
+        return own
     share = node.linked / node.words if node.words else 0
-    return (
-        ("tag", node.tag), ("names", node.names),
+    return [
+        *own,
         ("size", 0 if not node.words else 1 if node.words < 4 else 2 if node.words < 12 else 3 if node.words < 60 else 4),
         ("links", 0 if not node.linked else 1 if share < 0.25 else 2 if share < 0.75 else 3),
-    )
+    ]
 
 
 #: Labels of nodes: wrappers hold whatever their children are, content and boilerplate pass their label on.
@@ -128,13 +223,18 @@ class PageModel:
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node: messages from leaves to the root, a wrapper, then from the root to leaves."""
-        below, sent = [], [[1.0] * 3] * len(nodes)
+        below, sent, seen = [], [[1.0] * 3] * len(nodes), {}
         for node in nodes:
-            p = [1.0] * 3
-            for f in features(node):
-                e = self.emit.get(f) or self.emit[(f[0], None)]
-                p = [x * y for x, y in zip(p, e)]
-            below.append(scaled(p))
+            told = tuple(features(node))
+            if told not in seen:
+                p = [1.0] * 3
+                for f in told:
+                    # A word that no labelled page has says nothing.
+                    e = self.emit.get(f) or (None if f[0] == "name" else self.emit[(f[0], None)])
+                    if e:
+                        p = scaled([x * y for x, y in zip(p, e)])
+                seen[told] = p
+            below.append(seen[told])
         for i in range(len(nodes) - 1, 0, -1):
             b, t, up = below[i], self.edge[kind(nodes[i])], nodes[i].parent
             sent[i] = m = [row[0] * b[0] + row[1] * b[1] + row[2] * b[2] for row in t]
@@ -149,7 +249,7 @@ class PageModel:
 
 def kind(node: Node) -> str:
     """What sort of child: one whose tag or names say something of their own, or a part of its parent."""
-    if node.names != "none" or node.tag in ("article", "main", "aside", "nav", "header", "footer", "form", "section", "body"):
+    if node.names or node.tag in ("article", "main", "aside", "nav", "header", "footer", "form", "section", "body"):
         return "marked"
     if node.tag in INLINE or node.tag in RAW:
         return "inline"
