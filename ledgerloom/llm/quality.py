@@ -26,10 +26,10 @@ def buckets_of(text: str) -> np.ndarray:
     return gram_buckets(code_points(text), SIZES, BITS)
 
 
-def mean_ratio(ratio: np.ndarray, text: str | None) -> float:
-    """Mean log importance weight of the text's n-grams; 0 for none (the models say nothing about it)."""
+def log_weight(ratio: np.ndarray, text: str | None) -> tuple[float, int]:
+    """Log importance weight of a text, the sum of its n-grams' log ratios, and how many n-grams it has; (0, 0) for none, of which the models say nothing."""
     grams = buckets_of(text or "")
-    return float(ratio[grams].mean()) if len(grams) else 0.0
+    return float(ratio[grams].sum(dtype=np.float64)), len(grams)
 
 
 def cut_between(scores: np.ndarray, good: np.ndarray, care: float = 4.0) -> float:
@@ -81,87 +81,116 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, smooth: fl
         return QualityModel(np.zeros(1 << BITS, dtype=np.float32), float("-inf"))
     p, q = (target + smooth) / (target + smooth).sum(), (raw + smooth) / (raw + smooth).sum()
     ratio = np.log(p / q).astype(np.float32)
-    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("good", quality_score(docs, ratio).alias("score")).toPandas()
-    return QualityModel(ratio, cut_between(seen["score"].to_numpy(float), seen["good"].to_numpy(bool)))
+    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("good", quality_weight(docs, ratio).alias("w"))
+    seen = seen.select("good", (F.col("w.weight") / F.greatest(F.col("w.grams"), F.lit(1))).alias("mean")).toPandas()  # at most `rows` ids
+    return QualityModel(ratio, cut_between(seen["mean"].to_numpy(float), seen["good"].to_numpy(bool)))
 
 
-def quality_score(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> Column:
+def quality_weight(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> Column:
+    """struct(weight, grams): the log importance weight of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([mean_ratio(shared.value, t) for t in texts], dtype="float64")
+    @pandas_udf("struct<weight:double,grams:long>")
+    def weigh(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([log_weight(shared.value, t) for t in texts], columns=["weight", "grams"])
 
-    return score(F.col(text_col))
+    return weigh(F.col(text_col))
 
 
-def gumbel_key(score: str, id_col: str, temperature: float) -> Column:
-    """Score plus Gumbel noise from a hash of the id: the largest k keys are a sample without replacement by weight."""
+def gumbel_key(weight: Column, id_col: str, temperature: float) -> Column:
+    """Log weight plus Gumbel noise from a hash of the id: the largest k keys are a sample without replacement by weight."""
     u = (F.pmod(F.xxhash64(F.lit("gumbel"), F.col(id_col).cast("string")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return F.col(score) - temperature * F.log(-F.log(u))
+    return weight - temperature * F.log(-F.log(u))
 
 
-def kth_key(keys: DataFrame, k: int, bins: int = 2048, exact: int = 5000) -> tuple[float, int | None] | None:
-    """The k-th largest of (key, then smaller id first), found by histograms that narrow down; None if k < 1.
+def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 2048):
+    """(value, rows above it) of the k-th largest of a numeric column; None with fewer than k rows.
 
-    Only `bins` counts a round and at last `exact` keys or those of one value reach the driver.
+    Histograms narrow down to one value: only `bins` counts a round reach the driver, however many rows or ties there are.
     """
-    if k < 1:
-        return None
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        return None
+    low, high = keys.agg(F.min(column), F.max(column)).first()
     above = 0
-    while True:
+    while low is not None:
+        if low == high:
+            return (low, above) if k <= above + keys.filter(F.col(column) == F.lit(low)).count() else None
         width = (high - low) / bins
-        inside = keys.filter((F.col("key") >= low) & (F.col("key") <= high))
-        if width <= abs(low) * 1e-15 + 1e-300:
-            break
-        at = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1))
-        counts = sorted(((r[0], r[1]) for r in inside.groupBy(at.alias("at")).count().collect()), reverse=True)
-        found = counts[-1]
-        for b, n in counts:
-            if above + n >= k:
-                found = (b, n)
+        at = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+        inside = keys.filter((F.col(column) >= F.lit(low)) & (F.col(column) <= F.lit(high))).withColumn("_at", at)
+        found = inside.groupBy("_at").agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        for r in sorted(found, key=lambda r: -r["_at"]):
+            if above + r["n"] >= k:
+                low, high = r["low"], r["high"]
                 break
-            above += n
-        inside = inside.filter(at == found[0])
-        if found[1] <= exact:
-            break
-        low, high = inside.agg(F.min("key"), F.max("key")).first()
-        if low == high:
-            break
-    last = inside.orderBy(F.col("key").desc(), F.col("id").asc_nulls_last()).limit(max(1, min(k - above, exact))).collect()
-    return last[-1]["key"], last[-1]["id"]
+            above += r["n"]
+        else:
+            return None
+    return None
 
 
-def resample_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.005, rows: int = 4000) -> DataFrame:
+@dataclass
+class Draw:
+    """The k largest (key, then smaller tie), as a comparison with two constants."""
+
+    key: float
+    tie: int
+
+    def keeps(self, key: Column, tie: Column) -> Column:
+        return (key > F.lit(self.key)) | ((key == F.lit(self.key)) & (tie <= F.lit(self.tie)))
+
+
+def draw_largest(keys: DataFrame, k: int) -> Draw:
+    """The draw of k rows of keys (key, tie), all if there are no more."""
+    if k < 1:
+        return Draw(float("inf"), -1)
+    cut = kth_largest(keys, "key", k)
+    if cut is None:
+        return Draw(float("-inf"), -1)
+    value, above = cut
+    last = kth_largest(keys.filter(F.col("key") == F.lit(value)).select((-F.col("tie")).alias("tie")), "tie", k - above)
+    return Draw(value, -last[0])
+
+
+def quality_key(weight: Column, id_col: str, temperature: float) -> tuple[Column, Column]:
+    """(Gumbel key, tie) of a log weight and an id."""
+    return gumbel_key(weight, id_col, temperature), F.pmod(F.xxhash64(F.lit("tie"), F.col(id_col).cast("string")), F.lit(1 << 52))
+
+
+def draw_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, temperature: float = 1.0, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, QualityModel, Draw]:
+    """A durable table (id, weight, key, tie) of all rows, the model, and the draw of k rows, as resample_quality says."""
+    model = fit_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows)
+    scored = docs.select(F.col(id_col).alias("id"), quality_weight(docs, model.ratio, text_col).alias("w"))
+    key, tie = quality_key(F.col("weight"), "id", temperature)
+    keys = durable(scored.select("id", "w.weight", "w.grams").select("id", "weight", "grams", key.alias("key"), tie.alias("tie")))
+    if share is not None:
+        k = round(share * keys.count())
+    elif k is None:
+        good = keys if model.least == float("-inf") else keys.filter(F.col("weight") >= F.lit(model.least) * F.col("grams"))
+        k = good.count()
+    return keys, model, draw_largest(keys, k)
+
+
+def resample_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, temperature: float = 1.0, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `quality_score`, `quality_key` and `quality_kept`: the k rows that Gumbel top-k draws.
 
-    The importance weight is the mean log ratio per n-gram, so that length doesn't decide. `k` is by
-    default the number of rows whose weight reaches the cut fitted on labelled rows: the estimated
-    number of target-like texts. Noise of the given temperature makes it a draw by weight; ties go to
-    the smaller id. The cut-off is found from histograms, not by sorting all rows in one place.
+    The importance weight of a text is the ratio of its probabilities under the target and the raw
+    model; its log is the sum over all n-grams. k is given, or a `share` of all rows, or by default the
+    number of rows whose mean log ratio reaches the cut fitted on labelled rows: the estimated number of
+    target-like texts. Gumbel noise at temperature 1 makes the k largest keys a draw without replacement
+    by weight: noise decides among texts whose weights differ by a few units, as short ones do. Equal keys are
+    drawn by a hash of the id. The cut-off comes from histograms, not from sorting all rows in one place.
 
     Null and empty texts have weight 0, as the models say nothing of them. Rows with the same id and
     text get one decision. Without labelled rows of both classes all rows stay. Empty input: empty result.
     """
-    model = fit_quality(docs, labels, rows)
+    keys, model, draw = draw_quality(docs, labels, k, share, temperature, rows, id_col, text_col)
     names = [c for c in docs.columns if c not in ("quality_score", "quality_key", "quality_kept")]
-    scored = docs.select(*names, quality_score(docs, model.ratio).alias("quality_score"))
-    scored = scored.withColumn("quality_key", gumbel_key("quality_score", "doc_id", temperature))
-    keys = durable(scored.select(F.col("doc_id").alias("id"), "quality_score", F.col("quality_key").alias("key")))
-    if k is None:
-        k = keys.filter(F.col("quality_score") >= F.lit(model.least)).count()
-    cut = kth_key(keys, k)
-    if cut is None:
-        return scored.withColumn("quality_kept", F.lit(False))
-    tie = F.lit(True) if cut[1] is None else F.col("doc_id") <= F.lit(cut[1])
-    kept = (F.col("quality_key") > F.lit(cut[0])) | ((F.col("quality_key") == F.lit(cut[0])) & F.coalesce(tie, F.lit(False)))
-    return scored.withColumn("quality_kept", kept)
+    # The decision is a comparison with constants, so texts needn't meet the table of keys.
+    scored = docs.select(*names, quality_weight(docs, model.ratio, text_col)["weight"].alias("quality_score"))
+    key, tie = quality_key(F.col("quality_score"), id_col, temperature)
+    return scored.withColumn("quality_key", key).withColumn("quality_kept", draw.keeps(F.col("quality_key"), tie))
 
 
 def op5_quality_resampling(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample_quality(docs, labels).select("doc_id", "quality_score", "quality_key", F.col("quality_kept").alias("kept"))
+    keys, _, draw = draw_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keys.select(F.col("id").alias("doc_id"), F.col("weight").alias("quality_score"), F.col("key").alias("quality_key"), draw.keeps(F.col("key"), F.col("tie")).alias("kept"))
