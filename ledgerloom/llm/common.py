@@ -67,6 +67,15 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total
     return rows.join(F.broadcast(often), key).unionByName(rest.join(rare, key))
 
 
+def join_salted(rows: DataFrame, keys: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """rows inner-joined with keys on `key`: by broadcast where keys are few (counted), else shuffled with each key dealt to `salts` tasks."""
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key)
+    dealt = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.floor(F.rand(17) * salts).cast("int")
+    return rows.withColumn("_salt", salt).join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (counted), else unchanged: Spark then shuffles the join.
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, durable
+from ledgerloom.llm.common import WORD, Scratch, durable, small
 
 #: Fractional part of the golden ratio: slot i stands at the fraction of i times this.
 GOLDEN = (math.sqrt(5) - 1) / 2
-BUCKETS = 4096
+#: Slots are ranked within ranges of so many.
+CHUNK = 1 << 16
+#: Multipliers of the shuffle; of three primes one has no common factor with a number of blocks.
+PRIMES = (1_000_003, 1_000_033, 1_000_037)
 
 
 def source_targets(totals: DataFrame, weights: list[float], cap: float) -> DataFrame:
@@ -19,11 +22,12 @@ def source_targets(totals: DataFrame, weights: list[float], cap: float) -> DataF
 
     Weights repeat over sources by code point, null last. Water filling in closed form: sources in
     order of cap*size/weight fill up first; the level that the rest share is found by running sums.
-    The windows run over one row per source.
+    The windows run over one row per source in one task: that bounds the number of different sources (some
+    millions), not of documents. `sid` numbers the sources.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = totals.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    ranked = totals.withColumn("sid", F.row_number().over(order)).withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
     by_ratio = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), F.col("source").cast("binary"))
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -36,36 +40,87 @@ def source_targets(totals: DataFrame, weights: list[float], cap: float) -> DataF
     # The level holds from the first source on that it doesn't fill; before it, sources are full.
     # Later ones, reckoned as if it were full too, are lower: so it is the largest that fits.
     level = F.max(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(everything)
-    return ranked.select("source", "source_size", F.least("most", F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
+    return ranked.select("sid", "source", "source_size", F.least("most", F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """(slot, source): each slot is a block of words; golden-ratio points through the cumulative targets pick the source.
+def schedule(targets: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """(slot, sid, rank): each slot is a block of words; golden-ratio points through the cumulative targets pick
+    the source, and rank numbers a source's slots from 0.
 
     Points are met with source intervals by an equi-join on a grid of 4,096 cells, so neither side
-    needs to be broadcast and no cell holds more than its share of slots.
+    needs to be broadcast and no cell holds more than its share of slots. Ranks are a rank within a range of
+    65,536 slots and the source's slots in the ranges before, so no task orders all slots of a source.
     """
     grid = 4096
-    up = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    up = Window.orderBy("sid")
     spans = targets.withColumn("hi", F.sum("target").over(up)).withColumn("total", F.sum("target").over(Window.partitionBy()))
-    spans = durable(spans.select("source", ((F.col("hi") - F.col("target")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"), "total"))
-    slots = spans.agg(F.max("total")).first()[0] or 0.0
-    count = math.ceil(slots / block)
+    spans = scratch.save(spans.select("sid", ((F.col("hi") - F.col("target")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"), "total"))
+    count = math.ceil((spans.agg(F.max("total")).first()[0] or 0.0) / block)
     points = targets.sparkSession.range(count).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * grid).cast("int"))
     cells = spans.filter("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid).cast("int"), F.least(F.floor(F.col("hi") * grid).cast("int"), F.lit(grid)))))
     # The last interval is closed above: rounding must not leave a point without a source.
     last = F.max("hi").over(Window.partitionBy())
     cells = cells.withColumn("hi", F.when(F.col("hi") >= last, F.lit(2.0)).otherwise(F.col("hi")))
-    return points.join(cells, "cell").filter("u >= lo and u < hi").select("slot", "source")
+    slots = scratch.save(points.join(cells, "cell").filter("u >= lo and u < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk")))
+    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot"))
+    return slots.withColumn("inside", inside).join(sums, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("inside") - 1).alias("rank"))
+
+
+def shuffled(rank: Column, blocks: Column) -> Column:
+    """The block that slot rank takes: a permutation of 0 to blocks - 1."""
+    times = F.coalesce(*[F.when(blocks % p != 0, F.lit(p)) for p in PRIMES], F.lit(1))
+    return (rank % blocks * (times % blocks) + times) % blocks
+
+
+def streams(docs: DataFrame, weights, cap: float, seed: str, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows, targets): each row's place `start` in its source's stream of words, under a number `row` of its own; and one row per source."""
+    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.col(id_col).cast("string")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    rows = scratch.save(rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
+    sums = scratch.save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
+    totals = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
+    targets = scratch.save(source_targets(totals, list(weights), cap))
+    at = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(at), F.lit(0)))
+    named = targets.select("sid", F.col("source").alias("s"), "source_size", "target")
+    part = F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "bucket")
+    starts = scratch.save(starts.join(named, F.col("source").eqNullSafe(F.col("s"))).select(part.alias("part"), "sid", "bucket_start", "source_size", "target"))
+    inside = Window.partitionBy("part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", part).withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, "part")
+    placed = rows.select(F.monotonically_increasing_id().alias("row"), "id", "sid", "size", "source_size", "target", (F.col("bucket_start") + F.col("inner")).alias("start"))
+    return scratch.save(placed), targets
+
+
+def mix_blocks(rows: DataFrame, targets: DataFrame, cap: float, block: int, scratch: Scratch) -> DataFrame:
+    """(slot, sid, block, row, id, first, words): what stands in each slot of the mix, as pieces of documents, `first` counting a document's words from 0.
+
+    A source's stream repeats; its words are cut into blocks of `block` words, as many as it has slots
+    (the last ends where the source has been taken cap times). Its slots, ranked, take those blocks in a
+    shuffled order. Blocks and slots meet by an equi-join on (source, block).
+    """
+    slots = scratch.save(schedule(targets, block, scratch))
+    given = slots.groupBy("sid").agg(F.count("*").alias("blocks"))
+    given = scratch.save(given.join(targets.select("sid", "source_size"), "sid").select("sid", "blocks", F.least(F.col("blocks") * block, F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long").alias("given")))
+    taken = slots.join(small(given.select("sid", "blocks")), "sid").select("slot", "sid", shuffled(F.col("rank"), F.col("blocks")).alias("block"))
+    rounds = rows.filter("size > 0").join(small(given.select("sid", "given")), "sid")
+    rounds = rounds.withColumn("lap", F.explode(F.sequence(F.lit(0), F.floor(F.col("given") / F.col("source_size")).cast("int"))))
+    rounds = rounds.withColumn("from", F.col("lap") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("given"))).filter(F.col("from") < F.col("to"))
+    pieces = rounds.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
+    low, high = F.greatest("from", F.col("block") * block), F.least("to", (F.col("block") + 1) * block)
+    pieces = pieces.select("sid", "block", "row", "id", (low - F.col("from")).alias("first"), (high - low).alias("words"))
+    return taken.join(pieces, ["sid", "block"]).select("slot", "sid", "block", "row", "id", "first", "words")
 
 
 def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: float = 3.0, block: int = 64, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of docs.
+    """(id, size, source_size, target, taken, pieces, first_slot) for each row of docs: the words that the mix takes of it, in how many pieces, and the first slot that has one.
 
-    A source's documents, in the order of a hash of the id, make one endless stream that repeats; slot
-    ranks 0, 1, 2 ... of the source take the next `block` words of it. So a source with n slots gives
-    the first n*block words: all its documents in full rounds, then a part. Positions in the stream
+    A source's documents, in the order of a hash of the id, make one endless stream that repeats, cut into equal
+    blocks; mix_blocks puts them in the slots of the schedule, and a row's words are summed over its pieces. So a
+    source with n slots gives the first n*block words: all its documents in full rounds, then a part. Positions in the stream
     come from sums over 4,096 hash buckets per source and a window inside a bucket, so a source with
     a third of all rows is spread over many tasks.
 
@@ -73,31 +128,15 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: float = 3.0, bloc
     times. Repeated rows are laid one after another. A source of size 0 has target 0. Empty input:
     empty result. Targets are met to within a few blocks; no document exceeds cap times its size.
     """
-    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.col(id_col).cast("string")))
-    rows = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    sums = durable(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
-    totals = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    targets = durable(source_targets(totals, list(weights), cap))
-    given = schedule(targets, block).groupBy("source").agg((F.count("*") * block).alias("given"))
-    plan = targets.join(given, targets["source"].eqNullSafe(given["source"]), "left").select(
-        targets["source"].alias("s"), "source_size", "target",
-        F.least(F.coalesce("given", F.lit(0)), F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long").alias("given"),
-    )
-    at = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(at), F.lit(0)))
-    starts = durable(starts.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "bucket").alias("part"), "bucket_start", "source_size", "target", "given"
+    scratch = Scratch(docs.sparkSession)
+    rows, targets = streams(docs, weights, cap, seed, id_col, text_col, source_col, scratch)
+    pieces = mix_blocks(rows, targets, cap, block, scratch)
+    sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"), F.min("slot").alias("first_slot"))
+    out = durable(rows.join(sums, "row", "left").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", F.lit(0)).alias("pieces"), "first_slot"
     ))
-    rows = rows.withColumn("part", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "bucket"))
-    inside = Window.partitionBy("part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    start = F.col("bucket_start") + F.col("inner")
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("given") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("given") - rounds * F.col("source_size")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return rows.join(starts, "part").select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    scratch.clear()
+    return out
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
