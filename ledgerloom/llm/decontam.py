@@ -2,63 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACE, durable, let, small
+from ledgerloom.llm.common import SPACE, Scratch, durable, join_salted, let, small
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """64-bit hashes of all runs of `size` lower-cased words; an empty array for fewer words or null."""
+def words_of(text: Column) -> Column:
+    """Lower-cased words; null has none."""
     trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.array_remove(F.split(trimmed, SPACE), "")
 
-    def runs(words: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
-        return F.when(F.size(words) >= size, found).otherwise(F.array().cast("array<bigint>"))
-
-    return let(F.split(trimmed, SPACE), runs)
 
+def runs(words: Column, size: Column | int, of: Callable[[Column], Column]) -> Column:
+    """of(run) of all runs of `size` words, in order; none for fewer words."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: of(F.slice(words, i, size))))
 
-def item_sketches(items: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, part, n, need, all, sketch): distinct shingle hashes of each item and its bottom-k MinHash sketch.
 
-    Items are partitioned by size into powers of two. A text that holds `need` = ceil(threshold*n) of
-    an item's n shingles misses n - need at most, so it holds at least one of any n - need + 1 of them:
-    the sketch is that many of the smallest hashes, and the search loses no match whatever the
-    document's length (bands over whole documents would: 50 shingles in 20,000 are a similarity of 0.002).
-    """
-    rows = items.select(F.col(id_col).alias("item_id"), F.array_distinct(shingles(F.col(text_col), size)).alias("all")).filter(F.size("all") > 0)
-    n = F.size("all")
-    need = F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
-    return rows.select("item_id", F.floor(F.log2(n)).cast("int").alias("part"), n.alias("n"), need.alias("need"), "all", F.slice(F.array_sort("all"), F.lit(1), n - need + 1).alias("sketch"))
+def as_text(run: Column) -> Column:
+    return F.array_join(run, " ")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+def item_sketches(items: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, width, part, n, need, all, sketch, hits): distinct shingles of each item, and its bottom-k MinHash sketch.
+
+    Shingles are runs of `width` words: `size`, or all words of an item that has fewer. Items are
+    partitioned by their number of shingles n into powers of two, and each part has one sketch size:
+    that of its largest items. A text that holds `need` = ceil(threshold*n) of an item's shingles misses
+    n - need at most, so it holds at least k - (n - need) = `hits` of any k of them, and k is such that
+    this is 1 or more: the search loses no match whatever the document's length (bands over whole
+    documents would: 50 shingles in 20,000 are a similarity of 0.002).
+    """
+    worded = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
+    width = F.least(F.size("words"), F.lit(size))
+    rows = worded.select("item_id", width.alias("width"), F.array_distinct(runs(F.col("words"), width, as_text)).alias("all"))
+    need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
+    rows = rows.withColumn("n", F.size("all")).withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("need", need(F.col("n")))
+    most = F.pow(F.lit(2), F.col("part") + 1).cast("int") - 1
+    rows = rows.withColumn("k", F.least(F.col("n"), most - need(most) + 1))
+    hashes = F.array_sort(F.array_distinct(F.transform("all", lambda x: F.xxhash64(F.split(x, " ")))))
+    return rows.select("item_id", "width", "part", "n", "need", "all", F.slice(hashes, F.lit(1), F.col("k")).alias("sketch"), (F.col("k") - (F.col("n") - F.col("need"))).alias("hits"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, matched, containment) of each document that holds at least `threshold` of an item's shingles.
 
-    Search: shingles of all documents meet the sketches' hashes, those of size partitions that the
-    document is long enough for. Verification: only candidate documents are read again, and all of
-    an item's shingles are counted in them. Sketches, items and candidates are broadcast up to a
-    counted size, else joined by shuffles.
+    Search: hashes of all shingles of all documents meet the sketches, those of items that the document
+    is long enough for, and enough of a sketch must be there. Verification: only candidate documents
+    are read again, and their shingles, as words, are compared with all of an item's. Sketches, items and
+    candidates are broadcast up to a counted size, else joined by shuffles with each key dealt to several tasks.
 
-    Items or documents of fewer than `size` words have no shingle and match nothing, as null texts.
-    Rows that share a doc_id count as one document; rows without id are not reported. Repeated items
-    each get their rows. Empty tables give an empty result; other columns are not read.
+    An item of fewer than `size` words is one shingle, of all its words, looked for as it is. Items without
+    words and null texts match nothing. Rows that share a doc_id count as one document; rows without id are
+    not reported. Repeated items each get their rows. Empty tables give an empty result; other columns are not read.
     """
-    sketches = durable(item_sketches(items, threshold, size))
-    read = docs.filter("doc_id is not null").select("doc_id", "text")
-    keys = small(sketches.select("item_id", "need", F.explode("sketch").alias("h")))
-    # Shingles are computed once, on the array that is counted and exploded.
-    flat = read.select("doc_id", shingles(F.col("text"), size).alias("sh")).select("doc_id", F.explode("sh").alias("h"))
-    candidates = durable(flat.join(keys, "h").select("doc_id", "item_id").distinct())
-    ids = small(candidates.select("doc_id").distinct())
-    again = read.join(ids, "doc_id", "left_semi").select("doc_id", F.explode(shingles(F.col("text"), size)).alias("h"))
-    whole = small(sketches.select("item_id", "n", "need", F.explode("all").alias("h")))
-    hits = again.join(whole, "h").select("doc_id", "item_id", "n", "need", "h").distinct()
+    scratch = Scratch(docs.sparkSession)
+    sketches = scratch.save(item_sketches(items, threshold, size))
+    widths = sorted(r[0] for r in sketches.select("width").distinct().collect())  # `size` values at most
+    read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def shingled(rows: DataFrame, of: Callable[[Column], Column], name: str) -> DataFrame:
+        """(doc_id, width, size, name): the runs of each wanted width; `size` is how many there are."""
+        def of_width(width: int) -> DataFrame:
+            sh = let(words_of(F.col("text")), lambda words: runs(words, width, of))
+            return rows.select("doc_id", sh.alias("sh")).select("doc_id", F.lit(width).alias("width"), F.size("sh").alias("size"), F.explode("sh").alias(name))
+
+        return reduce(DataFrame.union, map(of_width, widths or [size]))
+
+    keys = scratch.save(sketches.select("item_id", F.col("width").alias("w"), "need", "hits", F.explode("sketch").alias("h")))
+    met = join_salted(shingled(read, lambda run: F.xxhash64(run), "h"), keys, "h").filter("width = w and size >= need")
+    candidates = met.select("doc_id", "item_id", "hits", "h").distinct().groupBy("doc_id", "item_id", "hits").agg(F.count("*").alias("n")).filter("n >= hits")
+    candidates = scratch.save(candidates.select("doc_id", "item_id"))
+    again = read.join(small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    whole = scratch.save(sketches.select("item_id", F.col("width").alias("w"), "n", "need", F.explode("all").alias("shingle")))
+    hits = join_salted(shingled(again, as_text, "shingle"), whole, "shingle").filter("width = w").select("doc_id", "item_id", "n", "need", "shingle").distinct()
     hits = hits.groupBy("doc_id", "item_id", "n", "need").agg(F.count("*").cast("int").alias("matched")).filter("matched >= need")
-    return hits.join(candidates, ["doc_id", "item_id"], "left_semi").select(
+    found = durable(hits.join(candidates, ["doc_id", "item_id"], "left_semi").select(
         "doc_id", "item_id", F.col("n").alias("n_shingles"), "matched", (F.col("matched") / F.col("n")).alias("containment")
-    )
+    ))
+    scratch.clear()
+    return found
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -67,13 +94,13 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
-), ds AS (SELECT DISTINCT id AS doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b),
+  SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0
+), ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d, (SELECT DISTINCT k FROM b)),
+bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM b),
 n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM bs GROUP BY 1),
-m AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS matched FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+m AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS matched FROM ds JOIN bs USING (k, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, matched, CAST(matched AS DOUBLE) / n_shingles AS containment
 FROM m JOIN n USING (item_id) WHERE matched >= ceil(n_shingles * 0.8 - 1e-9)
 """
