@@ -29,6 +29,10 @@ def test_exact_dedup(spark):
     texts = [*ODD, "same " * 30 + "end", "SAME " * 30 + "end", "same " * 30 + "enD", "same " * 30 + "other"]
     docs = docs_of(spark, texts)
     docs = docs.union(docs.filter("doc_id = 3"))
+    none = docs_of(spark, ["", "only null ids have this", "ONLY null ids have this"]).withColumn("doc_id", F.lit(None).cast("long"))
+    for digest in (None, F.sha2(exact.ascii_fold(F.col("text")).cast("binary"), 256)):
+        lone = [r for r in exact.exact_dedup(docs.union(none), prefix=8, digest=digest).collect() if r.doc_id is None]
+        assert sorted((r.keep_id or -1, r.group_size, r.kept) for r in lone) == [(-1, 2, True), (-1, 2, True), (1, 3, False)]
     groups = {}
     fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     for i, t in [*enumerate(texts), (3, texts[3])]:
@@ -47,15 +51,42 @@ def test_exact_dedup(spark):
 def test_ring_is_near_equal_and_gapless(spark):
     rng = random.Random(1)
     docs = docs_of(spark, [sentence(rng, rng.randint(1, 30)) for _ in range(800)] + ODD[:6])
+    docs = docs.union(docs.filter("doc_id < 2")).union(docs_of(spark, ["y" * 900_000], first=5000).filter("doc_id < 0"))
     got = ring.shard_documents(docs, shards=7).toPandas()
     loads = got.groupby("shard")["size"].sum()
-    assert len(got) == 806 and set(got["shard"]) == set(range(7)) and loads.max() <= 1.02 * loads.min()
+    assert len(got) == 808 and set(got["shard"]) == set(range(7)) and loads.max() <= 1.02 * loads.min()
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
     again = ring.shard_documents(docs.repartition(5), shards=7).toPandas()
     assert got.sort_values("doc_id")["slot"].tolist() == again.sort_values("doc_id")["slot"].tolist()
     assert ring.shard_documents(docs.filter("false")).count() == 0
 
 
+def test_ring_splits_a_repeated_id(spark):
+    docs = docs_of(spark, ["some words here"] * 3000).withColumn("doc_id", F.when(F.col("doc_id") < 1000, 7).when(F.col("doc_id") >= 1010, F.col("doc_id")))
+    got = ring.shard_documents(docs, shards=5).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == 3000 and loads.max() <= 1.05 * loads.min() and got["doc_id"].isna().sum() == 10
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_ring_by_brute_force_and_the_moves_of_its_own_slack():
+    """Every cell is on the first virtual node clockwise that had room, and few move when a shard is added."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    cells = pd.DataFrame({"cell": np.arange(ring.CELLS), "bytes": rng.integers(1000, 6000, ring.CELLS), "n": 3})
+    a, b = (ring.place_cells(cells, n) for n in (40, 41))
+    both = a.merge(b, on="cell")
+    assert (both["shard_x"] != both["shard_y"]).mean() < 0.06
+    points, owner = ring.ring_points(40, 128)
+    loads, cap = np.zeros(40), 1.0005 * cells["bytes"].sum() / 40
+    for r in a.head(20_000).itertuples():
+        order = owner[np.searchsorted(points, r.cell << 16) :] + owner
+        assert r.shard == next(s for s in order if loads[s] + r.bytes <= cap)
+        loads[r.shard] += r.bytes
+
+
 def test_ring_moves_little_when_it_grows():
     import numpy as np
     import pandas as pd
@@ -100,20 +131,46 @@ def test_mixing(spark):
         s = names[r.doc_id]
         assert r["size"] == size[r.doc_id] and r.source_size == sizes[s] and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 3 * r["size"]
         taken[s] += r.taken
+        assert (r.pieces == 0) == (r.taken == 0) == (r.first_slot is None)
     assert sum(target.values()) == pytest.approx(sum(sizes.values()))
     assert all(abs(taken[s] - target[s]) <= 4 * 8 for s in sizes)
-    assert sorted(got) == sorted(mixing.mix_sources(docs.repartition(3), block=8).collect())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs.repartition(3), block=8).collect()), key=str)
+    scratch = mixing.Scratch(spark)
+    rows, targets = mixing.streams(docs.union(docs.filter("doc_id < 3")), [5, 2, 1], 3, "mix", "doc_id", "text", "source", scratch)
+    pieces = mixing.mix_blocks(rows, targets, 3, 8, scratch).collect()
+    slots, source = {}, {r.sid: r for r in targets.collect()}
+    for p in pieces:
+        slots.setdefault((p.sid, p.slot), []).append(p)
+    point = lambda i: (i + 1) * mixing.GOLDEN % 1.0
+    order, low = [], 0.0
+    for sid in sorted(source):
+        order.append((low, sid))
+        low += source[sid].target / sum(r.target for r in source.values())
+    want = Counter()
+    for sid, slot in slots:
+        assert max(o for o in order if o[0] <= point(slot) + 1e-12)[1] == sid
+        want[sid] += 1
+    for sid in source:
+        mine = sorted((s for x, s in slots if x == sid))
+        blocks = [slots[sid, s][0].block for s in mine]
+        assert sorted(blocks) == list(range(want[sid])) and (len(blocks) < 10 or blocks != sorted(blocks))
+        # In order of blocks the pieces are the source's stream, without a gap or a repeat.
+        at = Counter()
+        for p in sorted((p for s in mine for p in slots[sid, s]), key=lambda p: (p.block,)):
+            at[p.row] += p.words
+        assert all(n <= 3 * r["size"] for r in rows.filter(F.col("sid") == sid).collect() if (n := at[r["row"]]))
+        assert all(sum(p.words for p in slots[sid, s]) == 8 for s in mine[:-1] if slots[sid, s][0].block < want[sid] - 1)
     assert mixing.mix_sources(docs.filter("false")).count() == 0
 
 
 def brute_contained(texts, items):
-    sh = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    sh = lambda t, k: {tuple(w[i : i + k]) for w in [(t or "").lower().split()] for i in range(len(w) - k + 1)}
     found = set()
     for i, t in enumerate(texts):
-        for k, x in enumerate(items):
-            q = sh(x)
-            if q and len(q & sh(t)) >= 0.8 * len(q) - 1e-9:
-                found.add((i, k))
+        for n, x in enumerate(items):
+            k = min(5, len((x or "").split()))
+            if k and len(sh(x, k) & sh(t, k)) >= 0.8 * len(sh(x, k)) - 1e-9:
+                found.add((i, n))
     return found
 
 
@@ -124,7 +181,9 @@ def test_decontamination(spark):
     for k in (0, 1, 2, 3, 4, 5, 9):
         words = items[k].upper().split()
         texts += [sentence(rng, 3000) + " " + items[k] + "\n" + sentence(rng, 40), sentence(rng, 9) + " " + " ".join(words[: len(words) * 9 // 10]) + " " + sentence(rng, 9), " ".join(words[: len(words) // 2])]
+    texts += ["it is TOO  short here", "too", "so too\nshort"]
     docs = docs_of(spark, texts)
+    docs = docs.union(docs.filter("doc_id = 33").withColumn("doc_id", F.lit(None).cast("long")))
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contained_items(docs.union(docs.filter("doc_id = 31")), bench).collect()}
     assert got == brute_contained(texts, items) and len(got) >= 10
@@ -258,6 +317,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_near_duplicates_of_text_and_missing_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (sentence(rng, 80) for _ in range(3))
+    rows = [("x1", a), ("x0", near(rng, a, 1)), (None, a), (None, None), ("x2", b), ("x2", c), ("x3", c + " more"), ("x2", b), ("x4", ""), ("x4", "")]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "name string, body string, class_id string, th string")
+    got = sorted((r.doc_id or "", r.class_id or "", r.kept) for r in minhash.near_duplicates(docs, id_col="name", text_col="body").collect())
+    assert got == [("", "", True), ("", "", True), ("x0", "x0", True), ("x1", "x0", False), ("x2", "x2", True), ("x2", "x2", True), ("x2", "x2", True), ("x3", "x2", False), ("x4", "x4", True), ("x4", "x4", True)]
+    left = sorted((r.name or "", r.body or "") for r in minhash.drop_near_duplicates(docs, id_col="name", text_col="body").collect())
+    assert [x[0] for x in left] == ["", "", "x0", "x2", "x4"]
+
+
+def test_near_duplicates_amid_many_that_share_a_passage(spark):
+    """Texts that all hold one long passage and fail each other, and pairs among them that differ in a word."""
+    rng = random.Random(10)
+    passage = sentence(rng, 60)
+    texts = [passage + " " + sentence(rng, 25) for _ in range(150)]
+    texts += [t[: -len(t.split()[-1])] + "changed" for t in texts[::5]]
+    want = brute_classes(texts)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 150
+
+
 def test_near_duplicates_with_a_line_repeated_in_one_copy(spark):
     """100 shared shingles, and 15 more of a line that one copy repeats 100 or 1000 times: set Jaccard about 0.87."""
     rng = random.Random(8)
@@ -296,13 +377,35 @@ def test_quality(spark):
     good, bad = [sentence(rng, rng.randint(5, 80)) for _ in range(260)], [" ".join(w.upper() + "!!" for w in sentence(rng, 30).split()) for _ in range(40)]
     docs = docs_of(spark, good + bad + [None, ""])
     labels = spark.createDataFrame([(i, int(i < 260), 0) for i in range(0, 300, 2)] + [(2, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.quality_kept for r in quality.resample_quality(docs, labels).collect()}
-    assert len(got) == 302 and sum(got[i] for i in range(260)) >= 258 and not any(got[i] for i in range(260, 300))
-    assert sum(r.quality_kept for r in quality.resample_quality(docs, labels, k=17).collect()) == 17
+    docs = docs.union(docs.filter("doc_id = 7")).union(docs_of(spark, ["long words here " * 9000], first=900)).withColumn("quality_kept", F.lit("clash"))
+    rows = quality.resample_quality(docs, labels).collect()
+    got = {r.doc_id: r.quality_kept for r in rows if r.doc_id < 900}
+    assert len(rows) == 304 and len(got) == 302 and sum(got[i] for i in range(260)) >= 255 and sum(got[i] for i in range(260, 300)) <= 3
+    once = docs.dropDuplicates(["doc_id"])
+    assert sum(r.quality_kept for r in quality.resample_quality(once, labels, k=17).collect()) == 17
+    # By brute force: the k largest keys, whatever the temperature; and log weights by the n-gram models as they stand.
+    for heat, share in ((1.0, 0.5), (50.0, 0.3)):
+        rows = quality.resample_quality(once, labels, share=share, temperature=heat).collect()
+        best = sorted(rows, key=lambda r: -r.quality_key)[: round(share * len(rows))]
+        assert {r.doc_id for r in rows if r.quality_kept} == {r.doc_id for r in best}
     assert all(r.quality_kept for r in quality.resample_quality(docs, labels.filter("false")).collect())
     assert quality.resample_quality(docs.filter("false"), labels).count() == 0
 
 
+def test_gumbel_draw_follows_the_weights(spark):
+    """Over many draws of one row, each row comes as often as its share of all weights says; ties go by a hash, none is lost."""
+    weights = [0.0, 1.0, 2.0, 3.0]
+    rows = spark.range(20_000 * 4).select("id", (F.col("id") % 4).cast("int").alias("which"))
+    rows = rows.withColumn("key", quality.gumbel_key(F.element_at(F.array(*map(F.lit, weights)), F.col("which") + 1), "id", 1.0))
+    first = rows.groupBy(F.floor(F.col("id") / 4)).agg(F.max_by("which", "key").alias("which")).groupBy("which").count().collect()
+    total = sum(2.718281828**w for w in weights)
+    assert all(abs(r["count"] / 20_000 - 2.718281828 ** weights[r.which] / total) < 0.02 for r in first) and len(first) == 4
+    same = spark.range(9000).select(F.lit(1.5).alias("key"), F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)).alias("tie"))
+    draw = quality.draw_largest(same, 7001)
+    assert same.filter(draw.keeps(F.col("key"), F.col("tie"))).count() == 7001
+    assert quality.draw_largest(same.filter("false"), 5).key == float("-inf") and same.filter(quality.draw_largest(same, 0).keeps(F.col("key"), F.col("tie"))).count() == 0
+
+
 def test_languages(spark):
     rng = random.Random(7)
     parts = {"xx": "the of ing tion and er", "yy": "que les oux ment eau é", "zz": "sch ung keit ver ß ein"}
@@ -333,6 +436,56 @@ def test_page_text(spark):
     assert htmltext.extract_pages(pages.filter("false")).count() == 0
 
 
+def test_broken_pages_take_linear_time(spark):
+    import time
+
+    half = 400_000
+    broken = ["<p" * half, '<a "' * half, "<a href='" * half, "<!--" * half, "<div>" * half, "<b>" + "<div>" * half + "</b>" * half, "<h1>" * half, "<i>" * half + "<p>" * half, "<" * half, "<a" + " " * half, "<a " + "x= " * half + ">y", "<ul>" + "<li>x" * half]
+    model, began = htmltext.train(htmltext.labelled_pages(60)), time.time()
+    texts = [htmltext.main_text(model, x) for x in broken]
+    assert time.time() - began < 200 and texts[-1].count("x") in (0, half)
+
+
+def test_pieces_of_markup():
+    nodes, runs = htmltext.parse("a < b <P CLASS = 'Side Bar' id=x>c<br/>d</p ><img src='>'>e<script>f</b></SCRIPT >g<b>h<div>i</b>j</div>k<input value=a>b")
+    assert [n.tag for n in nodes] == ["#root", "p", "br", "img", "script", "b", "div", "input"] and nodes[1].names == {"side", "bar", "x"}
+    assert [nodes[i].tag for i, t in runs if t.strip() in ("a", "b", "c", "e", "g", "h", "i", "j", "k") and i >= 0] == ["#root", "p", "#root", "#root", "b", "div", "div", "b", "b"]
+    assert "".join(t for i, t in runs if i >= 0).replace(" ", "") == "a<bcdeghijkb"
+
+
+def test_main_text_of_the_given_pages(spark):
+    """Against what the pages' only article element holds, read by another parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks += [""] * (tag not in ("b", "a", "br"))
+            if tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks += [""] * (tag not in ("b", "a"))
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in htmltext.extract_pages(pages).select("page_id", "text").collect()}
+    right = 0
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html)
+        right += got[r.page_id] == "\n".join(b for b in (" ".join(x.split()) for x in parser.blocks) if b)
+    assert right == len(got)
+
+
 def test_page_model_on_held_out_pages():
     model = htmltext.train(htmltext.labelled_pages())
     right = 0
