@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,13 +25,25 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/._-]{14,}={0,2}")
 #: A run that isn't likely as a whole is scored again in the pieces between these.
 PARTS = (re.compile(r"[^.]+"), re.compile(r"[^./+=]+"))
 SHORTEST = 16
+#: How many credentials there are for each plain token, by guess.
+ODDS = 1e-7
 DIGIT = re.compile(r"[0-9]")
 END = ""
 
 
-def symbols(token: str) -> list[str]:
-    """Letters by case and digits become classes; other characters stand for themselves."""
-    return ["d" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in token]
+def learned_heads(strings: list[str], least: int = 20, longest: int = 12) -> list[str]:
+    """Fixed heads of the labelled credentials, longest first: beginnings of 3 or more characters that at least `least`
+    of them share and that no longer shared one continues."""
+    counts = Counter(s[:n] for s in strings for n in range(3, longest + 1) if len(s) > n)
+    shared = {h for h, n in counts.items() if n >= least}
+    whole = [h for h in shared if not any(x != h and x.startswith(h) for x in shared)]
+    return sorted(whole, key=lambda h: (-len(h), h))
+
+
+def symbols(token: str, heads: list[str] = []) -> list[str]:
+    """A learned head is one symbol; letters by case and digits become classes; other characters stand for themselves."""
+    head = next((h for h in heads if token.startswith(h)), "")
+    return [head] * bool(head) + ["d" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in token[len(head) :]]
 
 
 def labelled_credentials(each: int = 60, seed: int = 7) -> tuple[list[str], list[str]]:
@@ -57,6 +68,8 @@ def labelled_credentials(each: int = 60, seed: int = 7) -> tuple[list[str], list
         plain += [f"src/{word(2)}/{word(3)}/{word(3)}_{rng.randrange(100)}.py", f"//www.{word(3)}.{top}/{word(2)}/{year}/{rng.randrange(1, 13):02}/{word(2)}-{word(3)}.html", f"/usr/{word(2)}/{word(2)}{rng.randrange(10)}/{word(3)}"]
         plain += [f"{word(4)}.{word(3)}.{word(3)}", f"{word(4)}-{rng.randrange(10)}.{rng.randrange(20)}.{rng.randrange(10)}.tar.gz", f"{word(4)}.{word(4).capitalize()}", f"{word(3)}/{word(3)}+{word(3)}", camel(4), f"{camel(3)}.{word(3)}{camel(1)}", f"{word(3)}{camel(2)}{rng.randrange(100)}"]
         plain += ["".join(rng.choice("0123456789") for _ in range(rng.randrange(16, 40))), word(12).upper(), f"{word(3).upper()}_{word(4).upper()}_{rng.randrange(10)}", f"{word(3)}_{word(3)}{year}", f"//{word(4)}.{top}/{camel(2)}/{year}", f"{word(rng.randrange(1, 3))}{rng.randrange(20)}.{word(rng.randrange(2, 5))}.{top}"]
+        plain += [f"{word(rng.randrange(2, 7))}{year}{word(rng.randrange(2, 6))}", f"{word(3)}{rng.randrange(10)}{word(4)}{rng.randrange(100)}", "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))]
+        plain += [sign.join(word(rng.randrange(1, 4)) for _ in range(rng.randrange(3, 7))) for sign in "_-./"]
     return secret, plain
 
 
@@ -82,15 +95,18 @@ class Automaton:
             tree.counts[at][END] += 1
         return tree
 
-    def alike(self, a: int, b: int, bound: float, depth: int = 0) -> bool:
-        """Whether two states' symbol shares, and those of the states they lead to, differ by no more than chance allows."""
-        n, m = sum(self.counts[a].values()), sum(self.counts[b].values())
+    def alike(self, a: int, b: int, bound: float) -> bool:
+        """Whether the shares of two states' symbols, and those of all states they lead to, differ by no more than chance allows.
+
+        Shares are of strings that go on, so that layouts of several lengths can share states; b is in the tree, so this ends.
+        """
+        n, m = (sum(k for c, k in self.counts[x].items() if c != END) for x in (a, b))
         if not n or not m:
             return True
         most = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        if any(abs(self.counts[a][c] / n - self.counts[b][c] / m) > most for c in {*self.counts[a], *self.counts[b]}):
+        if any(abs(self.counts[a][c] / n - self.counts[b][c] / m) > most for c in {*self.counts[a], *self.counts[b]} - {END}):
             return False
-        return depth >= 8 or all(self.alike(self.next[a][c], self.next[b][c], bound, depth + 1) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c])
+        return all(self.alike(self.next[a][c], self.next[b][c], bound) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c])
 
     def fold(self, into: int, tree: int) -> None:
         """Add a subtree's counts to a state and its successors."""
@@ -119,9 +135,9 @@ class Automaton:
                 self.fold(twin, state)
 
     def log_likelihood(self, s: list[str], floor: float = 1e-3) -> float:
-        """Log probability of s; an unseen step costs log(floor) and keeps the state."""
+        """Log probability of the whole string s, its end included; an unseen step costs log(floor) and keeps the state."""
         total, at = 0.0, 0
-        for c in s:
+        for c in [*s, END]:
             counts = self.counts[at]
             n, seen = sum(counts.values()), counts.get(c, 0)
             total += math.log(max(seen / n, floor)) if n else math.log(floor)
@@ -130,18 +146,19 @@ class Automaton:
 
 
 class SecretModel:
-    """Automata of credentials and of plain tokens; a token's score is its log-likelihood ratio per symbol."""
+    """Automata of credentials and of plain tokens; a token's score is the log of its likelihood ratio."""
 
     def __init__(self, secret: list[str], plain: list[str]) -> None:
-        self.secret = Automaton.prefix_tree([symbols(x) for x in secret]).merge_states()
-        self.plain = Automaton.prefix_tree([symbols(x) for x in plain]).merge_states()
-        bad, good = sorted(map(self.score, secret)), sorted(map(self.score, plain))
-        # Between the lowest scores of labelled credentials and the highest of plain tokens.
-        self.least = max(bad[len(bad) // 50], good[-1 - len(good) // 200])
+        self.heads = learned_heads(secret)
+        self.secret = Automaton.prefix_tree([symbols(x, self.heads) for x in secret]).merge_states()
+        self.plain = Automaton.prefix_tree([symbols(x, self.heads) for x in plain]).merge_states()
+        # More likely a credential than plain, given the odds of one, and above all but 1 in 200 of the labelled plain tokens.
+        good = sorted(map(self.score, plain))
+        self.least = max(-math.log(ODDS), good[-1 - len(good) // 200])
 
     def score(self, token: str) -> float:
-        s = symbols(token)
-        return (self.secret.log_likelihood(s) - self.plain.log_likelihood(s)) / max(1, len(s))
+        s = symbols(token, self.heads)
+        return self.secret.log_likelihood(s) - self.plain.log_likelihood(s)
 
     def likely(self, token: str) -> bool:
         return self.score(token) >= self.least
@@ -186,7 +203,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, text_col: st
     """docs with `base_spans` and `spans` (base and method's), arrays of struct(start, end, kind), of each whole text.
 
     Null counts as empty: no spans. Rows are scanned one by one where they lie; there is no shuffle.
-    Repeated rows get equal spans; empty input gives an empty result.
+    Repeated rows get equal spans; columns of docs with the new names give way; empty input gives an empty result.
     """
     modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or SecretModel(*labelled_credentials()))
@@ -201,7 +218,9 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, text_col: st
             rows.append(tuple([{"start": s, "end": e, "kind": k} for s, e, k in x] for x in (base, every)))
         return pd.DataFrame(rows, columns=["base", "every"])
 
-    return docs.withColumn("_scan", scan(F.col(text_col))).select("*", F.col("_scan.base").alias("base_spans"), F.col("_scan.every").alias("spans")).drop("_scan")
+    names = [c for c in docs.columns if c not in ("base_spans", "spans", "_scan")]
+    found = docs.select(*names, scan(F.col(text_col)).alias("_scan"))
+    return found.select(*names, F.col("_scan.base").alias("base_spans"), F.col("_scan.every").alias("spans"))
 
 
 def joined(spans: str):
@@ -216,15 +235,3 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
     )
-
-
-def brute_digest(text: str | None) -> tuple[int, int, int, str]:
-    """The base result by the plainest reading of the formats; for tests."""
-    text, found = text or "", []
-    plain = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    found += [(m.start(), 0, m.end(), "assign") for m in plain.finditer(text) if len(m[1]) >= 8]
-    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
-    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
-    found.sort()
-    digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in found).encode()).hexdigest()
-    return tuple(sum(x[1] == i for x in found) for i in range(3)) + (digest,)
