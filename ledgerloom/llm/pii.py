@@ -20,6 +20,7 @@ FORMATS = {
 #: Cheap necessary conditions.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{M}]{3,}+"
+PART = 1000
 SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
@@ -34,8 +35,15 @@ def matches(text: Column, pattern: str | Column, kind: str) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("value"))
         return F.struct(end.alias("at"), F.when(match.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).cast(SPANS).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    empty = F.array().cast(SPANS).alias("out")
+
+    def steps(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), empty), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    # In parts of a thousand, as each append copies what there is.
+    parts = let(pairs, lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / PART).cast("int")), lambda i: F.slice(all_, i * PART + 1, PART)))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty), steps, lambda acc: acc["out"])
 
 
 def digits_of(value: Column) -> Column:
@@ -121,7 +129,7 @@ def find_personal_data(docs: DataFrame, share: float = 0.75, support: int = 2, i
     `support`. A null id is allowed. Empty input gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("th"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("th"))
 
     def context(base: Column) -> Column:
         entity = F.transform(base, lambda e: F.when(e["kind"].isin("card", "phone"), digits_of(e["value"])).otherwise(F.lower(e["value"])))
