@@ -75,7 +75,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha
     def loss(t):
         return -np.log(np.maximum(_soft(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
 
-    temperature = min(np.geomspace(0.05, 5, 41), key=loss) if len(truth) else 1.0
+    temperature = min(np.geomspace(0.005, 5, 61), key=loss) if len(truth) else 1.0
     return LanguageModel(langs, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), float(temperature))
 
 
@@ -121,7 +121,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
     """docs with `lang_pred` and `score` from the whole text; nothing but the text is looked at.
 
     `und` with score 0 where the text is null or has no letter, or where there was nothing to learn.
-    Each row is judged alone: repeated rows agree, empty input gives an empty result.
+    Each row is judged alone: repeated rows agree, empty input gives an empty result. Columns of docs with
+    the new names give way.
     """
     modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -130,7 +131,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
     def judged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(shared.value, t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_lang", judged(F.col(text_col))).select("*", "_lang.lang_pred", "_lang.score").drop("_lang")
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "_lang")]
+    return docs.select(*names, judged(F.col(text_col)).alias("_lang")).select(*names, "_lang.lang_pred", "_lang.score")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
