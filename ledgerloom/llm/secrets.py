@@ -135,12 +135,13 @@ class Automaton:
                 self.fold(twin, state)
 
     def log_likelihood(self, s: list[str], floor: float = 1e-3) -> float:
-        """Log probability of the whole string s, its end included; an unseen step costs log(floor) and keeps the state."""
+        """Log probability of the whole string s, its end included; an unseen step costs log(floor) and keeps the state, an unseen head as much as that many random characters."""
         total, at = 0.0, 0
         for c in [*s, END]:
             counts = self.counts[at]
             n, seen = sum(counts.values()), counts.get(c, 0)
-            total += math.log(max(seen / n, floor)) if n else math.log(floor)
+            least = floor if len(c) < 2 else 62.0 ** -len(c)
+            total += math.log(max(seen / n, least) if n else least)
             at = self.next[at].get(c, at)
         return total
 
