@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Letters folded by fold_text (Latin-1; others stay).
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
@@ -111,6 +115,13 @@ def word_count(c: Column) -> Column:
     return F.when(F.trim(c) == "", 0).otherwise(F.size(F.split(F.trim(c), r"\s+")))
 
 
+def normalize_confidence(c: Column, mode: str = "standard") -> Column:
+    """Words after over words before: as it is for strict, at least 0.1 for aggressive, times 1.2 for standard, 1 at most."""
+    norm = {"strict": normalize_strict, "standard": normalize_standard, "aggressive": normalize_aggressive}[mode](c)
+    r = F.try_divide(word_count(norm), word_count(c))
+    return F.least(F.lit(1.0), r * 1.2 if mode == "standard" else F.greatest(F.lit(0.1), r) if mode == "aggressive" else r)
+
+
 def entity_list(c: Column, kind: str) -> Column:
     """Sorted distinct entities of a type."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(fold_text(c), F.lit(ENTITIES[kind]), F.lit(0))))
@@ -188,3 +199,34 @@ def simple_similarity(a: Column, b: Column) -> Column:
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
     wx, wy = F.array_distinct(F.split(x, r"\s+")), F.array_distinct(F.split(y, r"\s+"))
     return F.when((x == "") | (y == ""), F.lit(0.0)).when(x.contains(y) | y.contains(x), F.lit(0.8)).otherwise(0.6 * F.size(F.array_intersect(wx, wy)) / F.greatest(F.size(wx), F.size(wy)))
+
+
+@pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The matching-blocks ratio of two texts, null if either is; for candidates only, as it runs in Python."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def terms(c: Column) -> Column:
+    """Words of two or more characters, and pairs of neighbours."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, pairs)
+
+
+def tfidf_similarity(a: Column, b: Column) -> Column:
+    """M4: cosine of TF-IDF over just the two texts: shared terms weigh 1, others 1 + ln 1.5; equal texts 1, empty ones 0."""
+    ta, tb, c2 = terms(a), terms(b), (1 + 0.4054651081081644) ** 2
+    times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t)).cast("double")
+    both, only_a, only_b = F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)
+    total = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda acc, t: acc + of(t))
+    dot = total(both, lambda t: times(ta, t) * times(tb, t))
+    norm = lambda xs, own: F.sqrt(total(both, lambda t: times(xs, t) * times(xs, t)) + c2 * total(own, lambda t: times(xs, t) * times(xs, t)))
+    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).when(F.size(both) == 0, 0.0).otherwise(dot / (norm(ta, only_a) * norm(tb, only_b)))
+
+
+def supplier_name(c: Column) -> Column:
+    """The first company entity, else up to three words before LTDA, S.A, ME or EPP and that word; null for none."""
+    first = F.regexp_extract(fold_text(c), ENTITIES["company"], 0)
+    before = F.regexp_extract(c, r"(?i)((?:\S+\s+){0,3}(?:LTDA|S\.A|ME|EPP))(?=\s|$)", 1)
+    return F.when(first != "", first).when(before != "", before)

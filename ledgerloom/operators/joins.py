@@ -65,16 +65,25 @@ def duplicate_match_join(records: DataFrame, tx: DataFrame, days: int = 7) -> Da
     return hit.groupBy("id").agg(F.count("*").alias("n"), F.min(F.abs(F.datediff("date", "od"))).alias("nearest_days"))
 
 
-def similar_anomalies(records: DataFrame, k: int = 5, days: int = 90) -> DataFrame:
-    """For each record the k newest other anomalies of its type detected within `days` before it.
+def similar_anomalies(records: DataFrame, as_of: str, k: int = 5, days: int = 90) -> DataFrame:
+    """For each anomaly the k newest others of its type detected within `days` before as_of, ties by larger id.
 
-    Each record needs the k before it in time, which a window of lagged rows gives in order.
+    Those are among the k + 1 newest of the type: so many are kept of each, ranked with the group limit
+    before the shuffle, and every anomaly meets them. Types are few, so that side is small whatever the number of anomalies.
     """
     rows = records.filter("is_anomaly")
-    w = Window.partitionBy("anomaly_type").orderBy("anomaly_detected_at", "id")
-    lags = F.array(*[F.struct(F.lag("id", i).over(w).alias("other_id"), F.lag("anomaly_detected_at", i).over(w).alias("at")) for i in range(1, k + 1)])
-    out = rows.select("id", "anomaly_detected_at", lags.alias("lags")).select("id", "anomaly_detected_at", F.posexplode("lags").alias("pos", "o"))
-    return out.filter(F.col("o.other_id").isNotNull() & (F.datediff("anomaly_detected_at", "o.at") <= days)).select("id", F.col("o.other_id").alias("other_id"), (F.col("pos") + 1).alias("rank"))
+    recent = rows.filter(F.col("anomaly_detected_at") >= F.expr(f"timestamp'{as_of}' - interval {days} days"))
+    newest = Window.partitionBy("anomaly_type").orderBy(F.col("anomaly_detected_at").desc(), F.col("id").desc())
+    top = recent.select("id", "anomaly_type", "anomaly_detected_at", F.row_number().over(newest).alias("place")).filter(F.col("place") <= k + 1)
+    lists = top.groupBy("anomaly_type").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("other_id")))).alias("all_"))  # k + 1 at most
+    met = rows.select("id", "anomaly_type").join(lists, "anomaly_type")
+    mine = met.select("id", F.slice(F.filter("all_", lambda x: x["other_id"] != F.col("id")), 1, k).alias("others"))
+    return mine.select("id", F.posexplode("others").alias("pos", "o")).select("id", F.col("o.other_id").alias("other_id"), (F.col("pos") + 1).alias("rank"))
+
+
+def except_ids(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id is not in `gone`."""
+    return rows.join(gone.select("id"), "id", "left_anti")
 
 
 def guarded_delete(requested: DataFrame, records: DataFrame) -> DataFrame:

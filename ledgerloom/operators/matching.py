@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ class MatchConfig:
         if not 0 <= self.threshold <= 1:
             raise ValueError("threshold must be between 0 and 1")
 
+    def check_saved(self) -> None:
+        """The weights of a saved configuration sum to 1 within 0.01; those of the default don't."""
+        if abs(self.exact + self.same_day + self.text + self.near_day + self.close - 1) > 0.01:
+            raise ValueError("weights must sum to 1")
+
 
 def matchable(df: DataFrame) -> DataFrame:
     """rows with id, date, amount of at least a cent and a description."""
@@ -44,20 +50,46 @@ def prepared(df: DataFrame, side: str, extra: list[str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns])
 
 
+def text_needed(cfg: MatchConfig, amount: float, date: float) -> float:
+    """The least text similarity with which a pair of these amount and date scores can reach the threshold, all else at its best."""
+    base = (cfg.threshold - 0.3 * (0.3 + 0.25 + 0.2)) / 0.7
+    return (base - amount - date - 0.1 - cfg.reference) / cfg.text if cfg.text else float("inf")
+
+
+def sharing_words(b: DataFrame, e: DataFrame, on: list[str], need: float) -> DataFrame:
+    """Pairs (b_id, e_id) equal on the keys `on` whose texts can be `need` similar.
+
+    Without a common word, similarity is 0.3 at most (entities alone), unless one text stands inside the
+    other; then all its words but the first and the last are common. So where more than 0.3 is needed,
+    pairs of longer texts meet per key and word, each under its smallest common word only, which splits hot days and
+    amounts; texts of one or two words meet all of their key.
+    """
+    if need <= 0.3:
+        return b.join(e, on).select("b_id", "e_id")
+    short = lambda side: F.size(f"{side}_words") <= 2
+    worded = lambda df, side: df.withColumn("word", F.explode(f"{side}_words"))
+    common = worded(b, "b").join(worded(e, "e"), [*on, "word"]).filter(F.col("word") == F.array_min(F.array_intersect("b_words", "e_words")))
+    inside = b.filter(short("b")).join(e, on).filter(F.col("e_norm").contains(F.col("b_norm")) | F.col("b_norm").contains(F.col("e_norm")))
+    around = e.filter(short("e")).join(b.filter(~short("b")), on).filter(F.col("e_norm").contains(F.col("b_norm")) | F.col("b_norm").contains(F.col("e_norm")))
+    return reduce(DataFrame.union, [x.select("b_id", "e_id") for x in (common, inside, around)])
+
+
 def candidate_pairs(bank: DataFrame, entries: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """J1's blocks as equi-joins on ids: equal cents; same day; within tolerance and 3 days. Distinct pairs.
+    """J1's blocks as equi-joins: equal cents; same day; within tolerance and 3 days. Distinct pairs.
 
-    No other pair can reach the default threshold (bounds in the survey), so nothing is lost. Same-day
-    buckets are the large ones; they are split by the adaptive skew join.
+    No other pair can reach the threshold, and of the first two blocks only pairs whose texts are alike
+    enough can (the third holds what is exact and near in time), so nothing is lost. Amounts need no text where the
+    configuration lets them decide alone; then the whole block is taken.
     """
-    b = bank.select(F.col("b_id"), F.col("b_date").alias("d"), F.abs("b_amount").alias("a"))
-    e = entries.select(F.col("e_id"), F.col("e_date").alias("d2"), F.abs("e_amount").alias("a2"))
-    exact = b.join(e, F.col("a") == F.col("a2")).select("b_id", "e_id")
-    same = b.join(e, F.col("d") == F.col("d2")).select("b_id", "e_id")
+    b = bank.select(F.col("b_id"), F.col("b_date").alias("day"), F.abs("b_amount").alias("cents"), "b_words", "b_norm")
+    e = entries.select(F.col("e_id"), F.col("e_date").alias("day"), F.abs("e_amount").alias("cents"), "e_words", "e_norm")
+    exact = sharing_words(b.drop("day"), e.drop("day"), ["cents"], text_needed(cfg, cfg.exact, 0.0))
+    same = sharing_words(b.drop("cents"), e.drop("cents"), ["day"], text_needed(cfg, 0.0, cfg.same_day))
     step = F.log(F.lit(1.0 + cfg.tolerance))
     bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / step)
-    left = b.withColumn("k", F.explode(F.sequence(bucket("a") - 2, bucket("a") + 2))).withColumn("day", F.explode(F.sequence(F.date_sub("d", 3), F.date_add("d", 3))))
-    right = e.withColumn("k", bucket("a2")).withColumn("day", F.col("d2"))
+    right = e.select("e_id", F.col("cents").alias("a2"), "day", F.explode(F.sequence(bucket("cents") - 2, bucket("cents") + 2)).alias("k"))
+    right = right.withColumn("day", F.explode(F.sequence(F.date_sub("day", 3), F.date_add("day", 3))))
+    left = b.select("b_id", F.col("cents").alias("a"), "day", bucket("cents").alias("k"))
     close = left.join(right, ["k", "day"]).filter(F.abs(F.col("a") - F.col("a2")) <= F.col("a") * F.lit(cfg.tolerance).cast("decimal(4,2)")).select("b_id", "e_id")
     return exact.union(same).union(close).distinct()
 
@@ -73,7 +105,8 @@ def base_score(cfg: MatchConfig) -> dict[str, Column]:
     inter = sum((F.size(F.array_intersect(ents[0][k], ents[1][k])) for k in ENTITIES), F.lit(0))
     union = sum((F.size(F.array_union(ents[0][k], ents[1][k])) for k in ENTITIES), F.lit(0))
     entity = F.when(union > 0, inter / union).otherwise(F.lit(0.0))
-    reference = F.when(F.contains("e_description", "b_transaction_id"), cfg.reference).otherwise(0.0)
+    told = F.lower(F.trim("b_transaction_id"))
+    reference = F.when((told != "") & F.contains(F.lower("e_description"), told), cfg.reference).otherwise(0.0)
     return {"amount_score": amount, "date_score": date, "text_similarity": text, "entity_bonus": entity, "reference_bonus": reference}
 
 

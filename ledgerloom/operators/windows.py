@@ -26,6 +26,16 @@ def frequency_spikes(tx: DataFrame, times: float = 1.5) -> DataFrame:
     return days.crossJoin(F.broadcast(median)).filter(F.col("n") > times * F.col("median")).select(F.col("date").cast("string").alias("date"), "n", "median", (F.weekday("date") >= 5).alias("weekend"))
 
 
+def last_n(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The n newest rows, ties by larger id; Spark keeps n a task."""
+    return rows.orderBy(F.col(by).desc(), F.col("id").desc()).limit(n)
+
+
+def top_n_groups(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The n values with the most rows, ties by value."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), by).limit(n)
+
+
 def tumbling_metrics(events: DataFrame) -> DataFrame:
     """Counts and values per minute and type."""
     g = events.groupBy(F.window("ts", "60 seconds").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))

@@ -1,8 +1,8 @@
-"""Workflow, permissions, audit and retention rules."""
+"""Workflow, escalation, permissions, audit and retention rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values: (state, action, next state, roles).
@@ -18,6 +18,22 @@ TRANSITIONS = [
 #: Minutes that a state may last, and amount limits of roles (null: none).
 STATE_LIMITS = {"pending_review": 1440, "pending_approval": 2880, "escalated": 7200, "on_hold": 10080}
 ROLE_LIMITS = {"operator": 5000.0, "reviewer": 25000.0, "approver": 100000.0, "admin": None, "auditor": 0.0}
+#: Legacy states, who hears of a new state and by what template, and states of high priority.
+LEGACY = {"pending": "pending_review", "confirmed": "reconciled"}
+NOTICES = [
+    ("pending_review", "reviewer", "pending_review_notification"), ("pending_approval", "approver", "pending_approval_notification"), ("escalated", "admin", "escalation_notification"),
+    ("rejected", "operator", "rejection_notification"), ("approved", "operator", "approval_notification"),
+]
+#: Fixed values: (rule, trigger, state, hours, least amount, largest score, level, role).
+ESCALATIONS = [
+    ("timeout_review", "timeout", "pending_review", 24.0, None, None, 1, "reviewer"), ("timeout_approval", "timeout", "pending_approval", 48.0, None, None, 2, "approver"),
+    ("timeout_escalated", "timeout", "escalated", 8.0, None, None, 3, "admin"), ("high_value_transaction", "threshold_exceeded", None, None, 100_000.0, None, 2, "approver"),
+    ("critical_value_transaction", "threshold_exceeded", None, None, 500_000.0, None, 3, "admin"), ("high_risk_match", "risk_threshold", None, None, None, 0.3, 2, "approver"),
+    ("very_high_risk_match", "risk_threshold", None, None, None, 0.1, 3, "admin"),
+]
+LEVELS = {1: "low", 2: "medium", 3: "high", 4: "critical", 5: "urgent"}
+#: Days that events of a class are kept.
+RETENTION = {"user": 365, "reconciliation": 2555, "workflow": 2555, "system": 90, "security": 2555, "compliance": 2555}
 SENSITIVE = "password|token|secret|key|credential|ssn|tax_id|bank_account|credit_card"
 
 
@@ -53,8 +69,10 @@ def timed_out(rows: DataFrame, as_of: str) -> DataFrame:
 
 
 def mask_sensitive(m: Column) -> Column:
-    """Values under sensitive keys become up to eight stars."""
-    return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike(SENSITIVE), F.repeat(F.lit("*"), F.least(F.length(v), F.lit(8)))).otherwise(v))
+    """Values under sensitive keys become up to eight stars, numbers 0; in a map of texts a number is what reads as one."""
+    number = lambda v: v.try_cast("double").isNotNull()
+    hidden = lambda v: F.when(number(v), "0").otherwise(F.repeat(F.lit("*"), F.least(F.length(v), F.lit(8))))
+    return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike(SENSITIVE), hidden(v)).otherwise(v))
 
 
 def changed_fields(old: Column, new: Column) -> Column:
@@ -63,6 +81,130 @@ def changed_fields(old: Column, new: Column) -> Column:
     return F.when((F.size(old) > 0) & (F.size(new) > 0), keys).otherwise(F.array().cast("array<string>"))
 
 
-def event_hash(*fields: Column) -> Column:
-    """SHA-256 of the fields in their order."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), 256)
+def event_hash(**fields: Column) -> Column:
+    """SHA-256 of the JSON text of the fields, sorted by name; a null field is left out, which no other value is written as."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
+def replay_workflow(log: DataFrame, start: str = "draft") -> DataFrame:
+    """G1: of each record's events (record, seq, action, role), applied in order: the last state, how many applied and how many were invalid.
+
+    An event without a rule for the state leaves it as it is. The fold is over one record's own log.
+    """
+    rules = F.create_map(*[F.lit(x) for s, a, n, roles in TRANSITIONS for r in roles.split(",") for x in (f"{s}|{a}|{r}", n)])
+    logs = log.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "role"))).alias("events"))
+    zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("applied"), F.lit(0).alias("invalid"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.element_at(rules, F.concat_ws("|", acc["state"], x["action"], x["role"]))
+        return F.struct(F.coalesce(new, acc["state"]).alias("state"), (acc["applied"] + new.isNotNull().cast("int")).alias("applied"), (acc["invalid"] + new.isNull().cast("int")).alias("invalid"))
+
+    return logs.select("record", F.aggregate("events", zero, step).alias("x")).select("record", "x.state", "x.applied", "x.invalid")
+
+
+def legacy_state(status: Column) -> Column:
+    """G1: the workflow state that a record's old status stands for."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv]), status), status)
+
+
+def available_actions(rows: DataFrame) -> DataFrame:
+    """Rows (state, role, ...) with the sorted actions that the role may take."""
+    rules = transition_table(rows).groupBy("state", "role").agg(F.array_sort(F.collect_set("action")).alias("actions"))
+    return rows.join(F.broadcast(rules), ["state", "role"], "left").withColumn("actions", F.coalesce("actions", F.array().cast("array<string>")))
+
+
+def transition_conditions(justification: Column, amount: Column, attachments: Column) -> dict[str, Column]:
+    """Whether each condition of a transition holds."""
+    return {"has_justification": F.coalesce(justification != "", F.lit(False)), "high_value": ~F.coalesce(F.abs(amount) > 10_000, F.lit(False)), "requires_attachment": F.coalesce(attachments > 0, F.lit(False))}
+
+
+def notifications(moves: DataFrame) -> DataFrame:
+    """For each move (record, action, next_state) who is told, by which template, how urgently; none for other states."""
+    rules = F.broadcast(moves.sparkSession.createDataFrame(NOTICES, "next_state string, recipient_role string, template string"))
+    return moves.join(rules, "next_state").withColumn("priority", F.when(F.col("next_state").isin("escalated", "rejected"), "high").otherwise("normal"))
+
+
+def workflow_history(log: DataFrame) -> DataFrame:
+    """Each record's valid moves, newest first by `place`, with the state before and after."""
+    w = Window.partitionBy("record").orderBy(F.col("seq").desc())
+    moves = transition_lookup(log).filter("next_state <> 'invalid'")
+    return moves.withColumn("place", F.row_number().over(w))
+
+
+def escalation_rules(df: DataFrame, custom: DataFrame | None = None, inactive: tuple[str, ...] = ()) -> DataFrame:
+    """J17's rules as rows, those of `custom` among them (U2), less the inactive ones."""
+    schema = "rule string, trigger string, when_state string, hours double, least_amount double, largest_score double, level int, target_role string"
+    rules = df.sparkSession.createDataFrame(ESCALATIONS, schema)
+    rules = rules if custom is None else rules.unionByName(custom)
+    return rules.filter(~F.col("rule").isin(*inactive)) if inactive else rules
+
+
+def escalate(items: DataFrame, as_of: str, rules: DataFrame | None = None) -> DataFrame:
+    """Each open item (id, state, since, amount, match_score) and each rule that it meets, with level, severity and reason.
+
+    A rule's declared state must hold too. The rules are a few dozen rows, broadcast against the items: no item meets another.
+    """
+    rules = F.broadcast(escalation_rules(items) if rules is None else rules)
+    hours = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("since")) / 3600
+    amount = F.abs(F.col("amount").cast("double"))
+    at = lambda cond: F.coalesce(cond, F.lit(False))
+    hit = (
+        at((F.col("trigger") == "timeout") & (hours >= F.col("hours"))) | at((F.col("trigger") == "threshold_exceeded") & (amount >= F.col("least_amount")))
+        | at((F.col("trigger") == "risk_threshold") & (F.col("match_score") <= F.col("largest_score")))
+    ) & (F.col("when_state").isNull() | (F.col("when_state") == F.col("state")))
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
+    reason = (
+        F.when(F.col("trigger") == "timeout", F.format_string("Item has been pending for %.1f hours", hours)).when(F.col("trigger") == "threshold_exceeded", F.format_string("Transaction amount %.2f exceeds threshold", amount))
+        .otherwise(F.format_string("Low match score %.2f indicates high risk", F.col("match_score").cast("double")))
+    )
+    return items.join(rules, hit).select("id", "rule", "trigger", "level", F.element_at(level, F.col("level")).alias("severity"), "target_role", reason.alias("reason"))
+
+
+def compliance_rules(log: DataFrame, as_of: str) -> DataFrame:
+    """G8 over an audit log (record, action, user_id, amount, ts): per record whether creator and approver differ below the amount limit,
+    whether large amounts have two approvals, and whether what is unapproved is younger than 48 hours."""
+    approvers = F.collect_set(F.when(F.col("action") == "approve", F.col("user_id")))
+    creators = F.collect_set(F.when(F.col("action") == "create", F.col("user_id")))
+    g = log.groupBy("record").agg(approvers.alias("approvers"), creators.alias("creators"), F.max(F.abs(F.col("amount").cast("double"))).alias("amount"), F.min("ts").alias("first_ts"))
+    age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("first_ts")) / 3600
+    return g.select(
+        "record", (F.size(F.array_intersect("approvers", "creators")) == 0).alias("separated"), (~(F.col("amount") > 50_000) | (F.size("approvers") >= 2)).alias("two_approvals"), ((F.size("approvers") > 0) | (age < 48)).alias("in_time"),
+    )
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
+    """Events (event_type, user_id, resource_type, resource_id, action, ts, old_values, new_values as maps) that have the required
+    fields, with masked values, the changed fields and the hash of the masked event."""
+    rows = events.filter("event_type is not null and user_id is not null and resource_type is not null and resource_id is not null and action is not null")
+    rows = rows.withColumns({"changed": changed_fields(F.col("old_values"), F.col("new_values")), "old_values": mask_sensitive(F.col("old_values")), "new_values": mask_sensitive(F.col("new_values"))})
+    fields = ("event_type", "user_id", "resource_type", "resource_id", "action", "ts", "old_values", "new_values")
+    return rows.withColumn("event_hash", event_hash(**{f: F.col(f) for f in fields}))
+
+
+def audit_query(log: DataFrame, user=None, kind=None, start=None, end=None, limit: int | None = None) -> DataFrame:
+    """Events of a user, type and time, newest first."""
+    rows = log
+    for column, value in (("user_id", user), ("event_type", kind)):
+        rows = rows.filter(F.col(column) == value) if value is not None else rows
+    rows = rows.filter(F.col("ts") >= F.lit(start).cast("timestamp")) if start else rows
+    rows = rows.filter(F.col("ts") <= F.lit(end).cast("timestamp")) if end else rows
+    return rows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(limit) if limit else rows
+
+
+def retained(log: DataFrame, as_of: str) -> DataFrame:
+    """Events (class, ts) not older than their class allows; unknown classes are kept."""
+    days = F.element_at(F.create_map(*[F.lit(x) for kv in RETENTION.items() for x in kv]), F.col("class"))
+    return log.filter(days.isNull() | (F.datediff(F.lit(as_of).cast("timestamp"), "ts") <= days))
+
+
+def overdue_steps(steps: DataFrame, as_of: str) -> DataFrame:
+    """Open steps (workflow, step, started, minutes, done) longer open than their minutes, counted from the workflow's start."""
+    age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("started")) / 60
+    return steps.filter(~F.col("done") & (age > F.col("minutes"))).withColumn("late_minutes", F.floor(age - F.col("minutes")))
+
+
+def workflow_report(steps: DataFrame) -> DataFrame:
+    """Per workflow the steps, those done, the open ones by name, and whether all required ones are done."""
+    return steps.groupBy("workflow").agg(
+        F.count("*").alias("steps"), F.count(F.when(F.col("done"), 1)).alias("done"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("done"), F.col("step")))), ",").alias("open"), F.bool_and(F.col("done") | ~F.col("required")).alias("complete"),
+    )

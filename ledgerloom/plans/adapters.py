@@ -45,7 +45,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recon(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_id") % 2 == 0)
     i = F.col("event_id")
-    anomaly, done = i % 7 == 0, i % 14 == 0
+    anomaly, done = i % 7 == 0, i % 28 == 0
     return e.select(
         i.alias("id"), i.alias("bank_transaction_id"), (i - i % 3).alias("company_entry_id"), ((50 + i % 50) / 100).alias("match_score"), pick(["pending", "confirmed", "rejected"], F.floor(i / 2) % 3).alias("status"),
         F.col("ts").alias("created_at"), anomaly.alias("is_anomaly"), F.when(anomaly, pick(TYPES, i % 5)).alias("anomaly_type"), F.when(anomaly, pick(SEVERITIES, F.floor(i / 14) % 4)).alias("anomaly_severity"),
@@ -77,7 +77,7 @@ ledger AS (SELECT *, CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS tr
 recon AS (SELECT event_id AS id, event_id AS bank_transaction_id, event_id - event_id % 3 AS company_entry_id, (50 + event_id % 50) / 100 AS match_score,
     ['pending','confirmed','rejected'][CAST((event_id // 2) % 3 + 1 AS INT)] AS status, ts AS created_at, event_id % 7 = 0 AS is_anomaly,
     CASE WHEN event_id % 7 = 0 THEN {_list(TYPES)}[CAST(event_id % 5 + 1 AS INT)] END AS anomaly_type, CASE WHEN event_id % 7 = 0 THEN {_list(SEVERITIES)}[CAST((event_id // 14) % 4 + 1 AS INT)] END AS anomaly_severity,
-    CASE WHEN event_id % 7 = 0 THEN (event_id % 100) / 100 END AS anomaly_score, CASE WHEN event_id % 7 = 0 THEN ts END AS anomaly_detected_at, CASE WHEN event_id % 14 = 0 THEN user_id % 5 END AS anomaly_reviewed_by,
-    CASE WHEN event_id % 14 = 0 THEN ts + INTERVAL 5 HOUR END AS anomaly_reviewed_at, CASE WHEN event_id % 14 = 0 THEN ['confirmed','dismissed','escalated'][CAST((event_id // 28) % 3 + 1 AS INT)] END AS anomaly_action
+    CASE WHEN event_id % 7 = 0 THEN (event_id % 100) / 100 END AS anomaly_score, CASE WHEN event_id % 7 = 0 THEN ts END AS anomaly_detected_at, CASE WHEN event_id % 28 = 0 THEN user_id % 5 END AS anomaly_reviewed_by,
+    CASE WHEN event_id % 28 = 0 THEN ts + INTERVAL 5 HOUR END AS anomaly_reviewed_at, CASE WHEN event_id % 28 = 0 THEN ['confirmed','dismissed','escalated'][CAST((event_id // 28) % 3 + 1 AS INT)] END AS anomaly_action
   FROM events WHERE event_id % 2 = 0)
 """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import coerce as C
 from ledgerloom.functions import text as T
-from ledgerloom.operators import anomaly, joins, matching, quality, reports, windows, workflow
+from ledgerloom.operators import joins, matching, quality, reports, windows, workflow
 from ledgerloom.plans import adapters
 from ledgerloom.plans.adapters import FOLD, VIEWS
 from ledgerloom.sources import ofx
@@ -72,12 +72,10 @@ reg("A4_insight_summary", lambda v: reports.insight_summary(v.bank()), "SELECT c
 reg("A5_category_share", lambda v: reports.category_share(v.bank()), f"SELECT category, n, expenses, round(100 * expenses / sum(expenses) OVER (), 1) AS share FROM (SELECT category, count(*) AS n, {NEG} AS expenses FROM bank_tx GROUP BY 1)")
 reg("A6_weekday_spending", lambda v: reports.weekday_spending(v.bank()), f"SELECT CAST(d AS INTEGER) AS weekday, coalesce(spent, 0.0) AS spent FROM range(7) r(d) LEFT JOIN (SELECT isodow(date) - 1 AS w, {NEG} AS spent FROM bank_tx GROUP BY 1) ON w = d")
 reg("A7_peak_day", lambda v: reports.peak_day(v.bank()), "SELECT CAST(day(date) AS INTEGER) AS day, CAST(-sum(amount) AS DOUBLE) AS spent FROM bank_tx WHERE amount < 0 GROUP BY 1 ORDER BY sum(amount), 1 LIMIT 1")
-reg("A8_anomaly_insights", lambda v: reports.anomaly_insights(v.bank()), "SELECT id, CASE WHEN z > 2 THEN 'far off the mean' ELSE 'off the mean' END AS reason FROM (SELECT id, abs(CAST(amount AS DOUBLE) - avg(CAST(amount AS DOUBLE)) OVER ()) / stddev_pop(CAST(amount AS DOUBLE)) OVER () AS z FROM bank_tx) WHERE z > 1.5")
 reg("A10_recon_report", lambda v: reports.recon_report(v.recon()), """SELECT n, pending, confirmed, rejected, round(confirmed / n, 4) AS rate, round(s / confirmed, 4) AS mean_score FROM (SELECT count(*) AS n, count(*) FILTER (status = 'pending') AS pending,
     count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'rejected') AS rejected, sum(match_score) FILTER (status = 'confirmed') AS s FROM recon)""")
 reg("A11_reconciled_value", lambda v: reports.reconciled_value(v.recon(), v.bank()), f"SELECT {money('sum(abs(amount))')} AS absolute, {POS} AS credits, {NEG} AS debits, {NET} AS net FROM recon r JOIN bank_tx b ON r.bank_transaction_id = b.id WHERE status = 'confirmed'")
 reg("A12_recent_activity", lambda v: reports.recent_activity(v.recon(), AS_OF), f"SELECT count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'rejected') AS rejected FROM recon WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
-reg("A13_anomaly_stats", lambda v: reports.anomaly_stats(v.recon()), "SELECT anomaly_type, anomaly_severity, count(*) AS n, count(anomaly_action) AS resolved, count(*) FILTER (anomaly_action IS NULL) AS pending FROM recon WHERE is_anomaly GROUP BY ROLLUP (anomaly_type, anomaly_severity)")
 reg("A14_anomaly_stats_by_reviewer", lambda v: reports.anomaly_stats_by_reviewer(v.recon()), """SELECT anomaly_reviewed_by, count(*) AS handled, count(*) FILTER (anomaly_action = 'confirmed') AS confirmed, count(*) FILTER (anomaly_action = 'dismissed') AS dismissed,
     round(avg((epoch(anomaly_reviewed_at) - epoch(anomaly_detected_at)) / 3600), 4) AS mean_hours FROM recon WHERE anomaly_reviewed_by IS NOT NULL GROUP BY 1""")
 reg("A15_anomaly_trend", lambda v: reports.anomaly_trend(v.recon()), "SELECT CAST(CAST(anomaly_detected_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM recon WHERE is_anomaly GROUP BY 1")
@@ -90,8 +88,6 @@ MONTHS = f"""SELECT strftime(m, '%Y-%m') AS month, coalesce(income, 0.0) AS inco
     LEFT JOIN (SELECT date_trunc('month', date) AS m2, {POS} AS income, {NEG} AS expense FROM bank_tx GROUP BY 1) ON m = m2"""
 reg("A26_monthly_series", lambda v: reports.monthly_series(v.bank()), MONTHS)
 reg("A27_monthly_statement", lambda v: reports.monthly_statement(v.bank()), f"SELECT strftime(date, '%Y-%m') AS month, category, {POS} AS income, {NEG} AS expenses, {NET} AS net FROM bank_tx GROUP BY 1, 2")
-reg("L7_forecast_trend", lambda v: reports.forecast_trend(reports.monthly_series(v.bank()), 6), f"""SELECT strftime(DATE '2024-01-01' + to_months(CAST(last + s AS INTEGER)), '%Y-%m') AS month, round(greatest(0.0, ib + ik * (last + s)), 4) AS income, round(greatest(0.0, eb + ek * (last + s)), 4) AS expense
-    FROM (SELECT max(i) AS last, regr_slope(income, i) AS ik, regr_intercept(income, i) AS ib, regr_slope(expense, i) AS ek, regr_intercept(expense, i) AS eb FROM (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i FROM ({MONTHS}))), range(1, 7) r(s)""")
 reg("L8_trim_history", lambda v: reports.trim_history(v.bank()).select("id"), "SELECT id FROM bank_tx, (SELECT quantile_cont(CAST(amount AS DOUBLE), 0.01) AS a, quantile_cont(CAST(amount AS DOUBLE), 0.99) AS b FROM bank_tx) WHERE CAST(amount AS DOUBLE) BETWEEN a AND b")
 
 # Joins and sets
@@ -108,11 +104,8 @@ reg("J10_enrich_records", lambda v: joins.enrich_records(v.recon(), v.bank(), v.
 reg("J11_duplicate_match_join", lambda v: joins.duplicate_match_join(v.recon(), v.bank()), """, o AS (SELECT r.id, bank_transaction_id AS bt, company_entry_id AS ce, amount, date FROM recon r JOIN bank_tx b ON b.id = r.bank_transaction_id WHERE status IN ('pending','confirmed'))
     SELECT a.id, count(*) AS n, CAST(min(abs(a.date - b.date)) AS INTEGER) AS nearest_days FROM o a JOIN o b ON a.amount = b.amount AND abs(a.date - b.date) <= 7 AND a.bt <> b.bt AND a.ce <> b.ce GROUP BY 1""")
 SQL["J11_duplicate_match_join"] = VIEWS.rstrip() + SQL["J11_duplicate_match_join"][len(VIEWS):]
-reg("J12_similar_anomalies", lambda v: joins.similar_anomalies(v.recon()), "SELECT a.id, b.id AS other_id, CAST(row_number() OVER (PARTITION BY a.id ORDER BY b.anomaly_detected_at DESC, b.id DESC) AS INTEGER) AS rank FROM recon a JOIN recon b ON a.is_anomaly AND b.is_anomaly AND a.anomaly_type = b.anomaly_type AND (b.anomaly_detected_at, b.id) < (a.anomaly_detected_at, a.id) QUALIFY rank <= 5")
-reg("J14_guarded_delete", lambda v: joins.guarded_delete(v.ledger().filter("id % 10 = 0").select("id"), v.recon()), "SELECT id, coalesce(n, 0) AS linked, n IS NULL AS deletable FROM ledger LEFT JOIN (SELECT company_entry_id, count(*) AS n FROM recon GROUP BY 1) ON id = company_entry_id WHERE id % 10 = 0")
 reg("J15_cascade_delete", lambda v: joins.cascade_delete(v.bank(), v.recon(), v.bank().filter("amount < -50").select("id")), "SELECT (SELECT count(*) FROM bank_tx WHERE NOT amount < -50) AS tx_left, (SELECT count(*) FROM recon WHERE bank_transaction_id NOT IN (SELECT id FROM bank_tx WHERE amount < -50)) AS records_left")
 reg("E1_union_by_name", lambda v: joins.union_by_name([v.bank().select("id", "description", "bank_name"), v.ledger().select("id", "description", "cost_center")]), "SELECT id, description, bank_name, NULL AS cost_center FROM bank_tx UNION ALL SELECT id, description, NULL, cost_center FROM ledger")
-reg("E2_except_ids", lambda v: v.ledger().select("id").join(v.recon().select(F.col("company_entry_id").alias("id")), "id", "left_anti"), "SELECT id FROM ledger WHERE id NOT IN (SELECT company_entry_id FROM recon)")
 reg("F14_apply_patches", lambda v: joins.apply_patches(v.ledger().select("id", "department", "transaction_type"), v.recon().select(F.col("company_entry_id").alias("id"), F.col("id").alias("seq"), F.concat(F.lit(" N"), (F.col("id") % 3).cast("string")).alias("department"), F.when(F.col("id") % 4 == 0, "income").otherwise("bad").alias("transaction_type")), ["department", "transaction_type"], {"transaction_type": ["income", "expense"]}),
     "SELECT l.id, coalesce('N' || p.seq % 3, department) AS department, CASE WHEN p.seq % 4 = 0 THEN 'income' ELSE transaction_type END AS transaction_type FROM ledger l LEFT JOIN (SELECT company_entry_id AS id, max(id) AS seq FROM recon GROUP BY 1) p ON p.id = l.id")
 reg("S15_add_missing_columns", lambda v: joins.add_missing_columns(v.bank().select("id", "amount"), {"amount": ("string", "x"), "justificativa": ("string", "")}).select("id", "justificativa"), "SELECT id, '' AS justificativa FROM bank_tx")
@@ -121,19 +114,9 @@ reg("S15_add_missing_columns", lambda v: joins.add_missing_columns(v.bank().sele
 reg("F1_search_transactions", lambda v: quality.search_transactions(v.bank(), kind="debit", start="2024-02-01", end="2024-10-31", text="boleto").select("id", "description"), "SELECT id, description FROM bank_tx WHERE transaction_type = 'debit' AND date BETWEEN DATE '2024-02-01' AND DATE '2024-10-31' AND (contains(lower(description), 'boleto') OR contains(lower(category), 'boleto'))")
 reg("F4_paginate", lambda v: quality.paginate(v.bank(), 3, 50).select("id"), "SELECT id FROM bank_tx ORDER BY date DESC, id LIMIT 50 OFFSET 100")
 reg("F5_matchable_rows", lambda v: matching.matchable(v.bank()).select("id"), "SELECT id FROM bank_tx WHERE abs(amount) >= 0.01 AND trim(description) <> ''")
-reg("F6_validate_transactions", lambda v: quality.validate_transactions(v.bank(), "2024-12-01").select("id", "is_valid", F.array_join("errors", ",").alias("errors"), F.size("warnings").alias("warnings")),
-    "SELECT id, date <= DATE '2024-12-01' AND trim(description) <> '' AS is_valid, concat_ws(',', CASE WHEN date > DATE '2024-12-01' THEN 'date out of range' END, CASE WHEN trim(description) = '' THEN 'description missing' END) AS errors, CAST(CASE WHEN amount = 0 THEN 1 ELSE 0 END AS INTEGER) AS warnings FROM bank_tx")
 reg("F11_split_incomplete", lambda v: quality.import_status(v.bank(), v.bank().filter("id % 5 = 0")).groupBy("status").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN trim(description) = '' THEN 'incomplete' WHEN EXISTS (SELECT 1 FROM bank_tx s WHERE s.id % 5 = 0 AND s.date = b.date AND s.amount = b.amount AND s.description = b.description) THEN 'duplicate' ELSE 'imported' END AS status, count(*) AS n FROM bank_tx b GROUP BY 1")
-reg("F15_list_pending", lambda v: v.recon().filter("status = 'pending'").select("id", "match_score"), "SELECT id, match_score FROM recon WHERE status = 'pending'")
-reg("F16_list_anomalies", lambda v: v.recon().filter("is_anomaly and anomaly_severity = 'high' and anomaly_action is null").orderBy(F.col("anomaly_detected_at").desc(), "id").limit(100).select("id"), "SELECT id FROM recon WHERE is_anomaly AND anomaly_severity = 'high' AND anomaly_action IS NULL ORDER BY anomaly_detected_at DESC, id LIMIT 100")
-_flag = lambda p: f"regexp_matches(lower(t), '{p.replace(chr(39), chr(39) * 2)}')"
-reg("F17_scan_injection", lambda v: quality.scan_injection(v.table("pages"), F.col("html")).select("page_id", "has_xss", "has_sql", "has_traversal", "has_command"),
-    f"SELECT page_id, {_flag(quality.XSS)} AS has_xss, {_flag(quality.SQL_INJECTION)} AS has_sql, {_flag(quality.TRAVERSAL)} AS has_traversal, {_flag(quality.COMMAND)} AS has_command FROM (SELECT page_id, html AS t FROM pages)")
 reg("F18_sanitize_text", lambda v: v.table("pages").select("page_id", F.md5(quality.sanitize_text(F.col("html"))).alias("clean")), """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS clean FROM pages""")
-reg("F19_scan_scripts", lambda v: v.table("pages").select("page_id", quality.scan_scripts(F.col("html")).alias("has_script")), r"SELECT page_id, regexp_matches(substr(lower(html), 1, 8192), '<script|javascript:|vbscript:|onload=|onerror=|eval\(|document\.|window\.') AS has_script FROM pages")
-reg("F21_drop_balance_rows", lambda v: quality.drop_balance_rows(v.bank()).select("id"), "SELECT id FROM bank_tx WHERE NOT contains(lower(description), 'saldo')")
-
 # Text and coercion
 reg("X1_fold_text", lambda v: v.bank().select("id", T.fold_text(F.col("description")).alias("folded")), f"SELECT id, {FOLD.format('description')} AS folded FROM bank_tx")
 NOISE_SQL = "[" + ", ".join(f"'{w}'" for w in T.NOISE) + "]"
@@ -153,8 +136,6 @@ def _amount_texts(v: Views) -> DataFrame:
 
 reg("X9_parse_amount_text", lambda v: _amount_texts(v).select("id", C.parse_amount_text(F.col("t")).alias("value")), f"SELECT id, CASE WHEN id % 4 = 2 THEN CAST(replace(replace(t, '.', ''), ',', '.') AS DOUBLE) ELSE CAST(regexp_replace(replace(t, ',', '.'), '[^0-9.]', '', 'g') AS DOUBLE) END AS value FROM ({AMOUNTS})")
 reg("X11_coerce_amount", lambda v: _amount_texts(v).select("id", C.coerce_amount(F.col("t")).alias("value")), f"SELECT id, CASE WHEN id % 4 = 2 THEN CAST(replace(replace(t, '.', ''), ',', '.') AS DOUBLE) WHEN id % 4 = 3 THEN -CAST(regexp_replace(t, '[()]', '', 'g') AS DOUBLE) ELSE CAST(replace(replace(t, 'R$ ', ''), ',', '.') AS DOUBLE) END AS value FROM ({AMOUNTS})")
-reg("X12_coerce_date", lambda v: v.bank().select("id", C.coerce_date(F.when(F.col("id") % 3 == 0, F.date_format("date", "dd/MM/yyyy")).when(F.col("id") % 3 == 1, F.col("date").cast("string")).otherwise(F.lit("31/31/2024"))).cast("string").alias("d")), "SELECT id, CASE WHEN id % 3 < 2 THEN CAST(date AS VARCHAR) END AS d FROM bank_tx")
-reg("X14_clean_description", lambda v: v.bank().select("id", C.clean_description(F.col("description")).alias("d")), "SELECT id, CASE WHEN d = '' THEN 'Transação sem descrição' ELSE d END AS d FROM (SELECT id, trim(regexp_replace(trim(description), '^(TED|DOC|PIX|TRANSF|SAQUE|DEPOSITO|COMPRA)\\b(\\s*[-:]\\s*)?', '', 'i')) AS d FROM bank_tx)")
 reg("X19_categorize", lambda v: v.bank().groupBy("description", "category").agg(F.count("*").alias("n")), "SELECT description, category, count(*) AS n FROM bank_tx GROUP BY 1, 2")
 _over = " ".join("WHEN " + " OR ".join(f"contains(f, '{w}')" for w in words.split("|")) + f" THEN '{k}'" for k, words in T.OVERRIDES.items())
 reg("X20_rule_override", lambda v: v.bank().select("id", T.rule_override(F.col("description")).alias("rule")), f"SELECT id, CASE {_over} END AS rule FROM (SELECT id, {FOLD.format('description')} AS f FROM bank_tx)")
@@ -162,17 +143,12 @@ _in, _ex = (", ".join(f"'{x}'" for x in xs) for xs in (T.INCOME, T.EXPENSE))
 reg("X22_category_by_sign", lambda v: v.bank().select("id", T.category_by_sign(F.col("amount"), F.col("category"), F.col("description")).alias("adjusted")), f"""SELECT id, CASE WHEN amount < 0 AND lower(category) IN ({_in}) THEN CASE WHEN back IN ({_in}) THEN 'outros' ELSE back END
     WHEN amount > 0 AND lower(category) IN ({_ex}) THEN CASE WHEN lower(back) IN ({_ex}) THEN 'receitas' ELSE back END ELSE category END AS adjusted FROM (SELECT id, amount, category, coalesce(CASE {_over} END, category) AS back FROM (SELECT *, {FOLD.format('description')} AS f FROM bank_tx))""")
 reg("X25_default_category", lambda v: v.bank().select("id", T.default_category(F.when(F.col("id") % 3 == 0, F.lit(" NaN ")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "category"))).alias("c")), "SELECT id, CASE WHEN id % 3 < 2 THEN 'Nao categorizado' ELSE category END AS c FROM bank_tx")
-reg("X28_mask_sensitive", lambda v: v.table("events").select("event_id", F.to_json(workflow.mask_sensitive(F.create_map(F.lit("api_token"), "event_type", F.lit("name"), F.col("user_id").cast("string")))).alias("masked")), """SELECT event_id, '{"api_token":"' || repeat('*', least(length(event_type), 8)) || '","name":"' || user_id || '"}' AS masked FROM events""")
 reg("X29_changed_fields", lambda v: v.table("events").select("event_id", F.array_join(workflow.changed_fields(F.create_map(F.lit("a"), (F.col("event_id") % 2).cast("string"), F.lit("b"), F.lit("x")), F.create_map(F.lit("a"), F.lit("0"), F.lit("c"), F.lit("y"))), ",").alias("changed")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'a,b,c' ELSE 'b,c' END AS changed FROM events")
-reg("X30_event_hash", lambda v: v.table("events").select("event_id", workflow.event_hash(F.col("event_id"), F.col("event_type"), F.col("user_id")).alias("h")), "SELECT event_id, sha256(event_id || '|' || event_type || '|' || user_id) AS h FROM events")
-reg("X33_convert_currency", lambda v: v.bank().select("id", F.round(F.col("amount").cast("decimal(18,4)") / F.lit(5).cast("decimal(4,0)"), 2).cast("double").alias("value")), "SELECT id, CAST(round(CAST(amount * 2 AS DECIMAL(28,3)) * 0.1, 2) AS DOUBLE) AS value FROM bank_tx")
 reg("M18_simple_similarity", lambda v: v.bank().select("id", F.round(T.simple_similarity(F.col("description"), adapters.pick(adapters.LEDGER_TEXTS, F.col("id") % 12)), 6).alias("s")), f"""SELECT id, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN contains(x, y) OR contains(y, x) THEN 0.8 ELSE round(0.6 * len(list_intersect(wx, wy)) / greatest(len(wx), len(wy)), 6) END AS s
     FROM (SELECT id, x, y, list_distinct(string_split(x, ' ')) AS wx, list_distinct(string_split(y, ' ')) AS wy FROM (SELECT id, lower(trim(description)) AS x, lower({adapters._list(adapters.LEDGER_TEXTS)}[CAST(id % 12 + 1 AS INT)]) AS y FROM bank_tx))""")
 
 # Windows
 reg("W3_batch_duplicates", lambda v: joins.batch_duplicates(v.bank()), "SELECT * FROM (SELECT id, min(id) OVER (PARTITION BY date, amount, lower(trim(description))) AS first_id FROM bank_tx) WHERE id > first_id")
-reg("W4_last_n", lambda v: v.bank().orderBy(F.col("date").desc(), F.col("id").desc()).limit(5).select("id"), "SELECT id FROM bank_tx ORDER BY date DESC, id DESC LIMIT 5")
-reg("W5_top_n_groups", lambda v: v.recon().filter("is_anomaly").groupBy("anomaly_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "anomaly_type").limit(5), "SELECT anomaly_type, count(*) AS n FROM recon WHERE is_anomaly GROUP BY 1 ORDER BY n DESC, anomaly_type LIMIT 5")
 reg("W6_rate_limit_flags", lambda v: windows.rate_limit_flags(v.table("events"), 2, 600), "SELECT event_id, n, n <= 2 AS allowed, n >= 4 AS blocked FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 36000000000 PRECEDING AND CURRENT ROW) AS n FROM events)")
 reg("W7_running_balance", lambda v: windows.running_balance(v.bank()), "SELECT id, account_id, CAST(sum(amount) OVER (PARTITION BY account_id ORDER BY date, id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM bank_tx")
 reg("W8_frequency_spikes", lambda v: windows.frequency_spikes(v.bank()), "SELECT CAST(date AS VARCHAR) AS date, n, median, isodow(date) >= 6 AS weekend FROM (SELECT date, count(*) AS n FROM bank_tx GROUP BY 1), (SELECT quantile_cont(n, 0.5) AS median FROM (SELECT count(*) AS n FROM bank_tx GROUP BY date)) WHERE n > 1.5 * median")
@@ -206,33 +182,6 @@ reg("flagship_match_report", lambda v: matching.find_matches(v.bank(), v.ledger(
 SQL["flagship_match_report"] = VIEWS.rstrip() + _PAIRS + f"SELECT CASE WHEN score >= 0.9 THEN 'auto' WHEN score >= 0.8 THEN 'strong' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.6 THEN 'review' ELSE 'weak' END AS recommendation, count(*) AS n, round(avg(score), 4) AS mean_score FROM ({_RANKED}) WHERE days <= 30 AND diff <= 0.02 * greatest(ba, ea) GROUP BY 1"
 
 
-# Anomalies of matches
-def _enriched(v: Views) -> DataFrame:
-    b = v.bank().select(F.col("id").alias("bank_transaction_id"), F.col("amount").alias("bank_amount"), F.col("date").alias("bank_date"), F.col("category").alias("bank_category"), F.col("transaction_type").alias("bank_type"))
-    e = v.ledger().select(F.col("id").alias("company_entry_id"), F.col("amount").alias("entry_amount"), F.col("date").alias("entry_date"), F.col("category").alias("entry_category"), F.col("transaction_type").alias("entry_type"))
-    return v.recon().select("id", "bank_transaction_id", "company_entry_id", "match_score").join(b, "bank_transaction_id").join(e, "company_entry_id")
-
-
-ENRICHED = """(SELECT r.id, r.match_score, b.amount AS a, e.amount AS c, b.date AS d, e.date AS f, b.category AS bc, e.category AS ec, b.transaction_type AS bt, e.transaction_type AS et FROM recon r JOIN bank_tx b ON b.id = r.bank_transaction_id JOIN ledger e ON e.id = r.company_entry_id)"""
-
-
-def _item(v: Views, item) -> DataFrame:
-    return _enriched(v).select("id", item.alias("i")).select("id", F.col("i.severity").alias("severity"), F.round("i.score", 6).alias("score"))
-
-
-PCT = "abs(abs(CAST(a AS DOUBLE)) - abs(CAST(c AS DOUBLE))) / greatest(abs(CAST(a AS DOUBLE)), abs(CAST(c AS DOUBLE)))"
-reg("D1_amount_mismatch", lambda v: _item(v, anomaly.amount_mismatch(F.col("bank_amount"), F.col("entry_amount"))),
-    f"SELECT id, CASE WHEN a = 0 OR c = 0 THEN 'critical' WHEN p > 0.5 THEN 'critical' WHEN p > 0.2 THEN 'high' WHEN p > 0.05 THEN 'medium' WHEN p > 0.01 THEN 'low' END AS severity, round(CASE WHEN a = 0 OR c = 0 THEN 0.9 WHEN p > 0.5 THEN least(0.95, p * 1.5) WHEN p > 0.2 THEN least(0.8, p * 2) WHEN p > 0.05 THEN least(0.6, p * 5) WHEN p > 0.01 THEN least(0.3, p * 10) END::DOUBLE, 6) AS score FROM (SELECT *, {PCT} AS p FROM {ENRICHED})")
-reg("D2_date_discrepancy", lambda v: _item(v, anomaly.date_discrepancy(F.col("bank_date"), F.col("entry_date"))),
-    f"SELECT id, CASE WHEN p > 90 THEN 'critical' WHEN p > 30 THEN 'high' WHEN p > 7 THEN 'medium' WHEN p > 3 THEN 'low' END AS severity, round(CASE WHEN p > 90 THEN least(0.95, p / 365) WHEN p > 30 THEN least(0.8, p / 120) WHEN p > 7 THEN least(0.6, p / 60) WHEN p > 3 THEN least(0.3, p / 30) END::DOUBLE, 6) AS score FROM (SELECT *, abs(d - f) AS p FROM {ENRICHED})")
-_CONF = " OR ".join(f"(bc = '{a}' AND ec = '{b}') OR (bc = '{b}' AND ec = '{a}')" for a, b in anomaly.CONFLICTS)
-reg("D4_category_conflict", lambda v: _item(v, anomaly.category_conflict(F.col("bank_category"), F.col("entry_category"))),
-    f"SELECT id, CASE WHEN {_CONF} THEN 'medium' WHEN g THEN 'low' END AS severity, round(CASE WHEN {_CONF} THEN 0.5 WHEN g THEN 0.3 END::DOUBLE, 6) AS score FROM (SELECT *, bc <> ec AND (bc IN ('outros','transferencia','saque') OR ec IN ('outros','transferencia','saque')) AS g FROM {ENRICHED})")
-RISK = "(CASE WHEN x > 10000 THEN 0.3 WHEN x > 5000 THEN 0.1 ELSE 0 END + CASE WHEN (bt = 'credit' AND et = 'expense') OR (bt = 'debit' AND et = 'income') THEN 0.4 ELSE 0 END + CASE WHEN isodow(d) >= 6 THEN 0.2 ELSE 0 END + CASE WHEN x > 1000 AND x % 1000 = 0 THEN 0.1 ELSE 0 END)::DOUBLE"
-reg("D5_risk_pattern", lambda v: _item(v, anomaly.risk_pattern(F.col("bank_amount"), F.col("bank_type"), F.col("entry_type"), F.col("bank_date"))),
-    f"SELECT id, CASE WHEN s > 0.5 THEN 'high' WHEN s > 0.3 THEN 'medium' END AS severity, round(CASE WHEN s > 0.3 THEN s END, 6) AS score FROM (SELECT *, {RISK} AS s FROM (SELECT *, abs(CAST(a AS DOUBLE)) AS x FROM {ENRICHED}))")
-reg("D7_analyze_match", lambda v: anomaly.analyze(_enriched(v)).select("id", "n_anomalies", "total", "severity", "confidence", "review", "priority", "primary_type"))
-
 # Workflow and permissions
 STATES, ROLES, ACTIONS = ["draft", "pending_review", "pending_approval", "approved", "on_hold"], ["operator", "reviewer", "approver", "admin", "auditor"], ["submit_for_review", "approve_review", "reject_review", "escalate", "put_on_hold", "resume", "cancel"]
 
@@ -252,7 +201,7 @@ reg("G6_timed_out", lambda v: workflow.timed_out(_log(v), AS_OF).select("id", "s
 
 # Sources and streams
 reg("S1_ofx_source", lambda v: ofx.statement_rows(ofx.statement_texts(v.bank().filter("description <> ''"))).select("account_id", "transaction_id", F.col("timestamp").cast("date").cast("string").alias("date"), F.col("amount").cast("double").alias("amount"), "description", "transaction_type"),
-    "SELECT account_id, transaction_id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, trim(regexp_replace(trim(description), '^(TED|DOC|PIX|TRANSF|SAQUE|DEPOSITO|COMPRA)\\b(\\s*[-:]\\s*)?', '', 'i')) AS description, transaction_type FROM bank_tx WHERE description <> ''")
+    "SELECT account_id, transaction_id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, regexp_replace(trim(description), '^(TED|DOC|PIX|TRANSF|SAQUE|DEPOSITO|COMPRA)\\b(\\s*[-:]\\s*)?', '', 'i') AS description, transaction_type FROM bank_tx WHERE description <> ''")
 reg("S7_statement_summary", lambda v: ofx.statement_summary(ofx.statement_rows(ofx.statement_texts(v.bank()))),
     f"SELECT account_id || '/' || strftime(date, '%Y%m') AS path, count(*) AS n, {POS} AS credits, abs({money('sum(CASE WHEN amount <= 0 THEN amount END)')}) AS debits, {NET} AS balance FROM bank_tx GROUP BY 1")
 reg("S6_account_header", lambda v: ofx.account_header(ofx.statement_texts(v.bank())).select("path", "account_id", "bank_id", F.col("balance").cast("double").alias("balance")), f"SELECT account_id || '/' || strftime(date, '%Y%m') AS path, account_id, '104' AS bank_id, {NET} AS balance FROM bank_tx GROUP BY ALL")
@@ -261,28 +210,15 @@ reg("S12_skip_seen_files", lambda v: ofx.skip_seen_files(ofx.statement_texts(v.b
 reg("T2_stream_dedup", lambda v: jobs.run_once(jobs.stream_dedup(jobs.events_stream(v.spark, v.dir).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")), ["event_id"]).select("event_id"), v.scratch()), "SELECT event_id FROM events")
 _marks = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{m}')" for m in marks) + f" THEN '{bank}'" for bank, marks in ofx.BANK_MARKS.items())
 reg("S5_identify_bank", lambda v: v.table("documents").select("doc_id", ofx.identify_bank(F.col("text")).alias("bank")), f"SELECT doc_id, CASE {_marks} ELSE 'unknown' END AS bank FROM documents")
-_ITEMS = f"""(SELECT *, CASE WHEN p > 0.5 THEN 0.95 WHEN p > 0.2 THEN 0.8 WHEN p > 0.05 THEN 0.6 WHEN p > 0.01 THEN 0.3 END AS am, CASE WHEN p > 0.5 THEN least(0.95, p * 1.5) WHEN p > 0.2 THEN least(0.8, p * 2) WHEN p > 0.05 THEN least(0.6, p * 5) WHEN p > 0.01 THEN least(0.3, p * 10) END AS a1,
-  CASE WHEN k > 90 THEN least(0.95, k / 365) WHEN k > 30 THEN least(0.8, k / 120) WHEN k > 7 THEN least(0.6, k / 60) WHEN k > 3 THEN least(0.3, k / 30) END AS a2,
-  CASE WHEN {_CONF} THEN 0.5 WHEN bc <> ec AND (bc IN ('outros','transferencia','saque') OR ec IN ('outros','transferencia','saque')) THEN 0.3 END AS a4, CASE WHEN s > 0.3 THEN s END AS a5, {_CONF} AS hard
-  FROM (SELECT *, {PCT} AS p, abs(d - f) AS k, {RISK} AS s FROM (SELECT *, abs(CAST(a AS DOUBLE)) AS x FROM {ENRICHED})))"""
-_W = "coalesce(a1 * CASE WHEN p > 0.5 THEN 1.0 WHEN p > 0.2 THEN 0.8 WHEN p > 0.05 THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a2 * CASE WHEN k > 90 THEN 1.0 WHEN k > 30 THEN 0.8 WHEN k > 7 THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a4 * CASE WHEN hard THEN 0.6 ELSE 0.3 END::DOUBLE, 0) + coalesce(a5 * CASE WHEN s > 0.5 THEN 0.8 ELSE 0.6 END::DOUBLE, 0)"
-reg("D8_overall_severity", lambda v: anomaly.analyze(_enriched(v)).select("id", "n_anomalies", "total", "severity"),
-    f"SELECT id, n_anomalies, round(t, 6) AS total, CASE WHEN round(t, 6) >= 0.95 OR n_anomalies >= 3 THEN 'critical' WHEN round(t, 6) >= 0.8 THEN 'high' WHEN round(t, 6) >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT id, CAST((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT + (a5 IS NOT NULL)::INT AS INTEGER) AS n_anomalies, {_W} AS t FROM {_ITEMS})")
-
 # More scalar functions and lookups
 reg("X2_normalize_strict", lambda v: v.bank().select("id", T.normalize_strict(F.concat(F.lit("  "), "description")).alias("n")), f"SELECT id, trim({FOLD.format('description')}) AS n FROM bank_tx")
 _aggressive = f"list_filter(string_split(trim(regexp_replace(regexp_replace({FOLD.format('description')}, '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND NOT list_contains({NOISE_SQL}, w))"
 reg("X4_normalize_aggressive", lambda v: v.bank().select("id", T.normalize_aggressive(F.col("description")).alias("n")), f"SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS n FROM (SELECT id, {_aggressive} AS w FROM bank_tx)")
-reg("X5_normalize_confidence", lambda v: v.bank().filter("description <> ''").select("id", F.round(F.least(F.lit(1.0), 1.2 * T.word_count(T.normalize_standard(F.col("description"))) / T.word_count(F.col("description"))), 6).alias("c")),
-    f"SELECT id, round(least(1.0, 1.2::DOUBLE * len(string_split(n, ' ')) / len(string_split(description, ' '))), 6) AS c FROM (SELECT id, description, {STANDARD} AS n FROM bank_tx WHERE description <> '')")
 reg("X10_parse_date_text", lambda v: v.bank().select("id", C.parse_date_text(F.when(F.col("id") % 2 == 0, F.concat(F.lit("em "), F.date_format("date", "dd.MM.yyyy"), F.lit(" pago"))).otherwise(F.concat(F.lit("vence 99/99/2024 ou "), F.col("date").cast("string")))).cast("string").alias("d")), "SELECT id, CAST(date AS VARCHAR) AS d FROM bank_tx")
 reg("X13_coerce_description", lambda v: v.table("documents").select("doc_id", F.md5(C.coerce_description(F.col("text"))).alias("d")), "SELECT doc_id, md5(substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 500)) AS d FROM documents")
 reg("X16_type_by_sign", lambda v: v.bank().select("id", C.bank_type(F.col("amount")).alias("bank_type"), C.ledger_type(F.col("amount")).alias("ledger_type")), "SELECT id, CASE WHEN amount > 0 THEN 'credit' ELSE 'debit' END AS bank_type, CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS ledger_type FROM bank_tx")
 reg("X21_canonical_category", lambda v: v.bank().select("id", T.canonical_category(F.when(F.col("id") % 2 == 0, F.lit("MULTA")).otherwise(F.col("category"))).alias("c")), "SELECT id, CASE WHEN id % 2 = 0 THEN 'Juros/Multa' ELSE category END AS c FROM bank_tx")
-reg("F2_search_ledger", lambda v: quality.paginate(v.ledger().filter("transaction_type = 'expense' and date between date'2024-02-01' and date'2024-09-30'"), 2, 40).select("id"), "SELECT id FROM ledger WHERE transaction_type = 'expense' AND date BETWEEN DATE '2024-02-01' AND DATE '2024-09-30' ORDER BY date DESC, id LIMIT 40 OFFSET 40")
-reg("F12_adjusted_flag", lambda v: v.recon().select("id", (F.length(F.trim(F.coalesce("anomaly_action", F.lit(" ")))) > 0).alias("was_adjusted")), "SELECT id, length(trim(coalesce(anomaly_action, ' '))) > 0 AS was_adjusted FROM recon")
-reg("J3_existing_pair_lookup", lambda v: v.recon().filter("id % 3 = 0").select("bank_transaction_id", "company_entry_id").join(v.recon().filter("id % 5 = 0").select(F.col("id").alias("record_id"), "bank_transaction_id", "company_entry_id"), ["bank_transaction_id", "company_entry_id"], "left"),
-    "SELECT a.bank_transaction_id, a.company_entry_id, b.id AS record_id FROM recon a LEFT JOIN recon b ON b.id % 5 = 0 AND a.bank_transaction_id = b.bank_transaction_id AND a.company_entry_id = b.company_entry_id WHERE a.id % 3 = 0")
-reg("J6_fetch_duplicates", lambda v: v.ledger().filter("id % 9 = 0").select("date", "amount", "description").distinct().join(v.ledger().select("id", "date", "amount", "description"), ["date", "amount", "description"]).select("id"), "SELECT id FROM ledger l WHERE EXISTS (SELECT 1 FROM ledger s WHERE s.id % 9 = 0 AND s.date = l.date AND s.amount = l.amount AND s.description = l.description)")
 reg("J2_valid_match_filter", lambda v: matching.scored_pairs(v.bank(), v.ledger()).filter(matching.valid(matching.MatchConfig())).select("b_id", "e_id"))
 SQL["J2_valid_match_filter"] = VIEWS.rstrip() + _PAIRS + "SELECT b_id, e_id FROM g WHERE score >= 0.65 AND days <= 30 AND diff <= 0.02 * greatest(ba, ea)"
+
+from ledgerloom.plans import rules  # noqa: E402, F401  its queries register themselves

