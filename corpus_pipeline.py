@@ -7,12 +7,10 @@ All but the last stage return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable, shared_dir, small, table
+from ledgerloom.llm.common import Scratch, small, table
 from ledgerloom.llm.decontam import contained_items
 from ledgerloom.llm.minhash import drop_near_duplicates
 from ledgerloom.llm.mixing import mix_sources
@@ -32,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination (7): documents that hold a benchmark item go."""
-    leaks = durable(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(small(leaks), "doc_id", "left_anti").select(*docs.columns)
+    leaks = contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak_id")).distinct()
+    return docs.join(small(leaks), F.col("doc_id") == F.col("_leak_id"), "left_anti")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,15 +62,17 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: The first stage's model and the second's signatures can't be written as SQL; tests hold stages against brute force.
+#: The first stage's model can't be written as SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents` of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over `documents` of sf_dir; a stage's table is deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        scratch = Scratch(spark)
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.clear()
+        before = scratch
     return docs
