@@ -69,7 +69,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
         """(doc_id, width, size, name): the runs of each wanted width; `size` is how many there are."""
         def of_width(width: int) -> DataFrame:
             sh = let(words_of(F.col("text")), lambda words: runs(words, width, of))
-            return rows.select("doc_id", sh.alias("sh")).select("doc_id", F.lit(width).alias("width"), F.size("sh").alias("size"), F.explode("sh").alias(name))
+            # An outer explode, as of a plain one Spark infers a filter on the array, computes it twice and before the semi-join.
+            return rows.select("doc_id", sh.alias("sh")).select("doc_id", F.lit(width).alias("width"), F.size("sh").alias("size"), F.explode_outer("sh").alias(name))
 
         return reduce(DataFrame.union, map(of_width, widths or [size]))
 
