@@ -1,4 +1,4 @@
-"""Structured Streaming forms: dedup within a watermark, metrics, stateful workflow."""
+"""Structured Streaming forms: dedup within a watermark, metrics, routing with dead letters."""
 
 from __future__ import annotations
 
