@@ -127,6 +127,6 @@ def analyze(pairs: DataFrame, records: DataFrame | None = None, tx: DataFrame |
     times = F.when(F.col("severity") == "critical", 3.0).when(F.col("severity") == "high", 2.0).when(F.col("severity") == "medium", 1.5).otherwise(1.0)
     primary = F.array_max(F.transform("anomalies", lambda x: F.struct(weight(x["severity"]).alias("w"), x["score"].alias("score"), x["type"].alias("type"))))["type"]
     return rows.withColumns({
-        "total": F.least(full, F.lit(1.0)), "confidence": confidence, "review": review, "priority": F.round(F.least(F.lit(10.0), full * times * (1 + 0.2 * n)), 4), "primary_type": primary,
+        "total": F.least(full, F.lit(1.0)), "confidence": confidence, "review": review, "priority": F.least(F.lit(10.0), full * times * (1 + 0.2 * n)), "primary_type": primary,
         "advice": recommendations(F.col("anomalies"), F.col("severity")),
     }).drop("_full")

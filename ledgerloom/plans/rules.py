@@ -104,9 +104,9 @@ reg("D6_duplicate_match", lambda v: _analyzed(v).select("id", F.exists("anomalie
 with_views("D6_duplicate_match", _DUPES + f"SELECT id, uid IS NOT NULL AS is_duplicate FROM {_ENRICHED} LEFT JOIN u ON uid = id")
 reg("D7_analyze_match", lambda v: _analyzed(v).select("id", "n_anomalies", F.round("total", 4).alias("total"), "primary_type"))
 with_views("D7_analyze_match", _DUPES + f"SELECT id, n AS n_anomalies, round(least(t, 1.0), 4) AS total, primary_type FROM {_JUDGED}")
-reg("D8_overall_severity", lambda v: _analyzed(v).select("id", "severity", "confidence", "review", "priority"))
+reg("D8_overall_severity", lambda v: _analyzed(v).select("id", "severity", "confidence", "review", F.round(F.col("priority") + 1e-9, 4).alias("priority")))
 with_views("D8_overall_severity", _DUPES + f"""SELECT id, severity, CASE WHEN n = 0 OR (m > 0.8 AND t > 0.6) THEN 'high' WHEN m > 0.6 AND t > 0.3 THEN 'medium' ELSE 'low' END AS confidence, severity IN ('critical', 'high') OR n >= 2 OR must AS review,
-  round(least(10.0, t * CASE severity WHEN 'critical' THEN 3.0::DOUBLE WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.5 ELSE 1.0 END * (1 + 0.2::DOUBLE * n)), 4) AS priority FROM {_JUDGED}""")
+  round(least(10.0, t * CASE severity WHEN 'critical' THEN 3.0::DOUBLE WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.5 ELSE 1.0 END * (1 + 0.2::DOUBLE * n)) + 1e-9::DOUBLE, 4) AS priority FROM {_JUDGED}""")
 reg("D12_recommendations", lambda v: _analyzed(v).select("id", F.array_join("advice", "|").alias("advice")))
 with_views("D12_recommendations", _DUPES + f"SELECT id, array_to_string(list_sort(list_filter(said || [CASE severity WHEN 'critical' THEN '{anomaly.SEVERITY_ADVICE['critical']}' WHEN 'high' THEN '{anomaly.SEVERITY_ADVICE['high']}' END], lambda x: x IS NOT NULL)), '|') AS advice FROM {_JUDGED}")
 
