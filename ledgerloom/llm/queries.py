@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerloom.llm import decontam, exact, fim, htmltext, langid, minhash, mixing, pii, quality, ring, secrets
+from ledgerloom.llm import audit, decontam, exact, fim, htmltext, langid, minhash, mixing, pii, quality, ring, secrets
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op8_page_text": htmltext.op8_page_text,
         "op9_language_id": langid.op9_language_id,
         "op10_ring_sharding": ring.op10_ring_sharding,
+        "op11_filter_audit": audit.op11_filter_audit,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.OP4_SQL, "op7_decontaminate": decontam.OP7_SQL, "op12_fill_in_middle": fim.OP12_SQL}
+    return {"op4_exact_dedup": exact.OP4_SQL, "op7_decontaminate": decontam.OP7_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_fill_in_middle": fim.OP12_SQL}
