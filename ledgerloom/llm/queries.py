@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerloom.llm import audit, decontam, exact, fim, htmltext, langid, minhash, mixing, pii, quality, ring, secrets
+from ledgerloom.llm import audit, decontam, exact, fim, htmltext, langid, minhash, mixing, pii, quality, ring, secrets, vectors
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_ring_sharding": ring.op10_ring_sharding,
         "op11_filter_audit": audit.op11_filter_audit,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_near_vectors": vectors.op13_near_vectors,
     }
 
 
