@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WORD, Scratch, durable, small
 
-#: Fractional part of the golden ratio: slot i stands at the fraction of i times this.
+#: Fractional part of the golden ratio: slot i stands at the fraction of i times this, reckoned in units of 2**-64, so that late slots are as exact as early ones.
 GOLDEN = (math.sqrt(5) - 1) / 2
+GOLDEN_64 = Decimal(11400714819323198485)
 #: Slots are ranked within ranges of so many.
 CHUNK = 1 << 16
-#: Multipliers of the shuffle; of three primes one has no common factor with a number of blocks.
-PRIMES = (1_000_003, 1_000_033, 1_000_037)
+#: Rounds of the shuffle.
+ROUNDS = 24
 
 
 def source_targets(totals: DataFrame, weights: list[float], cap: float) -> DataFrame:
@@ -56,7 +58,7 @@ def schedule(targets: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     spans = targets.withColumn("hi", F.sum("target").over(up)).withColumn("total", F.sum("target").over(Window.partitionBy()))
     spans = scratch.save(spans.select("sid", ((F.col("hi") - F.col("target")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"), "total"))
     count = math.ceil((spans.agg(F.max("total")).first()[0] or 0.0) / block)
-    points = targets.sparkSession.range(count).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("u"))
+    points = targets.sparkSession.range(count).select(F.col("id").alias("slot"), (((F.col("id") + 1).cast("decimal(18,0)") * F.lit(GOLDEN_64) % F.lit(Decimal(2**64))).cast("double") / 2.0**64).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * grid).cast("int"))
     cells = spans.filter("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid).cast("int"), F.least(F.floor(F.col("hi") * grid).cast("int"), F.lit(grid)))))
     # The last interval is closed above: rounding must not leave a point without a source.
@@ -70,9 +72,15 @@ def schedule(targets: DataFrame, block: int, scratch: Scratch) -> DataFrame:
 
 
 def shuffled(rank: Column, blocks: Column) -> Column:
-    """The block that slot rank takes: a permutation of 0 to blocks - 1."""
-    times = F.coalesce(*[F.when(blocks % p != 0, F.lit(p)) for p in PRIMES], F.lit(1))
-    return (rank % blocks * (times % blocks) + times) % blocks
+    """The block that slot rank takes: a seeded permutation of 0 to blocks - 1, for any number of blocks.
+
+    Swap-or-not rounds: each pairs x with (key - x) mod blocks, and a hash of the pair's larger member decides whether they change places.
+    """
+    def swap(x: Column, k: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit("key"), k, blocks), blocks) - x, blocks)
+        return F.when(F.pmod(F.xxhash64(F.lit("swap"), k, F.greatest(x, other)), F.lit(2)) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), rank.cast("long"), swap)
 
 
 def streams(docs: DataFrame, weights, cap: float, seed: str, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -98,19 +106,25 @@ def streams(docs: DataFrame, weights, cap: float, seed: str, id_col: str, text_c
 def mix_blocks(rows: DataFrame, targets: DataFrame, cap: float, block: int, scratch: Scratch) -> DataFrame:
     """(slot, sid, block, row, id, first, words): what stands in each slot of the mix, as pieces of documents, `first` counting a document's words from 0.
 
-    A source's stream repeats; its words are cut into blocks of `block` words, as many as it has slots
-    (the last ends where the source has been taken cap times). Its slots, ranked, take those blocks in a
-    shuffled order. Blocks and slots meet by an equi-join on (source, block).
+    A source's stream repeats; as many of its words are given as its target says, to the nearest word. They are
+    cut into blocks of `block` words, at most as many as the source has slots; the last block has what is
+    left, which may be less or, where the schedule gave too few slots, some blocks' worth. A source too small for a
+    slot of the schedule gets one behind the others. Slots, ranked, take the blocks in a shuffled order. Blocks and
+    slots meet by an equi-join on (source, block).
     """
     slots = scratch.save(schedule(targets, block, scratch))
-    given = slots.groupBy("sid").agg(F.count("*").alias("blocks"))
-    given = scratch.save(given.join(targets.select("sid", "source_size"), "sid").select("sid", "blocks", F.least(F.col("blocks") * block, F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long").alias("given")))
-    taken = slots.join(small(given.select("sid", "blocks")), "sid").select("slot", "sid", shuffled(F.col("rank"), F.col("blocks")).alias("block"))
-    rounds = rows.filter("size > 0").join(small(given.select("sid", "given")), "sid")
+    whole = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long")
+    given = targets.select("sid", "source_size", whole.alias("given")).filter("given > 0").join(slots.groupBy("sid").agg(F.count("*").alias("slots")), "sid", "left")
+    given = scratch.save(given.withColumn("blocks", F.greatest(F.lit(1), F.least(F.coalesce("slots", F.lit(1)), F.ceil(F.col("given") / block)))))
+    extra = given.filter("slots is null").select((F.row_number().over(Window.orderBy("sid")) - 1 + slots.count()).cast("long").alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
+    placed = slots.select("slot", "sid", "rank").union(extra).join(small(given.select("sid", "blocks")), "sid").filter("rank < blocks")
+    taken = placed.select("slot", "sid", shuffled(F.col("rank"), F.col("blocks")).alias("block"))
+    rounds = rows.filter("size > 0").join(small(given.select("sid", "given", "blocks")), "sid")
     rounds = rounds.withColumn("lap", F.explode(F.sequence(F.lit(0), F.floor(F.col("given") / F.col("source_size")).cast("int"))))
     rounds = rounds.withColumn("from", F.col("lap") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("given"))).filter(F.col("from") < F.col("to"))
-    pieces = rounds.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    low, high = F.greatest("from", F.col("block") * block), F.least("to", (F.col("block") + 1) * block)
+    last = F.col("blocks") - 1
+    pieces = rounds.withColumn("block", F.explode(F.sequence(F.least(F.floor(F.col("from") / block), last), F.least(F.floor((F.col("to") - 1) / block), last))))
+    low, high = F.greatest("from", F.col("block") * block), F.when(F.col("block") == last, F.col("to")).otherwise(F.least("to", (F.col("block") + 1) * block))
     pieces = pieces.select("sid", "block", "row", "id", (low - F.col("from")).alias("first"), (high - low).alias("words"))
     return taken.join(pieces, ["sid", "block"]).select("slot", "sid", "block", "row", "id", "first", "words")
 
@@ -120,13 +134,13 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: float = 3.0, bloc
 
     A source's documents, in the order of a hash of the id, make one endless stream that repeats, cut into equal
     blocks; mix_blocks puts them in the slots of the schedule, and a row's words are summed over its pieces. So a
-    source with n slots gives the first n*block words: all its documents in full rounds, then a part. Positions in the stream
+    source gives as many words as its target says: all its documents in full rounds, then a part. Positions in the stream
     come from sums over 4,096 hash buckets per source and a window inside a bucket, so a source with
     a third of all rows is spread over many tasks.
 
     Null text has size 0. Null source is a source of its own, last in order. Empty texts are taken 0
     times. Repeated rows are laid one after another. A source of size 0 has target 0. Empty input:
-    empty result. Targets are met to within a few blocks; no document exceeds cap times its size.
+    empty result. Targets are met to the nearest word; no document exceeds cap times its size.
     """
     scratch = Scratch(docs.sparkSession)
     rows, targets = streams(docs, weights, cap, seed, id_col, text_col, source_col, scratch)
