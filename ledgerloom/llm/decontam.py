@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +51,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
     """(doc_id, item_id, n_shingles, matched, containment) of each document that holds at least `threshold` of an item's shingles.
 
     Search: hashes of all shingles of all documents meet the sketches, those of items that the document
-    is long enough for, and enough of a sketch must be there. Verification: only candidate documents
+    is long enough for (all its rows together), and enough of a sketch must be there. Verification: only candidate documents
     are read again, and their shingles, as words, are compared with all of an item's. Sketches, items and
     candidates are broadcast up to a counted size, else joined by shuffles with each key dealt to several tasks.
 
@@ -66,18 +65,21 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
     read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def shingled(rows: DataFrame, of: Callable[[Column], Column], name: str) -> DataFrame:
-        """(doc_id, width, size, name): the runs of each wanted width; `size` is how many there are."""
-        def of_width(width: int) -> DataFrame:
-            sh = let(words_of(F.col("text")), lambda words: runs(words, width, of))
-            # An outer explode, as of a plain one Spark infers a filter on the array, computes it twice and before the semi-join.
-            return rows.select("doc_id", sh.alias("sh")).select("doc_id", F.lit(width).alias("width"), F.size("sh").alias("size"), F.explode_outer("sh").alias(name))
-
-        return reduce(DataFrame.union, map(of_width, widths or [size]))
+        """(doc_id, width, size, name): the runs of each wanted width, in one pass; `size` is how many there are."""
+        each = lambda words: F.array(*[F.struct(F.lit(w).alias("width"), runs(words, w, of).alias("sh")) for w in widths or [size]])
+        # Outer explodes, as of a plain one Spark infers a filter on the array, computes it twice and before the semi-join.
+        cut = rows.select("doc_id", F.explode_outer(let(words_of(F.col("text")), each)).alias("x"))
+        return cut.select("doc_id", "x.width", F.size("x.sh").alias("size"), F.explode_outer("x.sh").alias(name))
 
     keys = scratch.save(sketches.select("item_id", F.col("width").alias("w"), "need", "hits", F.explode("sketch").alias("h")))
-    met = join_salted(shingled(read, lambda run: F.xxhash64(run), "h"), keys, "h").filter("width = w and size >= need")
-    candidates = met.select("doc_id", "item_id", "hits", "h").distinct().groupBy("doc_id", "item_id", "hits").agg(F.count("*").alias("n")).filter("n >= hits")
-    candidates = scratch.save(candidates.select("doc_id", "item_id"))
+    met = join_salted(shingled(read, lambda run: F.xxhash64(run), "h"), keys, "h").filter("width = w")
+    met = met.groupBy("doc_id", "item_id", "need", "hits", "h").agg(F.max("size").alias("size"))
+    able = met.groupBy("doc_id", "item_id", "need", "hits").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n >= hits")
+    able = scratch.save(able.select("doc_id", "item_id", (F.col("size") >= F.col("need")).alias("long")))
+    # A row too short for the item counts only where its document has more rows.
+    short = scratch.save(able.filter("not long").select("doc_id").distinct())
+    several = docs.select(F.col(id_col).alias("doc_id")).join(small(short), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    candidates = scratch.save(able.filter("long").union(able.filter("not long").join(several, "doc_id", "left_semi")).select("doc_id", "item_id"))
     again = read.join(small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
     whole = scratch.save(sketches.select("item_id", F.col("width").alias("w"), "n", "need", F.explode("all").alias("shingle")))
     hits = join_salted(shingled(again, as_text, "shingle"), whole, "shingle").filter("width = w").select("doc_id", "item_id", "n", "need", "shingle").distinct()
