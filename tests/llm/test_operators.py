@@ -163,6 +163,29 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.filter("false")).count() == 0
 
 
+def test_mixing_meets_the_target_of_small_sources(spark):
+    words = {"a": 4000, "b": 3000, "c": 9, "d": 5, "e": 20, "f": 1, "g": 63, "h": 65, None: 100, "i": 2}
+    texts, names = [], []
+    for name, total in words.items():
+        for k in range(0, total, 50):
+            texts.append("w " * min(50, total - k))
+            names.append(name)
+    got = mixing.mix_sources(docs_of(spark, texts, names)).collect()
+    target, taken = brute_targets(words, [5, 2, 1], 3), Counter()
+    for r in got:
+        taken[names[r.doc_id]] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= max(1, target[s] / 100) for s in words)
+
+
+def test_the_shuffle_is_a_permutation_that_follows_no_line(spark):
+    for n in (1, 2, 3, 10, 4097):
+        got = [r.x for r in spark.range(n).select("id", mixing.shuffled(F.col("id"), F.lit(n)).alias("x")).orderBy("id").collect()]
+        assert sorted(got) == list(range(n))
+    steps = Counter((b - a) % 4097 for a, b in zip(got, got[1:]))
+    assert max(steps.values()) < 12
+
+
 def brute_contained(texts, items):
     sh = lambda t, k: {tuple(w[i : i + k]) for w in [(t or "").lower().split()] for i in range(len(w) - k + 1)}
     found = set()
@@ -187,6 +210,12 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contained_items(docs.union(docs.filter("doc_id = 31")), bench).collect()}
     assert got == brute_contained(texts, items) and len(got) >= 10
+    words = items[5].split()
+    parts = [(900, " ".join(words[:30])), (900, " ".join(words[26:])), (901, " ".join(words[:30])), (902, items[5]), (902, items[5]), (903, " ".join(words[:30])), (903, None), (903, "apart"), (904, "too"), (904, "short"), (905, "too short"), (905, "")]
+    split = spark.createDataFrame(parts, "doc_id long, text string")
+    twice = bench.union(bench.withColumn("item_id", F.col("item_id") + 100)).union(spark.createDataFrame([(8, "too short")], "item_id long, text string"))
+    found = Counter((r.doc_id, r.item_id, r.matched) for r in decontam.contained_items(split, twice).collect())
+    assert found == Counter({(i, k, 53): 1 for i in (900, 902) for k in (5, 105)} | {(905, 8, 1): 1, (905, 108, 1): 1})
     assert decontam.contained_items(docs.filter("false"), bench).count() == decontam.contained_items(docs, bench.filter("false")).count() == 0
 
 
