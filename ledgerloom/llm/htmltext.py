@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
 from collections import Counter
@@ -21,12 +22,15 @@ ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=]*+)(?:\s*+=\s*+)?+")
 BARE = re.compile(r"[^\s>]*+")
 NAMED = frozenset(["class", "id", "role"])
 PART = re.compile(r"[a-z]+")
+COMMENT_END = re.compile(r"--!?>")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that a start tag of the key ends, if one is open within the current container.
 ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 ENDS |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
+#: Tags that say themselves what they are, whatever they stand in.
+SPEAKING = frozenset("article main aside nav header footer form section body button select label".split())
 WALLS = frozenset("html body div section article main aside nav header footer table ul ol dl td th form blockquote li figure".split())
 
 @dataclass
@@ -136,9 +140,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m is None:
             if page.startswith(("<!", "<?"), lt):
                 text(page[at:lt])
-                comment = page.startswith("<!--", lt)
-                end = scan.find("-->" if comment else ">", lt + 2)
-                at = len(page) if end < 0 else end + (3 if comment else 1)
+                if page.startswith("<!--", lt):  # "<!-->" is a whole comment
+                    end = COMMENT_END.search(page, lt + 2)
+                    at = end.end() if end else len(page)
+                else:
+                    end = scan.find(">", lt + 2)
+                    at = len(page) if end < 0 else end + 1
             else:  # a sign of its own
                 text(page[at : lt + 1])
                 at = lt + 1
@@ -177,7 +184,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes.append(node)
         if tag in RAW:
             if not closed:
-                end = re.compile(f"</{tag}\\s*+>", re.IGNORECASE).search(page, at)
+                end = re.compile(f"</{tag}(?=[\\s/>])[^>]*+>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
         elif tag not in VOID and not closed:
             open_.push(len(nodes) - 1, tag)
@@ -194,15 +201,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def features(node: Node) -> list[tuple]:
-    """What a label emits: the tag, each word of class, id and role, and for blocks size and share of links."""
+    """What a label emits: the tag (of blocks once more with their share of links), each word of class, id and role, and the size of blocks; nothing where there is no word of text."""
+    if not node.words:
+        return []
     own = [("tag", node.tag), ("named", bool(node.names)), *(("name", x) for x in sorted(node.names))]
     if node.tag in INLINE:
         return own
-    share = node.linked / node.words if node.words else 0
+    share = node.linked / node.words
     return [
         *own,
-        ("size", 0 if not node.words else 1 if node.words < 4 else 2 if node.words < 12 else 3 if node.words < 60 else 4),
-        ("links", 0 if not node.linked else 1 if share < 0.25 else 2 if share < 0.75 else 3),
+        ("block", node.tag, 0 if not node.linked else 1 if share < 0.25 else 2 if share < 0.75 else 3),
+        ("size", 1 if node.words < 4 else 2 if node.words < 12 else 3 if node.words < 60 else 4),
     ]
 
 
@@ -221,20 +230,29 @@ class PageModel:
     edge: dict[str, list[list[float]]]  # by kind of child: P(child's label | parent's label)
     emit: dict[tuple, list[float]]  # P(feature | label), unseen values by ("tag", None) etc.
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """P(content) of each node: messages from leaves to the root, a wrapper, then from the root to leaves."""
-        below, sent, seen = [], [[1.0] * 3] * len(nodes), {}
+    def potentials(self, nodes: list[Node]) -> list[list[float]]:
+        """How each node's features speak for its labels. Of k nodes alike, by the features of all that they stand in, together
+        as much as 1 + ln k of one: a hundred equal buttons are hardly more evidence than one."""
+        told, chain, known = [], [], {}
         for node in nodes:
-            told = tuple(features(node))
-            if told not in seen:
-                p = [1.0] * 3
-                for f in told:
+            told.append(tuple(features(node)))
+            chain.append(known.setdefault((chain[node.parent] if node.parent >= 0 else -1, told[-1]), len(known)))
+        alike, seen, found = Counter(chain), {}, []
+        for own, c in zip(told, chain, strict=True):
+            if (own, alike[c]) not in seen:
+                p, w = [1.0] * 3, (1 + math.log(alike[c])) / alike[c]
+                for f in own:
                     # A word that no labelled page has says nothing.
                     e = self.emit.get(f) or (None if f[0] == "name" else self.emit[(f[0], None)])
                     if e:
-                        p = scaled([x * y for x, y in zip(p, e)])
-                seen[told] = p
-            below.append(seen[told])
+                        p = scaled([x * y**w for x, y in zip(p, e)])
+                seen[own, alike[c]] = p
+            found.append(seen[own, alike[c]])
+        return found
+
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        """P(content) of each node: messages from leaves to the root, a wrapper, then from the root to leaves."""
+        below, sent = self.potentials(nodes), [[1.0] * 3] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             b, t, up = below[i], self.edge[kind(nodes[i])], nodes[i].parent
             sent[i] = m = [row[0] * b[0] + row[1] * b[1] + row[2] * b[2] for row in t]
@@ -249,15 +267,19 @@ class PageModel:
 
 def kind(node: Node) -> str:
     """What sort of child: one whose tag or names say something of their own, or a part of its parent."""
-    if node.names or node.tag in ("article", "main", "aside", "nav", "header", "footer", "form", "section", "body"):
+    if node.names or node.tag in SPEAKING:
         return "marked"
     if node.tag in INLINE or node.tag in RAW:
         return "inline"
     return "div" if node.tag == "div" else "part"
 
 
-def train(pages: list[str], smooth: float = 0.2) -> PageModel:
-    """Counts over labelled pages: data-y="1" marks content and "0" boilerplate, inherited until marked anew; what is not marked is a wrapper."""
+def train(pages: list[str], smooth: float = 0.2, doubt: float = 0.001) -> PageModel:
+    """Counts over labelled pages: data-y="1" marks content and "0" boilerplate, inherited until marked anew; what is not marked is a wrapper.
+
+    `doubt` is the share of every chance that is given to what labelled pages don't show, so that no single feature and no
+    single child decides alone.
+    """
     emits, totals = Counter(), [0, 0, 0]
     edges = {k: [[smooth] * 3 for _ in STATES] for k in ("inline", "part", "div", "marked")}
     for page in pages:
@@ -267,15 +289,18 @@ def train(pages: list[str], smooth: float = 0.2) -> PageModel:
             node.label = nodes[node.parent].label if node.label is None else CONTENT if node.label == 1 else BOILER
             edges[kind(node)][nodes[node.parent].label][node.label] += 1
         for node in nodes:
-            totals[node.label] += 1
+            totals[node.label] += node.words > 0
             emits.update((f, node.label) for f in features(node))
     known = {f for f, _ in emits}
     values = Counter(f[0] for f in known)
-    chance = lambda f: [(emits[(f, y)] + smooth) / (totals[y] + smooth * (values[f[0]] + 1)) for y in STATES]
-    return PageModel({k: [scaled(row) for row in t] for k, t in edges.items()}, {f: chance(f) for f in known} | {(name, None): chance((name, None)) for name in values})
+    def chance(f: tuple) -> list[float]:
+        own = [(emits[(f, y)] + smooth) / (totals[y] + smooth * (values[f[0]] + 1)) for y in STATES]
+        return [(1 - doubt) * x + doubt * max(own) for x in own]
+
+    return PageModel({k: [[(1 - doubt) * x + doubt / 3 for x in scaled(row)] for row in t] for k, t in edges.items()}, {f: chance(f) for f in known} | {(name, None): chance((name, None)) for name in values})
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
     """Labelled pages to learn from: articles in many containers, amid menus, headers, notices, adverts, forms, sidebars, comments and footers."""
     rng = random.Random(seed)
     words = "the of and lake stone river sun walks over under small bright news old tree garden city light moves".split()
@@ -292,6 +317,8 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
             lambda: f"<p>{inline()}</p>", lambda: f"<p>{inline()}</p>", lambda: f"<p>{inline()}", lambda: f"<p>{inline()}</p>", lambda: f"<h2>{say(1, 8)}</h2>", lambda: f"<h3>{say(1, 5)}</h3>",
             lambda: "<ul>" + "".join(f"<li>{say(3, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", lambda: "<ol>" + "".join(f"<li>{say(2, 9)}" for _ in range(3)) + "</ol>",
             lambda: f"<blockquote><p>{inline()}</p></blockquote>", lambda: f"<pre><code>{say(3, 15)}</code></pre>", lambda: f"<div>{inline()}</div>", lambda: f"<section><h2>{say(1, 6)}</h2><p>{inline()}</p></section>",
+            lambda: f"<p>{link(1, 5)}</p>", lambda: f"<p>{link(2, 8)} {link(1, 4)}</p>", lambda: f"<hr><p>{inline()}</p>", lambda: f"<script>{say(1, 9)}</script><p>{inline()}</p>", lambda: f"<details><summary>{say(1, 5)}</summary><p>{inline()}</p></details>",
+            lambda: f"<button data-y=0>{say(1, 2)}</button>" * rng.choice([1, 1, 3, 9]) + f"<p>{inline()}</p>", lambda: f"<form data-y=0><label>{say(1, 3)}</label><input><button>{say(1, 2)}</button></form>",
             lambda: "<table>" + "".join(f"<tr><td>{say(1, 4)}</td><td>{say(1, 6)}</td></tr>" for _ in range(3)) + "</table>", lambda: f"<figure><img src=x><figcaption>{say(2, 9)}</figcaption></figure>",
         ])()
 
@@ -326,7 +353,7 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
             body += pick([menu, aside])() + block()
         main = pick([f"<article data-y=1>{body}</article>", f"<article data-y=1>{body}</article>", f"<main data-y=1>{body}</main>", f"<main data-y=1><article>{body}</article></main>", f'<div data-y=1 class="content">{body}</div>', f'<div data-y=1 id="post">{body}</div>', f'<div data-y=1 class="entry-content">{body}</div>', f'<div data-y=1><div class="story">{body}</div></div>', f"<div data-y=1>{body}</div>", f"<section data-y=1>{body}</section>"])
         before = "".join(pick([menu, header, aside])() for _ in range(rng.randint(0, 3)))
-        after = "".join(pick([comments, aside, footer])() for _ in range(rng.randint(0, 3)))
+        after = "".join(pick([comments, comments, aside, footer])() for _ in range(rng.randint(0, 3)))
         wrap = pick(["{}", "{}", "<div>{}</div>", "<div><div>{}</div></div>", '<div id="page"><div class="wrapper">{}</div></div>'])
         pages.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{say(1, 9)}</title><style>p{{}}</style></head><body>{wrap.format(before + main + after)}{pick(['', footer()])}</body></html>")
     return pages
