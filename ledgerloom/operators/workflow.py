@@ -17,6 +17,8 @@ TRANSITIONS = [
 ]
 #: Minutes that a state may last, and amount limits of roles (null: none).
 STATE_LIMITS = {"pending_review": 1440, "pending_approval": 2880, "escalated": 7200, "on_hold": 10080}
+#: States that end by themselves as `escalated`, and after how many minutes.
+AUTO_LIMITS = {"pending_review": 1440, "pending_approval": 2880}
 ROLE_LIMITS = {"operator": 5000.0, "reviewer": 25000.0, "approver": 100000.0, "admin": None, "auditor": 0.0}
 #: Legacy states, who hears of a new state and by what template, and states of high priority.
 LEGACY = {"pending": "pending_review", "confirmed": "reconciled"}
@@ -102,6 +104,36 @@ def replay_workflow(log: DataFrame, start: str = "draft") -> DataFrame:
     return logs.select("record", F.aggregate("events", zero, step).alias("x")).select("record", "x.state", "x.applied", "x.invalid")
 
 
+def replay_timed(log: DataFrame, as_of: Column, start: str = "draft") -> DataFrame:
+    """G1 with time: of each record's events (record, seq, action, role, ts), the state at as_of, since when, and how many moves
+    were made (applied), refused (invalid) and due to time (timed).
+
+    A state of AUTO_LIMITS that lasts longer than its minutes becomes `escalated` at that moment, before a later
+    event is looked at. Events are ordered by (ts, seq); the fold is over one record's own log.
+    """
+    rules = F.create_map(*[F.lit(x) for s, a, n, roles in TRANSITIONS for r in roles.split(",") for x in (f"{s}|{a}|{r}", n)])
+    limits = F.create_map(*[F.lit(x) for s, m in AUTO_LIMITS.items() for x in (s, m * 60_000_000)])
+    events = F.struct(F.unix_micros("ts").alias("at"), "seq", "action", "role")
+    logs = log.groupBy("record").agg(F.array_sort(F.collect_list(events)).alias("events"))
+    fields = lambda state, since, applied, invalid, timed: F.struct(state.alias("state"), since.alias("since"), applied.alias("applied"), invalid.alias("invalid"), timed.alias("timed"))
+
+    def until(acc: Column, now: Column) -> Column:
+        due = acc["since"] + F.element_at(limits, acc["state"])
+        late = F.coalesce(due < now, F.lit(False))
+        return fields(F.when(late, "escalated").otherwise(acc["state"]), F.when(late, due).otherwise(acc["since"]), acc["applied"], acc["invalid"], acc["timed"] + late.cast("int"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def move(now: Column) -> Column:
+            new = F.element_at(rules, F.concat_ws("|", now["state"], x["action"], x["role"]))
+            return fields(F.coalesce(new, now["state"]), F.when(new.isNotNull(), x["at"]).otherwise(now["since"]), now["applied"] + new.isNotNull().cast("int"), now["invalid"] + new.isNull().cast("int"), now["timed"])
+
+        return F.element_at(F.transform(F.array(until(acc, x["at"])), move), 1)
+
+    zero = fields(F.lit(start), F.col("events")[0]["at"], F.lit(0), F.lit(0), F.lit(0))
+    done = logs.select("record", F.aggregate("events", zero, step, lambda acc: until(acc, F.unix_micros(as_of))).alias("x"))
+    return done.select("record", "x.state", F.timestamp_micros("x.since").alias("since"), "x.applied", "x.invalid", "x.timed")
+
+
 def legacy_state(status: Column) -> Column:
     """G1: the workflow state that a record's old status stands for."""
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv]), status), status)

@@ -20,7 +20,10 @@ def pick(values: list[str], at: Column) -> Column:
 
 
 def bank_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return bank_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def bank_rows(e: DataFrame) -> DataFrame:
     amount = F.when(F.col("event_type").isin("purchase", "error"), -F.col("value")).otherwise(F.col("value")).cast("decimal(18,2)")
     rows = e.select(
         F.col("event_id").alias("id"), pick(BANKS, F.col("user_id") % 7).alias("bank_name"), F.concat(F.lit("ACC-"), F.col("user_id").cast("string")).alias("account_id"),
