@@ -21,9 +21,9 @@ def structure_ok(text: Column) -> Column:
 
 
 def repair(text: Column) -> Column:
-    """Byte order mark and unprintable characters out, a missing end tag added."""
-    t = F.regexp_replace(text, "﻿|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
-    return F.when(t.contains("</OFX>"), t).otherwise(F.concat(t, F.lit("</OFX>")))
+    """Byte order mark and unprintable characters out, a missing end tag (in either case) added."""
+    t = F.regexp_replace(text, "\ufeff|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+    return F.when(F.upper(t).contains("</OFX>"), t).otherwise(F.concat(t, F.lit("</OFX>")))
 
 
 def tag(block: Column, name: str) -> Column:
@@ -33,8 +33,8 @@ def tag(block: Column, name: str) -> Column:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of each file, decoded."""
-    return spark.read.format("binaryFile").load(path).select("path", decode_fallback(F.col("content")).alias("text"))
+    """(path, text) of each file, decoded and repaired."""
+    return spark.read.format("binaryFile").load(path).select("path", repair(decode_fallback(F.col("content"))).alias("text"))
 
 
 def account_header(statements: DataFrame) -> DataFrame:
