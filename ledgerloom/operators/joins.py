@@ -55,14 +55,21 @@ def enrich_records(records: DataFrame, tx: DataFrame, entries: DataFrame) -> Dat
 
 
 def duplicate_match_join(records: DataFrame, tx: DataFrame, days: int = 7) -> DataFrame:
-    """Per record, other open records of another bank and ledger row with the same signed amount within `days`; the range join is made equi by week buckets."""
-    live = records.filter(F.col("status").isin("pending", "confirmed")).select("id", "bank_transaction_id", "company_entry_id")
-    rows = live.join(tx.select(F.col("id").alias("bank_transaction_id"), "amount", "date"), "bank_transaction_id")
-    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    a = rows.select("*", F.explode(F.sequence(F.floor(day / days) - 1, F.floor(day / days) + 1)).alias("bucket"))
-    b = rows.select(F.col("id").alias("other_id"), F.col("bank_transaction_id").alias("ob"), F.col("company_entry_id").alias("oe"), F.col("amount"), F.col("date").alias("od"), F.floor(day / days).alias("bucket"))
-    hit = a.join(b, ["amount", "bucket"]).filter((F.abs(F.datediff("date", "od")) <= days) & (F.col("bank_transaction_id") != F.col("ob")) & (F.col("company_entry_id") != F.col("oe")))
-    return hit.groupBy("id").agg(F.count("*").alias("n"), F.min(F.abs(F.datediff("date", "od"))).alias("nearest_days"))
+    """Per record, how many other open records of another bank and another ledger row have the same signed amount within `days`, and how near the nearest is.
+
+    Counted, not paired: of all records of an amount and day, those of the same bank row and those of the same entry are taken off
+    again, and those of both, taken off twice, are put back. A record asks for 2 * days + 1 days, however many records share them.
+    """
+    live = records.filter(F.col("status").isin("pending", "confirmed")).select("id", F.col("bank_transaction_id").alias("bt"), F.col("company_entry_id").alias("ce"))
+    rows = live.join(tx.select(F.col("id").alias("bt"), "amount", "date"), "bt")
+    count = lambda name, *keys: rows.groupBy(*keys).agg(F.count("*").alias(name))
+    asking = count("both", "amount", "date", "bt", "ce").join(count("same_bt", "bt"), "bt")
+    asking = asking.withColumn("away", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("day", F.date_add("date", F.col("away")))
+    met = asking.join(count("there", "amount", F.col("date").alias("day")), ["amount", "day"]).join(count("same_ce", "amount", F.col("date").alias("day"), "ce"), ["amount", "day", "ce"], "left")
+    own = F.when(F.col("away") == 0, F.col("both") - F.col("same_bt")).otherwise(0)
+    others = met.withColumn("n", F.col("there") - F.coalesce("same_ce", F.lit(0)) + own).filter("n > 0")
+    found = others.groupBy("bt", "ce").agg(F.sum("n").alias("n"), F.min(F.abs("away")).alias("nearest_days"))
+    return live.join(found, ["bt", "ce"]).select("id", "n", "nearest_days")
 
 
 def similar_anomalies(records: DataFrame, as_of: str, k: int = 5, days: int = 90) -> DataFrame:

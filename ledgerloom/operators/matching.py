@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import ENTITIES, entity_list, entity_similarity, normalize_standard, text_similarity
+from ledgerloom.functions.similar import bound, reference_bonus
+from ledgerloom.functions.text import ENTITIES, entity_list, entity_similarity, normalize_standard, text_similarity, tfidf_similarity
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,7 @@ class MatchConfig:
     tolerance: float = 0.02
     max_days: int = 30
     top: int = 3
+    semantic: float = 0.7
 
     def __post_init__(self) -> None:
         if not 0 <= self.threshold <= 1:
@@ -102,11 +104,13 @@ def base_score(cfg: MatchConfig) -> dict[str, Column]:
     amount = F.when(diff < 0.01, cfg.exact).when(diff <= F.lit(cfg.tolerance).cast("decimal(4,2)") * F.abs("b_amount"), cfg.close).otherwise(0.0)
     date = F.when(days == 0, cfg.same_day).when(days <= 3, cfg.near_day).otherwise(0.0)
     text = text_similarity(F.col("b_norm"), F.col("e_norm"), F.col("b_words"), F.col("e_words"), entity_similarity(*ents))
+    # M4 counts where it is `semantic` or more; without a common word it is 0.
+    close = F.when((F.col("b_norm") != F.col("e_norm")) & F.arrays_overlap("b_words", "e_words"), tfidf_similarity(F.col("b_norm"), F.col("e_norm"))).otherwise(0.0)
+    text = bound(lambda plain, meant: F.when(meant >= cfg.semantic, F.greatest(plain, meant)).otherwise(plain), text, close)
     inter = sum((F.size(F.array_intersect(ents[0][k], ents[1][k])) for k in ENTITIES), F.lit(0))
     union = sum((F.size(F.array_union(ents[0][k], ents[1][k])) for k in ENTITIES), F.lit(0))
     entity = F.when(union > 0, inter / union).otherwise(F.lit(0.0))
-    told = F.lower(F.trim("b_transaction_id"))
-    reference = F.when((told != "") & F.contains(F.lower("e_description"), told), cfg.reference).otherwise(0.0)
+    reference = reference_bonus(F.col("b_transaction_id"), F.col("e_description"), cfg.reference)
     return {"amount_score": amount, "date_score": date, "text_similarity": text, "entity_bonus": entity, "reference_bonus": reference}
 
 

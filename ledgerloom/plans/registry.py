@@ -157,6 +157,13 @@ reg("T4_sliding_rate", lambda v: windows.sliding_rate(v.table("events"), 2), "SE
 reg("T5_session_activity", lambda v: windows.session_activity(v.table("events")), "SELECT user_id, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s")
 
 # Matching
+_times = lambda xs, t: f"len(list_filter({xs}, lambda z: z = {t}))"
+_grams = lambda n: f"list_concat(string_split({n}, ' '), list_transform(range(1, len(string_split({n}, ' '))), lambda i: string_split({n}, ' ')[i] || ' ' || string_split({n}, ' ')[i + 1]))"
+_norm2 = lambda own, other: f"list_sum(list_transform(list_distinct({own}), lambda t: {_times(own, 't')} * {_times(own, 't')} * CASE WHEN list_contains({other}, t) THEN 1.0::DOUBLE ELSE pow(1 + ln(1.5), 2) END))"
+#: M4 of every two texts that meet.
+_SEMANTIC = f"""tp AS (SELECT bn, en, coalesce(list_sum(list_transform(list_intersect(ta, tb), lambda t: {_times('ta', 't')} * {_times('tb', 't')})), 0)::DOUBLE AS dot, {_norm2('ta', 'tb')} AS na, {_norm2('tb', 'ta')} AS nb
+  FROM (SELECT bn, en, {_grams('bn')} AS ta, {_grams('en')} AS tb FROM (SELECT DISTINCT bn, en FROM p))),
+"""
 PREP = f"""SELECT *, string_split(norm, ' ') AS words, {', '.join(f"list_sort(list_distinct(regexp_extract_all({FOLD.format('description')}, '{p}'))) AS {k}" for k, p in T.ENTITIES.items())} FROM (SELECT *, {STANDARD} AS norm FROM {{}} WHERE abs(amount) >= 0.01 AND trim(description) <> '')"""
 _jac = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct({a} || {b})) END"
 _any = lambda k: f"(len(b.{k}) > 0 OR len(e.{k}) > 0)"
@@ -165,7 +172,8 @@ _ENT = f"coalesce(({' + '.join(f'CASE WHEN {_any(k)} THEN {_jac(f'b.{k}', f'e.{k
 _PAIRS = f""", b AS ({PREP.format('bank_tx')}), e AS ({PREP.format('ledger')}), p AS (SELECT b.id AS b_id, e.id AS e_id, abs(abs(b.amount) - abs(e.amount)) AS diff, abs(b.date - e.date) AS days, e.date - b.date AS signed, abs(b.amount) AS ba, abs(e.amount) AS ea, b.description AS bd, e.description AS ed, b.category AS bc, b.norm AS bn, e.norm AS en,
   {_jac('list_distinct(b.words)', 'list_distinct(e.words)')} AS jac, {_ENT} AS ent, CASE WHEN {' + '.join(f'len(list_distinct(b.{k} || e.{k}))' for k in T.ENTITIES)} > 0 THEN ({' + '.join(f'len(list_intersect(b.{k}, e.{k}))' for k in T.ENTITIES)}) / ({' + '.join(f'len(list_distinct(b.{k} || e.{k}))' for k in T.ENTITIES)}) ELSE 0 END AS bonus,
   contains(e.description, b.transaction_id) AS ref FROM b JOIN e ON abs(b.amount) = abs(e.amount) OR b.date = e.date OR (abs(b.date - e.date) <= 3 AND abs(abs(b.amount) - abs(e.amount)) <= 0.02 * abs(b.amount))),
-s AS (SELECT *, CASE WHEN bn = '' OR en = '' THEN 0.0 WHEN bn = en THEN 1.0 WHEN contains(bn, en) OR contains(en, bn) THEN 0.95 ELSE least(1.0, 0.7 * jac + 0.3 * ent) END AS sim FROM p),
+{_SEMANTIC}s AS (SELECT *, CASE WHEN bn <> '' AND en <> '' AND bn <> en AND dot > 0 AND dot / (sqrt(na) * sqrt(nb)) >= 0.7 THEN greatest(plain, dot / (sqrt(na) * sqrt(nb))) ELSE plain END AS sim FROM
+  (SELECT *, CASE WHEN bn = '' OR en = '' THEN 0.0::DOUBLE WHEN bn = en THEN 1.0 WHEN contains(bn, en) OR contains(en, bn) THEN 0.95 ELSE least(1.0, 0.7::DOUBLE * jac + 0.3::DOUBLE * ent) END AS plain FROM p) JOIN tp USING (bn, en)),
 f AS (SELECT b_id, e_id, diff, days, ba, ea, least(1.0, CASE WHEN diff < 0.01 THEN 0.35 WHEN diff <= 0.02 * ba THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN days = 0 THEN 0.25 WHEN days <= 3 THEN 0.1 ELSE 0 END::DOUBLE + 0.3 * sim + 0.1 * bonus + CASE WHEN ref THEN 0.05 ELSE 0 END::DOUBLE) AS base,
   ((CASE WHEN length(bd) > 5 THEN 0.3 ELSE 0 END + CASE WHEN ba > 0.01 THEN 0.3 ELSE 0 END + 0.4)::DOUBLE + (CASE WHEN length(ed) > 5 THEN 0.3 ELSE 0 END + CASE WHEN ea > 0.01 THEN 0.3 ELSE 0 END + 0.4)::DOUBLE) / 2 AS q, CAST(diff AS DOUBLE) / CAST((ba + ea) / 2 AS DOUBLE) AS share, signed FROM s),
 g AS (SELECT b_id, e_id, diff, days, ba, ea, round(0.7 * least(0.95, base) + 0.3 * (0.3 * q + 0.25 * (1.0::DOUBLE - CASE WHEN share > 0.5 THEN 0.4 WHEN share > 0.2 THEN 0.2 WHEN share > 0.1 THEN 0.1 ELSE 0 END - CASE WHEN days > 30 THEN 0.3 WHEN days > 14 THEN 0.2 WHEN days > 7 THEN 0.1 ELSE 0 END)
@@ -221,4 +229,4 @@ reg("X21_canonical_category", lambda v: v.bank().select("id", T.canonical_catego
 reg("J2_valid_match_filter", lambda v: matching.scored_pairs(v.bank(), v.ledger()).filter(matching.valid(matching.MatchConfig())).select("b_id", "e_id"))
 SQL["J2_valid_match_filter"] = VIEWS.rstrip() + _PAIRS + "SELECT b_id, e_id FROM g WHERE score >= 0.65 AND days <= 30 AND diff <= 0.02 * greatest(ba, ea)"
 
-from ledgerloom.plans import learned, rules, streams, more  # noqa: E402, F401  their queries register themselves
+from ledgerloom.plans import learned, learned_matches, more, rules, streams  # noqa: E402, F401  their queries register themselves

@@ -176,7 +176,6 @@ with_views("C9_contextual_score", _CONTEXT + """SELECT id, round(t, 6) AS bonus,
   round(CASE WHEN b1 > 0 THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN b2 > 0 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN b3 > 0 THEN 0.2 ELSE 0 END::DOUBLE, 6) AS consistency FROM (SELECT *, b1 * 0.3::DOUBLE + b2 * 0.2::DOUBLE + b3 * 0.1::DOUBLE + b4 * 0.1::DOUBLE + b5 * 0.05::DOUBLE AS t FROM bonus)""")
 reg("A30_matching_metrics", lambda v: context.matching_metrics(_context_pairs(v)))
 with_views("A30_matching_metrics", _CONTEXT + "SELECT count(*) AS n, round(avg(CASE WHEN b1 + b2 + b3 + b4 + b5 > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS contextual_share, round(avg(CASE WHEN b1 + b2 + b3 + b4 + b5 > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS pattern_share FROM bonus")
-reg("M22_contextual_suggestions", lambda v: context.contextual_suggestions(v.bank(), v.ledger(), _mined(v), 9))
 reg("C11_refresh_due", lambda v: context.refresh_due(v.recon(), "2024-01-30 12:00:00", AS_OF), f"SELECT n AS recent, n > 100 OR epoch(TIMESTAMP '{AS_OF}') - epoch(TIMESTAMP '2024-01-30 12:00:00') > 86400 AS due FROM (SELECT count(*) AS n FROM recon WHERE status = 'confirmed' AND created_at > TIMESTAMP '2024-01-30 12:00:00')")
 _TF = "list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i+1]))"
 reg("M4_tfidf_similarity", lambda v: v.bank().filter("description <> ''").select("id", F.round(T.tfidf_similarity(F.col("description"), adapters.pick(adapters.LEDGER_TEXTS, (F.col("id") + F.floor(F.col("id") / 12) % 2) % 12)), 6).alias("s")),

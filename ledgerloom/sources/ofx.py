@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.coerce import bank_type, clean_description
+from ledgerloom.functions.similar import bound
 
 
 def decode_fallback(content: Column) -> Column:
@@ -15,15 +16,17 @@ def decode_fallback(content: Column) -> Column:
 
 def structure_ok(text: Column) -> Column:
     """S3: has a header mark and a statement mark."""
-    t = F.upper(text)
-    has = lambda marks: F.greatest(*[t.contains(m) for m in marks])
-    return has(["OFXHEADER:", "<OFX>", "DATA:OFXSGML", "VERSION:"]) & has(["<BANKMSGSRSV1>", "<STMTRS>", "<BANKTRANLIST>"])
+    def marked(t: Column) -> Column:
+        has = lambda marks: F.greatest(*[t.contains(m) for m in marks])
+        return has(["OFXHEADER:", "<OFX>", "DATA:OFXSGML", "VERSION:"]) & has(["<BANKMSGSRSV1>", "<STMTRS>", "<BANKTRANLIST>"])
+
+    return bound(marked, F.upper(text))
 
 
 def repair(text: Column) -> Column:
     """Byte order mark and unprintable characters out, a missing end tag (in either case) added."""
-    t = F.regexp_replace(text, "\ufeff|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
-    return F.when(F.upper(t).contains("</OFX>"), t).otherwise(F.concat(t, F.lit("</OFX>")))
+    ended = lambda t: F.when(F.upper(t).contains("</OFX>"), t).otherwise(F.concat(t, F.lit("</OFX>")))
+    return bound(ended, F.regexp_replace(text, "\ufeff|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", ""))
 
 
 def tag(block: Column, name: str) -> Column:
