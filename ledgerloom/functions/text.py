@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ledgerloom.functions.similar import bound
+
 #: Letters folded by fold_text (Latin-1; others stay).
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
@@ -209,20 +211,26 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def terms(c: Column) -> Column:
     """Words of two or more characters, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    def with_pairs(words: Column) -> Column:
+        pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(words, pairs)
+
+    return bound(with_pairs, F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
 
 
 def tfidf_similarity(a: Column, b: Column) -> Column:
     """M4: cosine of TF-IDF over just the two texts: shared terms weigh 1, others 1 + ln 1.5; equal texts 1, empty ones 0."""
-    ta, tb, c2 = terms(a), terms(b), (1 + 0.4054651081081644) ** 2
+    c2 = (1 + 0.4054651081081644) ** 2
     times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t)).cast("double")
-    both, only_a, only_b = F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)
     total = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda acc, t: acc + of(t))
-    dot = total(both, lambda t: times(ta, t) * times(tb, t))
-    norm = lambda xs, own: F.sqrt(total(both, lambda t: times(xs, t) * times(xs, t)) + c2 * total(own, lambda t: times(xs, t) * times(xs, t)))
-    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).when(F.size(both) == 0, 0.0).otherwise(dot / (norm(ta, only_a) * norm(tb, only_b)))
+
+    def cosine(ta: Column, tb: Column, both: Column) -> Column:
+        dot = total(both, lambda t: times(ta, t) * times(tb, t))
+        norm = lambda xs, own: F.sqrt(total(both, lambda t: times(xs, t) * times(xs, t)) + c2 * total(own, lambda t: times(xs, t) * times(xs, t)))
+        return F.when(F.size(both) == 0, 0.0).otherwise(dot / (norm(ta, F.array_except(ta, tb)) * norm(tb, F.array_except(tb, ta))))
+
+    counted = bound(lambda ta, tb: bound(cosine, ta, tb, F.array_intersect(ta, tb)), terms(a), terms(b))
+    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).otherwise(counted)
 
 
 def supplier_name(c: Column) -> Column:

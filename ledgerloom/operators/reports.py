@@ -239,6 +239,13 @@ def forecast_trend(series: DataFrame, periods: int) -> DataFrame:
     return ahead.select(month.alias("month"), F.round(value("income"), 4).alias("income"), F.round(value("expense"), 4).alias("expense"), F.round(value("income") - value("expense"), 4).alias("net"))
 
 
+def forecast_transactions(tx: DataFrame, periods: int, least: int = 30) -> DataFrame:
+    """L7 from transactions: a forecast needs `least` rows; ValueError under that."""
+    if (found := tx.limit(least).count()) < least:
+        raise ValueError(f"a forecast needs {least} rows, there are {found}")
+    return forecast_trend(monthly_series(tx), periods)
+
+
 def quantiles(rows: DataFrame, column: str, shares: list[float], digits: int = 2) -> list[float]:
     """Exact quantiles with linear interpolation of a decimal column: counts per value, ranges of values counted first, so that
     only the values of the few ranges that hold a wanted rank are ordered, and no task holds all of them."""

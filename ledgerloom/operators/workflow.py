@@ -32,7 +32,38 @@ ESCALATIONS = [
     ("timeout_escalated", "timeout", "escalated", 8.0, None, None, 3, "admin"), ("high_value_transaction", "threshold_exceeded", None, None, 100_000.0, None, 2, "approver"),
     ("critical_value_transaction", "threshold_exceeded", None, None, 500_000.0, None, 3, "admin"), ("high_risk_match", "risk_threshold", None, None, None, 0.3, 2, "approver"),
     ("very_high_risk_match", "risk_threshold", None, None, None, 0.1, 3, "admin"),
+    ("compliance_violation", "compliance_violation", None, None, None, None, 3, "admin"), ("multiple_rejections", "rejection_threshold", None, None, None, None, 2, "approver"),
 ]
+#: Rules that one run may have.
+MOST_RULES = 1_000
+#: Rejections that make `multiple_rejections`.
+REJECTIONS = 3
+#: What each role may do, and its access to each resource; an administrator may do all.
+VIEWING = ["view_transactions", "view_reconciliation", "view_workflow_history", "view_financial_data", "view_reports", "export_data"]
+EDITING = ["create_transactions", "edit_transactions", "create_reconciliation", "edit_reconciliation"]
+REVIEWING = ["approve_reconciliation", "reject_reconciliation", "manage_workflow", "edit_financial_data"]
+ADMINISTRATION = ["delete_transactions", "delete_reconciliation", "configure_system"]
+PERMISSIONS = {
+    "operator": [*VIEWING, *EDITING],
+    "reviewer": [*VIEWING, *EDITING, *REVIEWING],
+    "approver": [*VIEWING, *EDITING, *REVIEWING, "escalate_reconciliation", "manage_users", "view_audit_logs", "approve_financial_data"],
+    "admin": [*VIEWING, *EDITING, *REVIEWING, "escalate_reconciliation", "manage_users", "view_audit_logs", "approve_financial_data", *ADMINISTRATION],
+    "auditor": [*VIEWING, "view_audit_logs"],
+}
+RESOURCES = ["transactions", "reconciliation", "workflow", "users", "audit_logs", "reports", "financial_data", "system_config"]
+ACCESS = {
+    "operator": {"transactions": "write", "reconciliation": "write", "financial_data": "read", "reports": "read"},
+    "reviewer": {"transactions": "write", "reconciliation": "execute", "workflow": "write", "financial_data": "write", "reports": "read"},
+    "approver": {"transactions": "execute", "reconciliation": "execute", "workflow": "execute", "users": "read", "audit_logs": "read", "financial_data": "execute", "reports": "read"},
+    "admin": dict.fromkeys(RESOURCES, "admin"),
+    "auditor": dict.fromkeys(["transactions", "reconciliation", "workflow", "audit_logs", "financial_data", "reports"], "read"),
+}
+#: The permission that a workflow action needs.
+ACTION_PERMISSIONS = {
+    "create": "create_reconciliation", "submit_for_review": "edit_reconciliation", "request_changes": "edit_reconciliation", "approve_review": "approve_reconciliation", "reject_review": "reject_reconciliation",
+    "submit_for_approval": "edit_reconciliation", "approve_final": "approve_reconciliation", "reject_final": "reject_reconciliation", "escalate": "escalate_reconciliation", "cancel": "edit_reconciliation",
+    "put_on_hold": "manage_workflow", "resume": "manage_workflow", "reconcile": "edit_reconciliation", "complete": "manage_workflow",
+}
 LEVELS = {1: "low", 2: "medium", 3: "high", 4: "critical", 5: "urgent"}
 #: Days that events of a class are kept.
 RETENTION = {"user": 365, "reconciliation": 2555, "workflow": 2555, "system": 90, "security": 2555, "compliance": 2555}
@@ -58,6 +89,29 @@ def authorize(log: DataFrame) -> DataFrame:
     return rows.withColumn("is_allowed", ~over).withColumn("deny_reason", F.when(over, "amount over limit")).drop("limit")
 
 
+def authorize_actions(log: DataFrame) -> DataFrame:
+    """Rows (role, permission, resource, amount) with is_allowed, access and deny_reason: the role must have the permission, some access to
+    the resource if one is named, and then the amount, if any, within its limit. Unknown roles may do nothing.
+
+    The tables of roles are fixed and small, so they are broadcast; the log is not shuffled.
+    """
+    spark = log.sparkSession
+    may = F.broadcast(spark.createDataFrame([(r, p, True) for r, ps in PERMISSIONS.items() for p in ps], "role string, permission string, _may boolean"))
+    reach = F.broadcast(spark.createDataFrame([(r, x, a) for r, xs in ACCESS.items() for x, a in xs.items()], "role string, resource string, access string"))
+    limits = F.broadcast(spark.createDataFrame(list(ROLE_LIMITS.items()), "role string, _limit double"))
+    rows = log.join(may, ["role", "permission"], "left").join(reach, ["role", "resource"], "left").join(limits, "role", "left")
+    named = F.col("resource").isNotNull()
+    over = named & (F.abs(F.col("amount").cast("double")) > F.col("_limit"))
+    reason = F.when(F.col("_may").isNull(), "no permission").when(named & F.col("access").isNull(), "no access").when(F.coalesce(over, F.lit(False)), "amount over limit")
+    return rows.withColumns({"deny_reason": reason, "is_allowed": reason.isNull(), "access": F.coalesce("access", F.lit("none"))}).drop("_may", "_limit")
+
+
+def authorize_workflow(log: DataFrame) -> DataFrame:
+    """Rows (role, action, amount): the action's own permission, on reconciliations; an unknown action is refused."""
+    needed = F.element_at(F.create_map(*[F.lit(x) for kv in ACTION_PERMISSIONS.items() for x in kv]), F.col("action"))
+    return authorize_actions(log.withColumns({"permission": needed, "resource": F.lit("reconciliation")}))
+
+
 def role_access_summary(log: DataFrame) -> DataFrame:
     """Allowed and denied actions and amounts per role."""
     return authorize(log).groupBy("role", "is_allowed").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
@@ -171,25 +225,43 @@ def escalation_rules(df: DataFrame, custom: DataFrame | None = None, inactive: t
     return rules.filter(~F.col("rule").isin(*inactive)) if inactive else rules
 
 
-def escalate(items: DataFrame, as_of: str, rules: DataFrame | None = None) -> DataFrame:
-    """Each open item (id, state, since, amount, match_score) and each rule that it meets, with level, severity and reason.
+def escalate(items: DataFrame, as_of: str, rules: DataFrame | None = None, strict_reference: bool = False) -> DataFrame:
+    """Each open item (id, state, since, amount, match_score) and each rule that it meets, with from_level, level, severity and reason.
 
-    A rule's declared state must hold too. The rules are a few dozen rows, broadcast against the items: no item meets another.
+    Columns compliance_issue and rejections make the last two rules, level the item's own before (0 where there is none). A
+    rule's declared state must hold too. With strict_reference rules are read as the reference runs them: timeouts in
+    any state, the critical value, compliance and rejections never. Rules are a dozen rows, and each item is held against an
+    array of them, so no item meets another and nothing is shuffled.
     """
-    rules = F.broadcast(escalation_rules(items) if rules is None else rules)
+    rules = escalation_rules(items) if rules is None else rules
+    held = rules.limit(MOST_RULES + 1).collect()
+    if len(held) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
     hours = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("since")) / 3600
     amount = F.abs(F.col("amount").cast("double"))
     at = lambda cond: F.coalesce(cond, F.lit(False))
     hit = (
         at((F.col("trigger") == "timeout") & (hours >= F.col("hours"))) | at((F.col("trigger") == "threshold_exceeded") & (amount >= F.col("least_amount")))
         | at((F.col("trigger") == "risk_threshold") & (F.col("match_score") <= F.col("largest_score")))
-    ) & (F.col("when_state").isNull() | (F.col("when_state") == F.col("state")))
+    )
+    if strict_reference:
+        hit = hit & (F.col("rule") != "critical_value_transaction")
+    else:
+        has = lambda c, of: of(F.col(c)) if c in items.columns else F.lit(False)
+        hit = hit | at((F.col("trigger") == "compliance_violation") & has("compliance_issue", lambda x: x)) | at((F.col("trigger") == "rejection_threshold") & has("rejections", lambda x: x >= REJECTIONS))
+        hit = hit & (F.col("when_state").isNull() | (F.col("when_state") == F.col("state")))
     level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
     reason = (
         F.when(F.col("trigger") == "timeout", F.format_string("Item has been pending for %.1f hours", hours)).when(F.col("trigger") == "threshold_exceeded", F.format_string("Transaction amount %.2f exceeds threshold", amount))
+        .when(F.col("trigger") == "compliance_violation", "Compliance violation detected").when(F.col("trigger") == "rejection_threshold", "Multiple rejections detected")
         .otherwise(F.format_string("Low match score %.2f indicates high risk", F.col("match_score").cast("double")))
     )
-    return items.join(rules, hit).select("id", "rule", "trigger", "level", F.element_at(level, F.col("level")).alias("severity"), "target_role", reason.alias("reason"))
+    was = F.coalesce(F.col("level"), F.lit(0)) if "level" in items.columns else F.lit(0)
+    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(rules.schema[c].dataType).alias(c) for c in rules.columns]) for r in held])
+    if not held:
+        listed = F.array().cast(f"array<struct<{', '.join(f'{c}: {t}' for c, t in rules.dtypes)}>>")
+    met = items.withColumn("from_level", was).drop("level").withColumn("_rule", F.explode(listed)).select("*", "_rule.*").filter(hit)
+    return met.select("id", "rule", "trigger", "from_level", "level", F.element_at(level, F.col("level")).alias("severity"), "target_role", reason.alias("reason"))
 
 
 def compliance_rules(log: DataFrame, as_of: str) -> DataFrame:

@@ -229,4 +229,4 @@ reg("X21_canonical_category", lambda v: v.bank().select("id", T.canonical_catego
 reg("J2_valid_match_filter", lambda v: matching.scored_pairs(v.bank(), v.ledger()).filter(matching.valid(matching.MatchConfig())).select("b_id", "e_id"))
 SQL["J2_valid_match_filter"] = VIEWS.rstrip() + _PAIRS + "SELECT b_id, e_id FROM g WHERE score >= 0.65 AND days <= 30 AND diff <= 0.02 * greatest(ba, ea)"
 
-from ledgerloom.plans import learned, learned_matches, more, rules, streams  # noqa: E402, F401  their queries register themselves
+from ledgerloom.plans import learned, learned_matches, more, reviewing, rules, streams  # noqa: E402, F401  their queries register themselves

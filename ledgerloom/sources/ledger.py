@@ -107,3 +107,31 @@ def column_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
         )
 
     return df.agg(F.array(*[facts(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+#: Words in headers that speak for a bank statement or for company data, for balances and for categories.
+BANK_HEADERS = ["saldo", "balance", "extrato", "statement", "banco", "bank", "agencia", "agency", "conta", "account", "transacao", "transaction", "credito", "debito", "credit", "debit", "transferencia", "transfer"]
+COMPANY_HEADERS = ["categoria", "category", "centro de custo", "cost center", "departamento", "department", "projeto", "project", "tipo", "type", "observacoes", "observations", "relatorio", "report"]
+BALANCE_HEADERS = ["saldo", "balance"]
+CATEGORY_HEADERS = ["categoria", "tipo", "departamento", "projeto"]
+
+
+def classify_file(df: DataFrame) -> DataFrame:
+    """One row: `Bank Statement`, `Company Financial Data` or `Unknown`, with both scores.
+
+    Each header counts once a side; balances and categories count two more, and amounts of both signs among the first three numeric
+    columns one for the bank. A tie is decided by a balance beside two numeric columns, then by categories beside a date. Types of columns and
+    signs come from one aggregation each over all rows, not from the first ones.
+    """
+    names = [c.lower() for c in df.columns]
+    hits = lambda words: [c for c in names if any(w in c for w in words)]
+    bank, company = len(hits(BANK_HEADERS)) + 2 * bool(hits(BALANCE_HEADERS)), len(hits(COMPANY_HEADERS)) + 2 * bool(hits(CATEGORY_HEADERS))
+    kinds = {r.column_name: r.kind for r in column_patterns(df, df.columns).collect()} if df.columns else {}  # one row per column
+    numeric, dated = [c for c in df.columns if kinds.get(c) == "numeric"], [c for c in df.columns if kinds.get(c) == "date"]
+    value = lambda c: F.translate(F.trim(F.col(c).cast("string")), ",", ".").try_cast("double")
+    sign = lambda cond: F.greatest(*[F.max(F.coalesce(cond(value(c)), F.lit(False))) for c in numeric[:3]], F.lit(False))
+    signs = df.agg(F.coalesce(sign(lambda x: x > 0) & sign(lambda x: x < 0), F.lit(False)).cast("int").alias("both"))
+    scored = signs.select((F.lit(bank) + F.col("both")).alias("bank_score"), F.lit(company).alias("company_score"))
+    tie = "Bank Statement" if hits(BALANCE_HEADERS) and len(numeric) >= 2 else "Company Financial Data" if hits(CATEGORY_HEADERS) and dated else "Unknown"
+    kind = F.when(F.col("bank_score") > F.col("company_score"), "Bank Statement").when(F.col("company_score") > F.col("bank_score"), "Company Financial Data").otherwise(tie)
+    return scored.withColumn("file_type", kind)
