@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.similar import bound, reference_bonus
 from ledgerloom.functions.text import ENTITIES, entity_list, entity_similarity, normalize_standard, text_similarity, tfidf_similarity
+from ledgerloom.operators.tables import few, hinted, written
 
 
 @dataclass(frozen=True)
@@ -44,18 +45,29 @@ def matchable(df: DataFrame) -> DataFrame:
 
 
 def prepared(df: DataFrame, side: str, extra: list[str]) -> DataFrame:
-    """Text features once per row, before any join."""
-    norm = normalize_standard(F.col("description"))
+    """Text features, before any join, once per different text: statements repeat their wordings, so these are few beside the rows."""
+    rows = matchable(df).select("id", "date", "amount", "description", *extra)
+    texts = rows.select("description").distinct()
     ents = F.struct(*[entity_list(F.col("description"), k).alias(k) for k in ENTITIES])
-    rows = matchable(df).select("id", "date", "amount", "description", *extra, norm.alias("norm"), ents.alias("ents"))
-    rows = rows.withColumn("words", F.array_distinct(F.split("norm", " ")))
-    return rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns])
+    texts = texts.select("description", normalize_standard(F.col("description")).alias("norm"), ents.alias("ents")).withColumn("words", F.array_distinct(F.split("norm", " ")))
+    told = rows.join(hinted(written(texts)), "description").select("id", "date", "amount", "description", *extra, "norm", "ents", "words")
+    return told.select(*[F.col(c).alias(f"{side}_{c}") for c in told.columns])
 
 
 def text_needed(cfg: MatchConfig, amount: float, date: float) -> float:
     """The least text similarity with which a pair of these amount and date scores can reach the threshold, all else at its best."""
-    base = (cfg.threshold - 0.3 * (0.3 + 0.25 + 0.2)) / 0.7
-    return (base - amount - date - 0.1 - cfg.reference) / cfg.text if cfg.text else float("inf")
+    return (least_base(cfg) - amount - date - 0.1 - cfg.reference) / cfg.text if cfg.text else float("inf")
+
+
+def least_base(cfg: MatchConfig) -> float:
+    """The least base score with which a pair without history can reach the threshold."""
+    return (cfg.threshold - 0.3 * (0.3 + 0.25 + 0.2)) / 0.7
+
+
+def text_tokens(s: str) -> Column:
+    """Words of a prepared side's text and its entities, each under its type."""
+    ents = [F.transform(F.col(f"{s}_ents.{k}"), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in ENTITIES]
+    return F.array_distinct(F.concat(F.array_remove(F.col(f"{s}_words"), ""), *ents))
 
 
 def sharing_words(b: DataFrame, e: DataFrame, on: list[str], need: float) -> DataFrame:
@@ -77,23 +89,33 @@ def sharing_words(b: DataFrame, e: DataFrame, on: list[str], need: float) -> Dat
 
 
 def candidate_pairs(bank: DataFrame, entries: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """J1's blocks as equi-joins: equal cents; same day; within tolerance and 3 days. Distinct pairs.
+    """J1's blocks as equi-joins: equal cents; same day; within tolerance and 3 days; equal cents of a day. Distinct pairs.
 
     No other pair can reach the threshold, and of the first two blocks only pairs whose texts are alike
-    enough can (the third holds what is exact and near in time), so nothing is lost. Amounts need no text where the
-    configuration lets them decide alone; then the whole block is taken.
+    enough can. Close amounts within 3 days need some likeness: pairs that share no token (a word or an entity), and of which
+    neither text stands inside the other, have similarity 0 and no entity bonus, so they leave the block at once. Only
+    equal cents of the same day need no text at all. Where a configuration lets more decide alone, the whole block is taken.
     """
-    b = bank.select(F.col("b_id"), F.col("b_date").alias("day"), F.abs("b_amount").alias("cents"), "b_words", "b_norm")
-    e = entries.select(F.col("e_id"), F.col("e_date").alias("day"), F.abs("e_amount").alias("cents"), "e_words", "e_norm")
+    b = bank.select(F.col("b_id"), F.col("b_date").alias("day"), F.abs("b_amount").alias("cents"), "b_words", "b_norm", text_tokens("b").alias("b_tokens"))
+    e = entries.select(F.col("e_id"), F.col("e_date").alias("day"), F.abs("e_amount").alias("cents"), "e_words", "e_norm", text_tokens("e").alias("e_tokens"))
     exact = sharing_words(b.drop("day"), e.drop("day"), ["cents"], text_needed(cfg, cfg.exact, 0.0))
     same = sharing_words(b.drop("cents"), e.drop("cents"), ["day"], text_needed(cfg, 0.0, cfg.same_day))
-    step = F.log(F.lit(1.0 + cfg.tolerance))
+    parts = [exact, same]
+    if cfg.exact + cfg.same_day + cfg.reference + 1e-9 >= least_base(cfg):
+        parts.append(b.select("b_id", "cents", "day").join(e.select("e_id", "cents", "day"), ["cents", "day"]).select("b_id", "e_id"))
+    # Buckets twice as wide as the tolerance and a day wider than 3 days: their neighbours hold all that fits.
+    step = 2 * F.log(F.lit(1.0 + cfg.tolerance))
     bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / step)
-    right = e.select("e_id", F.col("cents").alias("a2"), "day", F.explode(F.sequence(bucket("cents") - 2, bucket("cents") + 2)).alias("k"))
-    right = right.withColumn("day", F.explode(F.sequence(F.date_sub("day", 3), F.date_add("day", 3))))
-    left = b.select("b_id", F.col("cents").alias("a"), "day", bucket("cents").alias("k"))
-    close = left.join(right, ["k", "day"]).filter(F.abs(F.col("a") - F.col("a2")) <= F.col("a") * F.lit(cfg.tolerance).cast("decimal(4,2)")).select("b_id", "e_id")
-    return exact.union(same).union(close).distinct()
+    span = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / 4)
+    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    left = b.select("b_id", F.col("cents").alias("a"), F.col("day").alias("d1"), "b_tokens", "b_norm", bucket("cents").alias("k"), span("day").alias("d"))
+    right = e.select("e_id", F.col("cents").alias("a2"), F.col("day").alias("d2"), "e_tokens", "e_norm", around(bucket("cents")).alias("k"), span("day").alias("d0")).withColumn("d", around(F.col("d0")))
+    fits = (F.abs(F.col("a") - F.col("a2")) <= F.col("a") * F.lit(cfg.tolerance).cast("decimal(4,2)")) & (F.abs(F.datediff("d1", "d2")) <= 3)
+    inside = (F.col("b_norm") != "") & (F.col("e_norm") != "") & (F.col("e_norm").contains(F.col("b_norm")) | F.col("b_norm").contains(F.col("e_norm")))
+    if max(cfg.exact + cfg.near_day, cfg.close + cfg.same_day) + cfg.reference + 1e-9 < least_base(cfg):
+        fits = fits & (F.arrays_overlap("b_tokens", "e_tokens") | inside)
+    parts.append(left.join(right, ["k", "d"]).filter(fits).select("b_id", "e_id"))
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def base_score(cfg: MatchConfig) -> dict[str, Column]:
@@ -114,6 +136,20 @@ def base_score(cfg: MatchConfig) -> dict[str, Column]:
     return {"amount_score": amount, "date_score": date, "text_similarity": text, "entity_bonus": entity, "reference_bonus": reference}
 
 
+def with_base_scores(pairs: DataFrame, b: DataFrame, e: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """pairs of the prepared sides b and e, with all their columns, and M1's parts: those of texts once per different pair of texts, where these are few (counted), so
+    that a broadcast brings them to the pairs; else pair by pair."""
+    scores = base_score(cfg)
+    said = {k: scores.pop(k) for k in ("text_similarity", "entity_bonus")}
+    ids, parts = ["b_description", "e_description"], ["norm", "words", "ents"]
+    met = written(pairs.select(*ids).distinct())
+    if not few(met):
+        return pairs.withColumns(said | scores)
+    one = lambda df, s: df.select(f"{s}_description", *[f"{s}_{c}" for c in parts]).distinct()
+    texts = written(met.join(one(b, "b"), "b_description").join(one(e, "e"), "e_description").withColumns(said).select(*ids, *said))
+    return pairs.join(F.broadcast(texts), ids).withColumns(scores)
+
+
 def quality_scores() -> dict[str, Column]:
     """Completeness, outlier and temporal consistency of a pair."""
     full = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
@@ -129,9 +165,9 @@ def quality_scores() -> dict[str, Column]:
 
 def scored_pairs(bank: DataFrame, entries: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """J1 + M1 + M11 without learned history: candidate pairs whose final score reaches the threshold, with its parts."""
-    b, e = prepared(bank, "b", ["category", "transaction_id"]), prepared(entries, "e", ["category", "cost_center"])
-    pairs = candidate_pairs(b, e, cfg).join(b, "b_id").join(e, "e_id")
-    pairs = pairs.withColumns(base_score(cfg)).withColumns(quality_scores())
+    b, e = written(prepared(bank, "b", ["category", "transaction_id"])), written(prepared(entries, "e", ["category", "cost_center"]))
+    pairs = written(candidate_pairs(b, e, cfg)).join(b, "b_id").join(e, "e_id")
+    pairs = with_base_scores(pairs, b, e, cfg).withColumns(quality_scores())
     base = F.least(F.lit(1.0), F.col("amount_score") + F.col("date_score") + cfg.text * F.col("text_similarity") + 0.1 * F.col("entity_bonus") + F.col("reference_bonus"))
     context = F.least(F.lit(0.95), base)
     final = F.least(F.lit(1.0), 0.7 * context + 0.3 * (0.3 * F.col("data_quality") + 0.25 * F.lit(0.0) + 0.25 * F.col("outlier") + 0.2 * F.col("temporal")))

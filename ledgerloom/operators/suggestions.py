@@ -11,7 +11,7 @@ from ledgerloom.functions.text import ENTITIES, entity_list, entity_similarity,
 from ledgerloom.operators import anomaly
 from ledgerloom.operators.context import MODES, contextual
 from ledgerloom.operators.decisions import score_explanations
-from ledgerloom.operators.matching import MatchConfig, base_score, prepared, quality_scores, ranked, recommendation, valid
+from ledgerloom.operators.matching import MatchConfig, prepared, quality_scores, ranked, recommendation, text_tokens, valid, with_base_scores
 from ledgerloom.operators.tables import written
 
 #: Days of a date bucket of valid pairs.
@@ -32,10 +32,8 @@ def tokens(side: DataFrame, s: str, patterns: DataFrame) -> DataFrame:
     """
     ends = patterns.filter("type = 'description'").select(F.split_part("pattern", F.lit("||"), F.lit(1 if s == "b" else 2)).alias("_norm"), F.concat(F.lit("p:"), "pattern").alias("_p"))
     known = ends.groupBy("_norm").agg(F.collect_set("_p").alias("_patterns"))
-    ents = F.flatten(F.array(*[F.transform(F.col(f"{s}_ents.{k}"), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in ENTITIES]))
     met = side.join(F.broadcast(known), F.col(f"{s}_norm") == F.col("_norm"), "left").drop("_norm")
-    words = F.array_remove(F.col(f"{s}_words"), "")
-    return met.withColumn(f"{s}_tokens", F.array_distinct(F.concat(words, ents, F.coalesce("_patterns", F.array().cast("array<string>"))))).drop("_patterns")
+    return met.withColumn(f"{s}_tokens", F.array_distinct(F.concat(text_tokens(s), F.coalesce("_patterns", F.array().cast("array<string>"))))).drop("_patterns")
 
 
 def valid_candidates(b: DataFrame, e: DataFrame, cfg: MatchConfig, mode: str) -> DataFrame:
@@ -73,7 +71,7 @@ def learned_pairs(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour
     b = written(tokens(prepared(bank, "b", ["category", "transaction_id", "transaction_type"]), "b", patterns))
     e = written(tokens(prepared(entries, "e", ["category", "cost_center", "transaction_type"]), "e", patterns))
     pairs = written(valid_candidates(b, e, cfg, mode)).join(b.drop("b_tokens"), "b_id").join(e.drop("e_tokens"), "e_id")
-    pairs = pairs.withColumns(base_score(cfg)).withColumns(quality_scores())
+    pairs = with_base_scores(pairs, b, e, cfg).withColumns(quality_scores())
     base = F.least(F.lit(1.0), F.col("amount_score") + F.col("date_score") + cfg.text * F.col("text_similarity") + 0.1 * F.col("entity_bonus") + F.col("reference_bonus"))
     pairs = contextual(pairs.withColumn("base", base), patterns, F.col("base"), hour, mode)
     trust = 0.3 * F.col("data_quality") + 0.25 * F.col("pattern_consistency") + 0.25 * F.col("outlier") + 0.2 * F.col("temporal")
@@ -137,8 +135,7 @@ def alike_texts(b: DataFrame, e: DataFrame, least: float) -> DataFrame:
     ids = ["b_description", "e_description"]
 
     def keyed(df: DataFrame, s: str) -> DataFrame:
-        ents = [F.transform(F.col(f"{s}_ents.{k}"), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in ENTITIES]
-        return df.select(f"{s}_description", F.explode(F.array_distinct(F.concat(F.array_remove(F.col(f"{s}_words"), ""), *ents))).alias("token"))
+        return df.select(f"{s}_description", F.explode(text_tokens(s)).alias("token"))
 
     common = keyed(tb, "b").join(keyed(te, "e"), "token").select(*ids)
     # A text of one or two words can stand inside another without sharing a word: then its first two letters are two neighbours there.

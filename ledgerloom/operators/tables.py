@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only up to this many narrow rows (some tens of MB).
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +21,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `rows` rows; counting stops there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which is cheap to read, with a broadcast hint if it is small, else unchanged."""
+    return F.broadcast(df) if few(df, rows) else df
