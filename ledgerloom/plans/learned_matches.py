@@ -8,7 +8,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import context, suggestions
 from ledgerloom.plans.adapters import FOLD
 from ledgerloom.plans.registry import _ENT, _PAIRS, _RANKED, PREP, _jac, reg
-from ledgerloom.plans.rules import _ENRICHED, _JUDGED, _LOOK, _MINED, _SUPPLIER_SQL, _context_pairs, _mined, with_views
+from ledgerloom.plans.rules import _CONTEXT, _ENRICHED, _JUDGED, _LOOK, _MINED, _SUPPLIER_SQL, _context_pairs, _mined, with_views
 
 _BONUS = "b1 * 0.3::DOUBLE + b2 * 0.2::DOUBLE + b3 * 0.1::DOUBLE + b4 * 0.1::DOUBLE + b5 * 0.05::DOUBLE"
 _CONS = "CASE WHEN b1 > 0 THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN b2 > 0 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN b3 > 0 THEN 0.2 ELSE 0 END::DOUBLE"
@@ -55,3 +55,6 @@ _users = lambda v: v.table("events").select(F.col("user_id")).distinct().filter(
 reg("C7_user_behavior_bonus", lambda v: context.user_behavior(v.table("events").select("event_id", F.col("user_id").alias("by")), _users(v), "by", 9).select("event_id", F.round("user_bonus", 6).alias("bonus")),
     "SELECT event_id, round(CASE WHEN user_id % 3 > 0 THEN least(0.1::DOUBLE * (user_id % 11) / 10 + CASE WHEN user_id % 12 = 9 THEN 0.05 ELSE 0 END::DOUBLE, 0.15) ELSE 0 END, 6) AS bonus FROM events")
 reg("C9_explanation", lambda v: _context_pairs(v).select("id", "explanation"))
+_shown = ", ".join(f"CASE WHEN {b} > 0.01 THEN printf('{context.FACTORS[k]}: +%.3f', {b}) END" for k, b in (("description", "b1"), ("supplier", "b2"), ("amount", "b3"), ("date", "b4"), ("time", "b5")))
+with_views("C9_explanation", _CONTEXT + f"""SELECT id, CASE WHEN said = '' THEN 'No significant contextual patterns found' ELSE 'Contextual adjustments: ' || said || CASE WHEN t > 0.1 THEN printf(' (Total bonus: +%.3f)', t) ELSE '' END END AS explanation
+  FROM (SELECT id, concat_ws('; ', {_shown}) AS said, {_BONUS} AS t FROM bonus)""")

@@ -85,3 +85,6 @@ reg("W8_busy_days", lambda v: windows.frequency_spikes(v.bank(), 1.1), SQL["W8_f
 SQL["W8_busy_days"] = SQL["W8_frequency_spikes"].replace("1.5 * median", "1.1 * median")
 reg("L7_forecast_transactions", lambda v: reports.forecast_transactions(v.bank(), 6))
 SQL["L7_forecast_transactions"] = SQL["L7_forecast_trend"]
+
+# Categories that the sign changes, over the same rows as X22
+SQL["A24_category_transitions"] = adapters.VIEWS + f"""SELECT b.category AS old, x.adjusted AS new, count(*) AS n FROM bank_tx b JOIN ({SQL['X22_category_by_sign'].removeprefix(adapters.VIEWS)}) x USING (id) GROUP BY 1, 2 ORDER BY n DESC, old, new LIMIT 50"""
