@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable, let, small
+from ledgerloom.llm.common import BROADCAST_ROWS, Scratch, durable, join_counted, let
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The formats, with possessive loops where nothing follows them: same matches, no recursion on long runs.
@@ -21,6 +21,8 @@ FORMATS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{M}]{3,}+"
 PART = 1000
+#: Sides of up to this many rows (counted) are broadcast.
+FEW = BROADCAST_ROWS
 SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
@@ -91,12 +93,32 @@ def base_spans(text: Column) -> Column:
     return in_order(F.concat(*parts))
 
 
+def furthest_ends(spans: Column) -> Column:
+    """The largest end up to each span, carried along; in parts of a thousand, as each append copies what there is."""
+    def step(acc: Column, x: Column) -> Column:
+        most = F.greatest(acc["most"], x["end"])
+        return F.struct(most.alias("most"), F.array_append(acc["out"], most).alias("out"))
+
+    none = F.array().cast("array<int>").alias("out")
+
+    def steps(acc: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(spans, i * PART + 1, F.lit(PART)), F.struct(acc["most"].alias("most"), none), step)
+        return let(inner, lambda x: F.struct(x["most"].alias("most"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    parts = F.sequence(F.lit(0), F.floor(F.size(spans) / PART).cast("int"))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("most"), none), steps, lambda acc: acc["out"])
+
+
 def outside(text: Column, base: Column) -> Column:
     """What stands between the spans; letters that run into a span go, as part of it."""
+    return let(furthest_ends(base), lambda ends: _between(text, base, ends))
+
+
+def _between(text: Column, base: Column, ends: Column) -> Column:
     n = F.size(base)
 
     def piece(i: Column) -> Column:
-        low = F.when(i == 0, 0).otherwise(F.array_max(F.transform(F.slice(base, F.lit(1), i), lambda x: x["end"])))
+        low = F.when(i == 0, 0).otherwise(F.try_element_at(ends, i))
         high = F.when(i == n, F.length(text)).otherwise(F.try_element_at(base, i + 1)["start"])
         before = F.when(i == 0, " ").otherwise(F.substring(text, low, F.lit(1)))
         after = F.when(i == n, " ").otherwise(F.substring(text, high + 1, F.lit(1)))
@@ -121,9 +143,11 @@ def find_personal_data(docs: DataFrame, share: float = 0.75, support: int = 2, i
     occurrences outside base spans is a span, in every document, with e or without. All counts are of whole documents.
 
     Everything is DataFrame functions. Narrow rows are shuffled: values, terms of texts that hold a value which
-    other texts hold too, and candidate terms' occurrences, aggregated before they meet. A term in so many documents
-    that its PMI can't reach the share with any count is left out before terms meet values. Sides are broadcast up
-    to a counted size.
+    other texts hold too, and candidate terms' occurrences, aggregated before they meet. Values that stand in the
+    same texts tell the same, so one of them meets the terms. A term in so many documents that its PMI can't reach
+    the share with any count is left out before terms meet values. Sides are broadcast up to a counted size; beyond
+    it, texts with many copies are met by broadcast and all others by a shuffle. The result is written to the shared
+    folder, and the tables it came from are deleted.
 
     Null counts as empty: no spans. Repeated rows get equal spans, and equal texts count once towards
     `support`. A null id is allowed. Empty input gives an empty result.
@@ -136,34 +160,54 @@ def find_personal_data(docs: DataFrame, share: float = 0.75, support: int = 2, i
         terms = F.array_distinct(F.transform(words_of(outside(F.col("text"), base)), lambda w: F.lower(w)))
         return F.struct(base.alias("base"), F.when(F.size(base) > 0, F.array_distinct(entity)).alias("entities"), F.when(F.size(base) > 0, terms).alias("terms"))
 
-    scanned = durable(rows.select("id", "th", let(base_spans(F.col("text")), context).alias("x")).select("id", "th", "x.base", "x.entities", "x.terms"))
+    scratch = Scratch(docs.sparkSession)
+    scanned = scratch.save(rows.select("id", "th", let(base_spans(F.col("text")), context).alias("x")).select("id", "th", "x.base", "x.entities", "x.terms"))
     total = scanned.count()
     holders = scanned.filter("entities is not null")
     copies = holders.groupBy("th").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
-    held = durable(copies.select("th", "copies", F.explode("entities").alias("entity")))
-    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "n_e")
-    held = durable(held.join(entities, "entity"))
+    held = scratch.save(copies.select("th", "copies", F.explode("entities").alias("entity")))
+    where = [F.sum(F.xxhash64(F.lit(seed), "th").cast("decimal(20,0)")).alias(f"where_{seed}") for seed in (1, 2)]
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), *where).filter(F.col("texts") >= support)
+    entities = entities.groupBy("n_e", "texts", "where_1", "where_2").agg(F.min("entity").alias("entity")).select("entity", "n_e")
+    held = scratch.save(held.join(entities, "entity"))
     terms = holders.select("th", F.explode("terms").alias("term")).distinct().join(held.select("th").distinct(), "th", "left_semi")
-    terms = durable(terms)
-    wanted = small(durable(terms.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support).select("term")))
+    terms = scratch.save(terms)
+    wanted = scratch.save(terms.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support).select("term"))
     words = rows.select(F.explode(F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.lower(w)))).alias("term"))
-    known = durable(words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
+    if few(wanted):
+        known = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:
+        known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    known = scratch.save(known)
     # n(t,e) <= n(e), so PMI >= share * IC asks for n(t) <= n(e) * (N / n(e)) ** (1 - share).
     most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - share)) * 1.000001
     pairs = terms.join(known, "term").join(held, "th").filter(F.col("n_t") <= most)
     both = pairs.groupBy("term", "entity", "n_t", "n_e").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(total)) / F.col("n_e"))
-    telling = small(durable(both.filter((content > 0) & (pmi >= share * content)).select("term").distinct()))
+    telling = scratch.save(both.filter((content > 0) & (pmi >= share * content)).select("term").distinct())
+    telling = F.broadcast(telling) if few(telling) else telling
     spoken = rows.select("th", F.explode(words_of(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
-    found = small(durable(spoken.join(telling, "term", "left_semi").groupBy("th").agg(F.collect_set("word").alias("words"))))  # of one text each
+    found = scratch.save(spoken.join(telling, "term", "left_semi").groupBy("th").agg(F.collect_set("word").alias("words")))  # of one text each
+    all_few = few(found)
+    each = scanned.groupBy("th").agg(F.count("*").alias("copies"))
+    texts = rows.join(F.broadcast(found), "th") if all_few else join_counted(rows, scratch.save(found.join(each, "th")), "th", "copies", total)
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{M}])"))
     at = F.transform(matches(F.col("text"), pattern, "term"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lower(x["value"]).alias("value")))
-    added = rows.join(found, "th").select("th", at.alias("more")).dropDuplicates(["th"])
+    added = scratch.save(texts.select("th", at.alias("more")).dropDuplicates(["th"]))
     more = F.filter("more", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = scanned.join(durable(added), "th", "left")
+    if all_few:
+        out = scanned.join(F.broadcast(added), "th", "left")
+    else:
+        out = join_counted(scanned, scratch.save(each.join(added, "th", "left")), "th", "copies", total)
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(in_order(F.concat(F.col("base"), more)))
-    return out.select(F.col("id").alias(id_col), "base", every.alias("spans"))
+    out = durable(out.select(F.col("id").alias(id_col), "base", every.alias("spans")))
+    scratch.clear()
+    return out
+
+
+def few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
 
 
 def sanitise(text: Column, spans: Column) -> Column:
