@@ -93,13 +93,16 @@ def predict(model: LanguageModel | None, text: str | None) -> tuple[str, float]:
     return model.langs[best], float(min(1.0, p[best]))
 
 
-def fit_languages(labelled: DataFrame, per_lang: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Train on about `per_lang` rows of each language, chosen by a hash of the id: the documented bound of the sample.
+def fit_languages(labelled: DataFrame, per_lang: int = 250, langs: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+    """Train on about `per_lang` ids of each language, chosen by a hash of the id: the documented bound of the sample.
 
+    The `langs` languages with the most rows are learned (ties by name), so that a dirty column can't grow the model.
+    An id that has many rows in a language counts once there, by its first text in order.
     Whole texts are counted on the executors; the driver gets the sampled rows' bucket counts only.
     """
     labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # one row per language
+    often = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    counts = {r["lang"]: r["n"] for r in often.collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_lang / n))])
@@ -110,9 +113,9 @@ def fit_languages(labelled: DataFrame, per_lang: int = 250, id_col: str = "doc_i
         return pd.DataFrame({"b": [np.flatnonzero(c).astype("int32") for c in found], "c": [c[c > 0].astype("int32") for c in found]})
 
     chance = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("string")), F.lit(1_000_000)) / 1e6
-    chosen = labelled.filter(chance < F.element_at(rate, F.col(lang_col))).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), grams(F.col(text_col)).alias("g")
-    )
+    chosen = labelled.filter(chance < F.try_element_at(rate, F.col(lang_col)))
+    chosen = chosen.groupBy(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("order")).agg(F.min(text_col).alias("text"))
+    chosen = chosen.select("lang", "order", grams(F.col("text")).alias("g"))
     rows = sorted(chosen.collect(), key=lambda r: (r["order"], r["lang"]))
     return train([(r["lang"], np.array(r["g"]["b"], dtype=int), np.array(r["g"]["c"], dtype=float)) for r in rows])
 
