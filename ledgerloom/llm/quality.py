@@ -81,8 +81,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, smooth: fl
         return QualityModel(np.zeros(1 << BITS, dtype=np.float32), float("-inf"))
     p, q = (target + smooth) / (target + smooth).sum(), (raw + smooth) / (raw + smooth).sum()
     ratio = np.log(p / q).astype(np.float32)
-    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("good", quality_weight(docs, ratio).alias("w"))
-    seen = seen.select("good", (F.col("w.weight") / F.greatest(F.col("w.grams"), F.lit(1))).alias("mean")).toPandas()  # at most `rows` ids
+    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "good", quality_weight(docs, ratio).alias("w"))
+    seen = seen.select("doc_id", "good", (F.col("w.weight") / F.greatest(F.col("w.grams"), F.lit(1))).alias("mean"))
+    seen = seen.groupBy("doc_id", "good").agg(F.min("mean").alias("mean")).toPandas()  # one row per id, so at most `rows`
     return QualityModel(ratio, cut_between(seen["mean"].to_numpy(float), seen["good"].to_numpy(bool)))
 
 
