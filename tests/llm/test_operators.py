@@ -1,6 +1,7 @@
 """The operators on small tables: brute-force versions, nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -274,6 +275,41 @@ def test_telling_terms_of_whole_documents(spark):
     assert not any(x.value in ("filler", "merlin", "camelot", "merlinusx") and x.kind == "term" for x in got[3])
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_telling_terms_by_brute_force(spark, monkeypatch, few):
+    """All counts by hand, with and without broadcast sides; addresses that always stand together, copies, overlapping spans."""
+    monkeypatch.setattr(pii, "FEW", few)
+    rng, texts = random.Random(8), []
+    for i in range(90):
+        who = rng.randrange(6)
+        words = " ".join(rng.choice("river stone light north garden".split()) for _ in range(6))
+        texts.append(f"{words} person{'abcdef'[who]} at p{who}@x.example, q{who}@x.example {'or 1.2.3.4.5@z.example ' if who == 3 else ''}end" if i % 2 else words + (" persona" if i % 20 == 0 else ""))
+    texts += [texts[1]] * 40 + [""] * 60 + [None] * 20
+    term = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    total, n_t, n_e, n_te, support = len(texts), Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        held = {m.lower() for m in mail.findall(t or "")} | ({"1.2.3.4"} if "1.2.3.4" in (t or "") else set())
+        n_t.update(term(t or ""))
+        n_e.update(held)
+        n_te.update((w, e) for w in term(mail.sub(" ", t or "")) for e in held)
+    for t in set(texts):
+        held = {m.lower() for m in mail.findall(t or "")} | ({"1.2.3.4"} if "1.2.3.4" in (t or "") else set())
+        support.update((w, e) for w in term(mail.sub(" ", t or "")) for e in held)
+        support.update((None, e) for e in held)
+    want = set()
+    for (w, e), n in n_te.items():
+        content = math.log(total / n_e[e])
+        if support[w, e] >= 2 and support[None, e] >= 2 and content > 0 and math.log(total * n / (n_t[w] * n_e[e])) >= 0.75 * content:
+            want.add(w)
+    got = pii.find_personal_data(docs_of(spark, texts)).collect()
+    assert len(got) == total and want and {x.value for r in got for x in r.spans if x.kind == "term"} == want
+    for r in got:
+        t = texts[r.doc_id] or ""
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in want and not any(a.start() < m.end() and m.start() < a.end() for a in mail.finditer(t))]
+        assert [(x.start, x.end) for x in r.spans if x.kind == "term"] == spans
+
+
 def brute_secrets(text: str | None) -> tuple[int, int, int, str]:
     """The base result by the plainest reading of the formats."""
     text, found = text or "", []
@@ -442,6 +478,20 @@ def test_quality(spark):
         rows = quality.resample_quality(once, labels, share=share, temperature=heat).collect()
         best = sorted(rows, key=lambda r: -r.quality_key)[: round(share * len(rows))]
         assert {r.doc_id for r in rows if r.quality_kept} == {r.doc_id for r in best}
+    # By brute force: hashed n-gram models with one added to each count, over labelled good ids and over all rows.
+    texts = {r.doc_id: r.text for r in once.collect()}
+    sampled = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        grams = quality.buckets_of(t or "").tolist()
+        raw.update(grams)
+        target.update(grams if i in sampled else [])
+    size = 1 << quality.BITS
+    all_raw, all_target = sum(raw.values()) + size, sum(target.values()) + size
+    model = quality.fit_quality(once, labels)
+    for i in (0, 100, 270, 900):
+        want = sum(math.log((target[g] + 1) / all_target) - math.log((raw[g] + 1) / all_raw) for g in quality.buckets_of(texts[i]).tolist())
+        assert quality.log_weight(model.ratio, texts[i])[0] == pytest.approx(want, rel=1e-3, abs=1e-2)
     assert all(r.quality_kept for r in quality.resample_quality(docs, labels.filter("false")).collect())
     assert quality.resample_quality(docs.filter("false"), labels).count() == 0
 
@@ -474,6 +524,54 @@ def test_languages(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902)) and all(0 <= r.score <= 1 for r in got.values())
     assert langid.fit_languages(docs.filter("false")) is None
     assert {r.lang_pred for r in langid.identify_languages(docs, None).collect()} == {"und"}
+    # The sample is bounded: one id with many rows counts once, and the most frequent languages are learned.
+    many = docs.union(spark.range(2000).select(F.lit(5).alias("doc_id"), F.lit(rows[5][1]).alias("text"), F.lit(rows[5][2]).alias("lang")))
+    assert (langid.fit_languages(many.filter("doc_id % 4 <> 2"), per_lang=10_000).weights == langid.fit_languages(docs.filter("doc_id % 4 <> 2"), per_lang=10_000).weights).all()
+    dirty = docs.union(spark.range(3000).selectExpr("id + 5000", "'noise'", "concat('q', id)"))
+    assert langid.fit_languages(dirty, langs=3).langs == ["xx", "yy", "zz"]
+
+
+def language_rows(seed, n=240):
+    rng, parts = random.Random(seed), {"xx": "the of ing tion and er", "yy": "que les oux ment eau é", "zz": "sch ung keit ver ß ein"}
+    langs = [rng.choice(list(parts)) for _ in range(n)]
+    return [(i, " ".join("".join(rng.choice(parts[lang].split()) for _ in range(2)) for _ in range(12)), lang) for i, lang in enumerate(langs)]
+
+
+def test_language_model_is_sparse_and_calibrated():
+    counted = [(lang, *(lambda c: (c.nonzero()[0], c[c > 0].astype(float)))(langid.counts_of(text))) for _, text, lang in language_rows(1)]
+    # The stronger the penalty, the more weights are exactly zero; at last all.
+    used = [int((langid.train(counted, l1=l1).weights != 0).sum()) for l1 in (0.0, 0.3, 3.0, 1e6)]
+    assert used[0] > used[1] > used[2] > used[3] == 0
+    # A fifth of the labels at random: the mean probability given is near the share that is right.
+    rng, noisy = random.Random(2), []
+    for lang, index, value in counted * 3:
+        noisy.append((rng.choice(["xx", "yy", "zz"]) if rng.random() < 0.4 else lang, index, value))
+    model = langid.train(noisy)
+    new = language_rows(3)
+    said = [langid.predict(model, text) for _, text, _ in new]
+    truth = [rng.choice(["xx", "yy", "zz"]) if rng.random() < 0.4 else lang for _, _, lang in new]
+    right = sum(a == t for (a, _), t in zip(said, truth)) / len(new)
+    assert abs(sum(p for _, p in said) / len(said) - right) < 0.12
+
+
+def test_language_query_uses_the_text_alone(spark, tmp_path):
+    from zlib import crc32
+
+    rows = [(i, t, lang, "s", 1) for i, t, lang in language_rows(4)] + [(7, "the of", "xx", "s", 1), (None, "the of", "xx", "s", 1), (800, "ver ung " * 40_000, None, "s", 1)]
+    held = lambda i: i is None or crc32(str(i).encode()) % 4 == 2
+    schema, out = "doc_id long, text string, lang string, source string, n_chars long", []
+    # Held-out languages replaced, all sources replaced: nothing may change.
+    for name, table in (("a", rows), ("b", [(i, t, "zz" if held(i) else lang, "other", 2) for i, t, lang, _, _ in rows])):
+        spark.createDataFrame(table, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out.append(sorted(map(tuple, langid.op9_language_id(spark, str(tmp_path / name)).collect()), key=str))
+    assert out[0] == out[1] and len(out[0]) == len(rows) and all(r[1] == held(r[0]) for r in out[0])
+    truth = {i: lang for i, _, lang, _, _ in rows[:240]}
+    tested = [r for r in out[0] if r[1] and r[0] is not None and r[0] in truth]
+    assert len(tested) > 40 and sum(r[2] == truth[r[0]] for r in tested) >= 0.95 * len(tested)
+    assert [r[2] for r in out[0] if r[0] == 800] == ["zz"]
+    docs = spark.createDataFrame([(1, "ver ung", "clash", 9.0, "clash")], "doc_id long, text string, lang_pred string, score double, _lang string")
+    got = langid.identify_languages(docs, langid.fit_languages(spark.createDataFrame(rows, schema))).collect()
+    assert got[0].asDict()["lang_pred"] == "zz" and set(got[0].asDict()) == {"doc_id", "text", "lang_pred", "score"}
 
 
 PAGE = """<html><body><header><h1>Site</h1></header><nav><a href=/a>Home</a> <a href=/b>News</a></nav>
