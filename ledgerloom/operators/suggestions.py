@@ -12,7 +12,7 @@ from ledgerloom.operators import anomaly
 from ledgerloom.operators.context import MODES, contextual
 from ledgerloom.operators.decisions import score_explanations
 from ledgerloom.operators.matching import MatchConfig, prepared, quality_scores, ranked, recommendation, text_tokens, valid, with_base_scores
-from ledgerloom.operators.tables import written
+from ledgerloom.operators.tables import hinted, shuffled, written
 
 #: Days of a date bucket of valid pairs.
 SPAN = 31
@@ -68,8 +68,8 @@ def valid_candidates(b: DataFrame, e: DataFrame, cfg: MatchConfig, mode: str) ->
 
 def learned_pairs(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour: int, mode: str = "balanced", cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """M11 in full: valid pairs that reach the threshold, with M1 (M4 and near references included), C9 over it, M7 to M10 and the final `score` (M12's parts are its columns)."""
-    b = written(tokens(prepared(bank, "b", ["category", "transaction_id", "transaction_type"]), "b", patterns))
-    e = written(tokens(prepared(entries, "e", ["category", "cost_center", "transaction_type"]), "e", patterns))
+    b = shuffled(written(tokens(prepared(bank, "b", ["category", "transaction_id", "transaction_type"]), "b", patterns)))
+    e = shuffled(written(tokens(prepared(entries, "e", ["category", "cost_center", "transaction_type"]), "e", patterns)))
     pairs = written(valid_candidates(b, e, cfg, mode)).join(b.drop("b_tokens"), "b_id").join(e.drop("e_tokens"), "e_id")
     pairs = with_base_scores(pairs, b, e, cfg).withColumns(quality_scores())
     base = F.least(F.lit(1.0), F.col("amount_score") + F.col("date_score") + cfg.text * F.col("text_similarity") + 0.1 * F.col("entity_bonus") + F.col("reference_bonus"))
@@ -161,10 +161,10 @@ def contextual_suggestions(bank: DataFrame, entries: DataFrame, patterns: DataFr
     most = 0.3 * w["description"] + 0.2 * w["supplier"] + 0.2 * w["amount"] + 0.2 * w["date"] + 0.1 * w["time"]
     if most >= w["threshold"]:
         raise ValueError("bonuses alone pass the threshold")
-    b, e = written(prepared(bank, "b", [])), written(prepared(entries, "e", []))
-    texts = written(alike_texts(b, e, w["threshold"] - most - 1e-9))
+    b, e = shuffled(written(prepared(bank, "b", []))), shuffled(written(prepared(entries, "e", [])))
+    texts = hinted(written(alike_texts(b, e, w["threshold"] - most - 1e-9)))
     asking = b.select("b_id", "b_amount", "b_date", "b_description").join(texts.select("b_description", "e_description"), "b_description")
-    places = written(numbered(e.select("e_id", "e_amount", "e_date", "e_description")))
+    places = shuffled(written(numbered(e.select("e_id", "e_amount", "e_date", "e_description"))))
     step, week = F.log(F.lit(1.06)), lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / 7)
     bucket = lambda c: F.floor(F.log(F.abs(F.col(c)).cast("double")) / step)
     around = lambda c: F.explode(F.sequence(c - 1, c + 1))

@@ -1,6 +1,6 @@
 """Rules at their edges: classes of amounts, words next to letters beyond ASCII."""
 
-from ledgerloom.operators import context, quality
+from ledgerloom.operators import context, matching, quality, stores, suggestions, tables
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,17 @@ def test_words_end_at_letters_beyond_ascii(spark):
     rows = spark.createDataFrame([("que delñaróción", True, False), ("que delaroción", False, False), ("DEL x", True, False), ("ñselectñ", False, True), ("a_select_b", False, False)], "t string, command boolean, sql boolean")
     got = quality.scan_injection(rows, F.col("t")).collect()
     assert [(r.has_command, r.has_sql) for r in got] == [(r.command, r.sql) for r in got]
+
+
+def test_sides_of_matching_are_never_broadcast(spark):
+    bank = spark.createDataFrame([(i, f"T{i}", "10.00", "PIX CLIENTE SILVA") for i in range(5)], "id long, transaction_id string, amount string, description string")
+    bank = bank.withColumns({"date": F.lit("2024-01-02").cast("date"), "amount": F.col("amount").cast("decimal(18,2)"), "category": F.lit("x"), "cost_center": F.lit("y"), "transaction_type": F.lit("credit")})
+    patterns = spark.createDataFrame([], stores.PATTERNS)
+    found = [matching.scored_pairs(bank, bank), suggestions.learned_pairs(bank, bank, patterns, 9)]
+    for pairs in found:
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [b_id" in plan and "BroadcastHashJoin [b_id" not in plan and "BroadcastHashJoin [e_id" not in plan
+        assert pairs.count() == 25
+    b, e = (tables.shuffled(tables.written(matching.prepared(bank, s, []))) for s in "be")
+    met = [matching.candidate_pairs(b, e, matching.MatchConfig()), suggestions.valid_candidates(*(tables.shuffled(suggestions.tokens(x, s, patterns)) for x, s in ((b, "b"), (e, "e"))), matching.MatchConfig(), "balanced")]
+    assert all("BroadcastHashJoin [cents" not in p._jdf.queryExecution().executedPlan().toString() for p in met)
