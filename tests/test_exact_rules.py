@@ -1,5 +1,6 @@
 """Rules at their edges: classes of amounts, words next to letters beyond ASCII."""
 
+from ledgerloom.functions import coerce
 from ledgerloom.operators import context, matching, quality, stores, suggestions, tables
 from pyspark.sql import functions as F
 
@@ -29,3 +30,14 @@ def test_sides_of_matching_are_never_broadcast(spark):
     b, e = (tables.shuffled(tables.written(matching.prepared(bank, s, []))) for s in "be")
     met = [matching.candidate_pairs(b, e, matching.MatchConfig()), suggestions.valid_candidates(*(tables.shuffled(suggestions.tokens(x, s, patterns)) for x, s in ((b, "b"), (e, "e"))), matching.MatchConfig(), "balanced")]
     assert all("BroadcastHashJoin [cents" not in p._jdf.queryExecution().executedPlan().toString() for p in met)
+
+
+def test_dates_and_numbers_are_tried_where_they_can_be(spark):
+    texts = ["2024-01-31", " 31/01/2024 ", "01/31/2024", "31-01-2024", "2024/01/31", "31.01.2024", "2024.01.31", "2024-02-30", "1/1/2024", "+12024-01-31", "-2024-01-31", "2024-01/31", "12.34", "31/01/2024 x", "31/01/2024\n", "٣١/٠١/٢٠٢٤", "", None, "sim"]
+    texts += ["1e3", " 1.5 ", "+.5", "-5.", "NaN", "Infinity", "-inf", "inf", "1d", "2F", "0x1p3", "1_0", "R$ 5", "5%", "--1", "nao", "1 2", "\t7\n", "."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_date(F.trim("t"), f) for f in coerce.DATE_FORMS])
+    got = rows.select("t", plain.eqNullSafe(coerce.coerce_date(F.col("t"))).alias("date"), F.col("t").try_cast("double").eqNullSafe(coerce.try_number(F.col("t"))).alias("number")).collect()
+    assert [r.t for r in got if not (r.date and r.number)] == []
+    plan = rows.select(coerce.coerce_date(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper()  # a form is not tried on just any text
