@@ -28,7 +28,9 @@ class Workflow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         events = sorted((r.at, r.seq, r.action, r.role) for r in rows)
-        state, since, applied, invalid, timed = self.value.get() if self.value.exists() else ("draft", events[0][0], 0, 0, 0)
+        known = self.value.get()  # None for a new record
+        state, since, applied, invalid, timed = known or ("draft", events[0][0], 0, 0, 0)
+        stands = self.due(state, since) if known else None
         for at, _, action, role in events:
             due = self.due(state, since)
             if due is not None and due < at:
@@ -39,10 +41,12 @@ class Workflow(StatefulProcessor):
             else:
                 state, since, applied = new, at, applied + 1
         self.value.update((state, since, applied, invalid, timed))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if (due := self.due(state, since)) is not None:
-            self.handle.registerTimer(due // 1000 + 1)
+        # The state says which timer stands: each call is a trip to the JVM, so none is asked for and only another one is set.
+        if (due := self.due(state, since)) != stands:
+            if stands is not None:
+                self.handle.deleteTimer(stands // 1000 + 1)
+            if due is not None:
+                self.handle.registerTimer(due // 1000 + 1)
         yield Row(record=key[0], state=state, since=since, applied=applied, invalid=invalid, timed=timed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -2,6 +2,8 @@
 
 from ledgerloom.functions import coerce
 from ledgerloom.operators import context, matching, quality, stores, suggestions, tables
+from ledgerloom.streaming.workflow import Workflow
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,49 @@ def test_dates_and_numbers_are_tried_where_they_can_be(spark):
     assert [r.t for r in got if not (r.date and r.number)] == []
     plan = rows.select(coerce.coerce_date(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan.upper()  # a form is not tried on just any text
+
+
+class Calls:
+    """A state's handle that counts what it is asked."""
+
+    def __init__(self, value=None):
+        self.now, self.timers, self.asked = value, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.now
+
+    def exists(self):
+        self.asked += 1
+        return self.now is not None
+
+    def update(self, value):
+        self.asked, self.now = self.asked + 1, value
+
+    def listTimers(self):
+        self.asked += 1
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.asked += 1
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+
+def test_workflow_state_asks_little_and_keeps_one_timer():
+    held, work = Calls(), Workflow()
+    work.init(held)
+    minute = 60_000_000
+    give = lambda at, action, role: list(work.handleInputRows((1,), iter([Row(at=at, seq=0, action=action, role=role)]), None))
+    give(0, "submit_for_review", "operator")
+    assert held.now[0] == "pending_review" and held.timers == {1440 * 60_000 + 1} and held.asked == 3
+    give(minute, "nothing", "operator")
+    assert held.timers == {1440 * 60_000 + 1} and held.asked == 5
+    give(2 * minute, "approve_review", "reviewer")
+    assert held.now[0] == "pending_approval" and held.timers == {2882 * 60_000 + 1} and held.asked == 9
