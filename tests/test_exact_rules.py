@@ -34,6 +34,20 @@ def test_sides_of_matching_are_never_broadcast(spark):
     assert all("BroadcastHashJoin [cents" not in p._jdf.queryExecution().executedPlan().toString() for p in met)
 
 
+def test_rows_meet_only_where_their_texts_say_enough(spark):
+    """One day of 400 rows a side whose amounts are apart: only texts alike enough meet, and pairs are neither shuffled nor joined in one task."""
+    text = F.element_at(F.array(*[F.lit(x) for x in ("PIX CLIENTE SILVA", "PIX FORNECEDOR ALFA", "PIX TARIFA MENSAL", "PIX ALUGUEL LOJA")]), (F.col("id") % 4 + 1).cast("int"))
+    rows = spark.range(400).select("id", text.alias("description"), F.lit("2024-01-02").cast("date").alias("date"), F.lit("x").alias("category"), F.lit("y").alias("cost_center"), F.concat(F.lit("T"), "id").alias("transaction_id"))
+    bank, entries = rows.withColumn("amount", (100 + F.col("id")).cast("decimal(18,2)")), rows.withColumn("amount", (10_000 + 3 * F.col("id")).cast("decimal(18,2)"))
+    b, e = matching.prepared_sides(bank, entries)
+    met = matching.candidate_rows(b, e, matching.MatchConfig())
+    assert met.count() == 4 * 100 * 100 and met.select("b_id", "e_id").distinct().count() == 40_000  # 160,000 share a day and a word
+    plan = matching.pair_scores(bank, entries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 4 and "hashpartitioning(b_id" not in plan and "hashpartitioning(e_id" not in plan
+    every = {(r.b_id, r.e_id) for r in matching.scored_pairs(bank, entries).select("b_id", "e_id").collect()}
+    assert {(r.b_id, r.e_id) for r in matching.pair_scores(bank, entries).select("b_id", "e_id").collect()} == every
+
+
 def test_dates_and_numbers_are_tried_where_they_can_be(spark):
     texts = ["2024-01-31", " 31/01/2024 ", "01/31/2024", "31-01-2024", "2024/01/31", "31.01.2024", "2024.01.31", "2024-02-30", "1/1/2024", "+12024-01-31", "-2024-01-31", "2024-01/31", "12.34", "31/01/2024 x", "31/01/2024\n", "٣١/٠١/٢٠٢٤", "", None, "sim"]
     texts += ["1e3", " 1.5 ", "+.5", "-5.", "NaN", "Infinity", "-inf", "inf", "1d", "2F", "0x1p3", "1_0", "R$ 5", "5%", "--1", "nao", "1 2", "\t7\n", "."]
