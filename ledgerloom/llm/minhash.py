@@ -100,12 +100,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.save(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("least"))
-        step = labels.join(near, "doc").select("doc", F.least("label", "least").alias("label"), F.col("label").alias("old"))
+        step = labels.select("doc", "label").join(near, "doc").select("doc", F.least("label", "least").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("doc").alias("label"), F.col("label").alias("further"))
         fresh = scratch.save(step.join(jump, "label", "left").select("doc", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        scratch.free(labels)
         if fresh.filter("label <> old").limit(1).count() == 0:
+            scratch.free(edges)
             return fresh.select("doc", "label")
-        labels = fresh.select("doc", "label")
+        labels = fresh
 
 
 def compare_with_leaders(members: DataFrame, company: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -114,11 +116,13 @@ def compare_with_leaders(members: DataFrame, company: DataFrame, sets: DataFrame
     heads = scratch.save(known.groupBy("key").agg(F.min(F.struct("c", "doc")).alias("l"), F.count("*").alias("n")).select("key", F.col("l.doc").alias("leader"), "n"))
     asked = scratch.save(join_counted(known, heads, "key", "n", known.count()).filter("doc <> leader").select("key", "doc", "leader"))
     pairs = scratch.save(verified(asked.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), sets))
-    return scratch.save(asked.join(pairs, (F.col("doc") == F.col("a")) & (F.col("leader") == F.col("b"))).select("key", "doc", "leader", "j"))
+    tried = scratch.save(asked.join(pairs, (F.col("doc") == F.col("a")) & (F.col("leader") == F.col("b"))).select("key", "doc", "leader", "j"))
+    scratch.free(known, heads, asked, pairs)
+    return tried
 
 
-def prefix_rows(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(key, doc, n, p): the shingles under which a document can meet one similar enough, rarest first.
+def prefix_rows(sets: DataFrame, label: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(key, doc, n, p, label): the shingles under which a document can meet one similar enough, rarest first, and its label, or itself where it has none.
 
     n is the size of the document's set and p the shingle's place in it, in one order for all
     documents, by how many have it. Of two sets of similarity t or more, the first shingle that both
@@ -131,7 +135,10 @@ def prefix_rows(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     shared = join_counted(flat, counts, "key", "df", flat.count())
     ordered = shared.groupBy("doc", "set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("x"))  # of one text each
     place = ordered.select("doc", "n", (F.col("n") - F.size("x")).alias("alone"), F.posexplode(F.transform("x", lambda y: y["key"])).alias("at", "key"))
-    return place.select("key", "doc", "n", (F.col("alone") + F.col("at") + 1).alias("p")).filter(F.col("n") - F.col("p") + 1 >= F.lit(threshold) * F.col("n") - 1e-9)
+    prefix = place.select("key", "doc", "n", (F.col("alone") + F.col("at") + 1).alias("p")).filter(F.col("n") - F.col("p") + 1 >= F.lit(threshold) * F.col("n") - 1e-9)
+    rows = scratch.save(prefix.join(label, "doc", "left").select("key", "doc", "n", "p", F.coalesce("label", "doc").alias("label")))
+    scratch.free(flat, counts)
+    return rows
 
 
 def links_between_classes(sets: DataFrame, label: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -144,11 +151,11 @@ def links_between_classes(sets: DataFrame, label: DataFrame, threshold: float, s
     out before, and then only rows of those that can do. So a bucket of n copies and few others makes few
     pairs, whatever n is, and none is lost.
     """
-    rows = prefix_rows(sets, threshold, scratch).join(label, "doc", "left").select("key", "doc", "n", "p", F.coalesce("label", "doc").alias("label"))
-    rows = scratch.save(rows)
+    rows = prefix_rows(sets, label, threshold, scratch)
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("classes"), F.sum("c").alias("rows"))
     mixed = scratch.save(parts.filter("classes > 1").select("key", F.col("most.label").alias("home"), "rows"))
     known = scratch.save(join_counted(rows, mixed, "key", "rows", rows.count()).select("key", "doc", "n", "p", "label", (F.col("label") == F.col("home")).alias("at_home")))
+    scratch.free(rows, mixed)
     asking = known.filter(~F.col("at_home")).select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("label").alias("la"))
     cells = known.groupBy("key", "n", "p").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("n")) - 1e-9
@@ -156,7 +163,10 @@ def links_between_classes(sets: DataFrame, label: DataFrame, threshold: float, s
     able = scratch.save(asking.join(cells, "key").filter(fits & ((F.col("low") != F.col("la")) | (F.col("high") != F.col("la")))).select("key", "a", "la", "n", "p"))
     met = able.join(known, ["key", "n", "p"]).filter((F.col("label") != F.col("la")) & (F.col("at_home") | (F.col("a") < F.col("doc"))))
     pairs = scratch.save(met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct())
-    return scratch.save(verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b"))
+    scratch.free(known, able)
+    links = scratch.save(verified(pairs, sets).filter(F.col("j") >= threshold).select("a", "b"))
+    scratch.free(pairs)
+    return links
 
 
 def near_classes(docs: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -165,22 +175,30 @@ def near_classes(docs: DataFrame, texts: DataFrame, threshold: float, scratch: S
     A band bucket's members are compared with one leader, the member with the most company in all its
     buckets: a group of n copies costs n comparisons, not n squared. Where all of a bucket pass, they are
     connected. The members of buckets in which some fail (texts that share a passage fill large ones) are
-    searched once more, by exact prefixes, for all links between classes that are still apart.
+    searched once more, by exact prefixes, for all links between classes that are still apart. `texts`, a table of
+    scratch, and the tables made on the way are deleted as soon as nothing reads them.
     """
     buckets = texts.select("doc", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = scratch.save(join_counted(buckets, scratch.save(sizes), "key", "n", texts.count() * BANDS))
+    sizes = scratch.save(sizes)
+    members = scratch.save(join_counted(buckets, sizes, "key", "n", texts.count() * BANDS))
     company = scratch.save(members.groupBy("doc").agg(F.sum("n").alias("c")))
     ids = scratch.save(company.select("doc").join(texts.select("doc", "th"), "doc"))
+    scratch.free(sizes, texts)
     found = docs.select(F.col("doc_id").alias("doc"), F.md5("text").alias("th"), "text").join(small(ids), ["doc", "th"], "left_semi")
     sets = scratch.save(found.select("doc", "th", shingle_set("text").alias("sh")).dropDuplicates(["doc", "th"]).select("doc", "sh"))
+    scratch.free(ids)
     tried = compare_with_leaders(members.select("key", "doc"), company, sets, scratch)
+    scratch.free(company)
     label = components(tried.filter(F.col("j") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), scratch)
     failed = tried.filter(F.col("j") < threshold).select("key").distinct()
     unsure = scratch.save(members.join(failed, "key", "left_semi").select("doc").distinct())
+    scratch.free(members, tried)
     if unsure.limit(1).count() == 0:
         return label
-    late = links_between_classes(scratch.save(sets.join(unsure, "doc", "left_semi")), label, threshold, scratch)
+    asked = scratch.save(sets.join(unsure, "doc", "left_semi"))
+    scratch.free(sets, unsure)
+    late = links_between_classes(asked, label, threshold, scratch)
     if late.limit(1).count() == 0:
         return label
     side = lambda end: label.select(F.col("doc").alias(end), F.col("label").alias(f"label_{end}"))
@@ -208,14 +226,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(docs.select("doc_id", F.md5("text").alias("th"), bands_of("text").alias("bands")))
-    wordy = rows.filter("doc_id is not null and size(bands) > 0")
+    wordy = rows.filter("doc_id is not null and size(bands) > 0")  # bands, the most of what is written here, go once texts have them
     texts = scratch.save(wordy.groupBy("th").agg(F.min(F.struct("doc_id", "bands")).alias("x"), F.count("*").alias("rows")).select("th", F.col("x.doc_id").alias("doc"), F.col("x.bands").alias("bands"), "rows"))
+    narrow = scratch.save(rows.select("doc_id", "th", (F.col("doc_id").isNotNull() & (F.size("bands") > 0)).alias("wordy")))
+    scratch.free(rows)
+    nodes = scratch.save(texts.select("th", "doc", "rows"))
     label = near_classes(docs, texts, threshold, scratch)
-    classes = scratch.save(texts.select("th", "doc", "rows").join(label, "doc", "left").select("th", F.coalesce("label", "doc").alias("class_id"), "rows"))
+    classes = scratch.save(nodes.join(label, "doc", "left").select("th", F.coalesce("label", "doc").alias("class_id"), "rows"))
     sizes = scratch.save(classes.groupBy("class_id").agg(F.sum("rows").alias("class_size")))
-    sized = scratch.save(join_counted(classes, sizes, "class_id", "class_size", rows.count()))
-    known = join_counted(wordy.select("doc_id", "th"), sized, "th", "rows", rows.count())
-    alone = rows.filter("doc_id is null or size(bands) = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "th")
+    total = narrow.count()
+    sized = scratch.save(join_counted(classes, sizes, "class_id", "class_size", total))
+    known = join_counted(narrow.filter("wordy").select("doc_id", "th"), sized, "th", "rows", total)
+    alone = narrow.filter("not wordy").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "th")
     out = known.select("doc_id", "class_id", "class_size", "th").union(alone)
     out = durable(out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("th").alias("text_md5")))
     scratch.clear()

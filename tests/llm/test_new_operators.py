@@ -215,3 +215,25 @@ def test_estimates_are_unbiased_and_bounded():
     far = rng.permutation(4000)
     low = ((dx[:, 0] * dy[far, 1]).sum(1) + (dx[:, 1] * dy[far, 0]).sum(1)) / 2
     assert (low >= 0.98 - vectors.SURE * np.sqrt(ax + ay[far] + bx * by[far])).mean() < 0.01  # the codes exclude nearly all others
+
+
+def test_saved_tables_leave_no_shuffle_files_and_can_be_freed(spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm.common import SHUFFLE_CLEANUP, Scratch
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    scratch, before, setting = Scratch(spark), shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    first = scratch.save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    second = scratch.save(first.groupBy("count").agg(F.sum("k").alias("k")))
+    assert not shuffles() - before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    scratch.free(first)
+    folder = Path(scratch.path.removeprefix("file:"))
+    assert [p.name for p in folder.iterdir() if p.is_dir()] == ["2"] and second.count() == 2
+    scratch.clear()
+    assert not folder.exists()
