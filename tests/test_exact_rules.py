@@ -103,3 +103,18 @@ def test_workflow_state_asks_little_and_keeps_one_timer():
     assert held.timers == {1440 * 60_000 + 1} and held.asked == 5
     give(2 * minute, "approve_review", "reviewer")
     assert held.now[0] == "pending_approval" and held.timers == {2882 * 60_000 + 1} and held.asked == 9
+
+
+def test_blocks_are_ranked_before_they_meet(spark, monkeypatch):
+    """M21's and W2's plans hold no block's join, and what is taken makes room for the next best, however many pairs of a bank row are."""
+    rows = spark.range(120).select("id", F.lit("PIX CLIENTE SILVA").alias("description"), F.date_add(F.lit("2024-01-02").cast("date"), (F.col("id") % 3).cast("int")).alias("date"), F.lit("x").alias("category"), F.lit("y").alias("cost_center"), F.concat(F.lit("T"), "id").alias("transaction_id"))
+    rows = rows.withColumn("amount", (100 + F.col("id") % 40).cast("decimal(18,2)"))
+    taken = spark.range(240).select((F.col("id") % 60).alias("b_id"), (F.col("id") % 60 + F.floor(F.col("id") / 60) * 3).alias("e_id"))
+    pairs = matching.pair_scores(rows.limit(80), rows).select("b_id", "e_id", "score").localCheckpoint()
+    listed = lambda df: sorted(tuple(r) for r in df.select("b_id", "e_id", "rank", "score").collect())
+    want = listed(matching.ranked(pairs.join(taken, ["b_id", "e_id"], "left_anti"), 5))
+    for most in (20, 3):
+        monkeypatch.setattr(matching, "TAKEN", most)
+        found = matching.best_pairs(rows.limit(80), rows, 5, taken=taken)
+        assert listed(found) == want and want
+        assert "REPARTITION_BY_NUM" not in found._jdf.queryExecution().executedPlan().toString()
