@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import ENTITIES, entity_list, entity_similarity, text_similarity
 from ledgerloom.operators import anomaly
-from ledgerloom.operators.context import MODES, contextual
+from ledgerloom.operators.context import MODES, amount_class, contextual, date_class
 from ledgerloom.operators.decisions import score_explanations
 from ledgerloom.operators.matching import MatchConfig, prepared, quality_scores, ranked, recommendation, text_tokens, valid, with_base_scores
-from ledgerloom.operators.tables import hinted, shuffled, written
+from ledgerloom.operators.tables import few, hinted, shuffled, written
 
 #: Days of a date bucket of valid pairs.
 SPAN = 31
+#: Bank rows that are alike in these have the same suggestions.
+GROUP = ["b_description", "b_cents", "b_date"]
+#: Parts into which the groups that ask for one key are dealt.
+SALTS = 8
 
 
 def lowest_base(cfg: MatchConfig, mode: str) -> float:
@@ -114,15 +118,15 @@ def predict_missing(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return found.withColumns({"amount_pattern": F.when(told, F.coalesce("usual", F.lit("unknown"))).otherwise("unknown"), "confidence": F.when(told, F.round(trust, 6)).otherwise(0.0)}).drop("_suppliers", "_methods", "_taxes", "kinds", "usual")
 
 
-def numbered(entries: DataFrame) -> DataFrame:
-    """Ledger rows with their `place` by id among those of the same description, from 1: places in ranges of ids, and the ranges before, so
+def numbered(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Ledger rows with their `place` by id among those of the same keys, from 1: places in ranges of ids, and the ranges before, so
     that no task orders all rows of a frequent text."""
     rows = entries.withColumn("_range", F.floor(F.col("e_id") / 65_536))
-    sums = rows.groupBy("e_description", "_range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("e_description").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("e_description", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("e_description", "_range").orderBy("e_id"))
-    return rows.withColumn("_inside", inside).join(offsets, ["e_description", "_range"]).withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+    sums = rows.groupBy(*keys, "_range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("e_id"))
+    return rows.withColumn("_inside", inside).join(offsets, [*keys, "_range"]).withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
 
 
 def alike_texts(b: DataFrame, e: DataFrame, least: float) -> DataFrame:
@@ -149,31 +153,105 @@ def alike_texts(b: DataFrame, e: DataFrame, least: float) -> DataFrame:
     return met.withColumn("text_similarity", alike).filter(F.col("text_similarity") > least).select(*ids, "b_norm", "e_norm", "text_similarity")
 
 
-def contextual_suggestions(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour: int, mode: str = "balanced") -> DataFrame:
+def class_scores(texts: DataFrame, patterns: DataFrame, hour: int, mode: str) -> DataFrame:
+    """M22's score, patterns_used and explanation of pairs of texts by amount and date class (`amounts`, `dates`), where they pass the mode's threshold."""
+    amount = lambda x: F.lit(x).cast("decimal(28,6)")
+    pairs = texts.withColumns({"b_amount": amount(100), "b_date": F.lit("2024-01-01").cast("date"), "e_amount": F.explode(F.array(amount(100), amount(101), amount(200)))})
+    pairs = pairs.withColumn("e_date", F.explode(F.array(*[F.date_add("b_date", n) for n in (0, 2, 5, 30)])))
+    good = contextual(pairs, patterns, F.col("text_similarity"), hour, mode).filter(F.col("contextual") > MODES[mode]["threshold"])
+    classes = {"amounts": amount_class(F.col("b_amount"), F.col("e_amount")), "dates": date_class(F.col("b_date"), F.col("e_date"))}
+    return good.withColumns(classes).select("b_description", "e_description", *classes, F.round("contextual", 6).alias("score"), "patterns_used", "explanation")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best entries of each group of bank rows, ties by entry id, with their rank."""
+    w = Window.partitionBy(*GROUP).orderBy(F.col("score").desc(), "e_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def beating(best: DataFrame, k: int) -> tuple[DataFrame, Column]:
+    """The last of the k best of each group that has so many, and whether an entry of `score` whose id is over `seen` can still come before it."""
+    last = shuffled(best.filter(F.col("rank") == k).select(*GROUP, F.col("score").alias("last_score"), F.col("e_id").alias("last_id")))
+    return last, F.col("last_score").isNull() | (F.col("score") > F.col("last_score")) | ((F.col("score") == F.col("last_score")) & (F.col("seen") < F.col("last_id")))
+
+
+def class_keys(kind: str, amount: Column, around: bool) -> Column:
+    """The keys, as texts, under which entries of an amount class meet: equal amounts, amounts in buckets wider than 5 % (`around`: and the next ones), or any."""
+    if kind == "variable":
+        return F.array(F.lit("any"))
+    if kind == "exact":
+        return F.array(amount.cast("string"))
+    k = F.floor(F.log(amount.cast("double")) / F.log(F.lit(1.06)))
+    return F.transform(F.sequence(k - 1, k + 1) if around else F.array(k), lambda x: x.cast("string"))
+
+
+def dealt(asks: DataFrame, looked: DataFrame, on: list[str], tasks: int) -> DataFrame:
+    """asks joined with the entries that are looked at: these go to all tasks if they are few, else to SALTS parts of a key, so that no task has all groups of a frequent one."""
+    if few(looked):
+        return asks.repartition(tasks).join(F.broadcast(looked), on)
+    parts = looked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asks.withColumn("_part", F.pmod(F.hash(*GROUP), F.lit(SALTS))).repartition(tasks, *on, "_part").join(shuffled(parts), [*on, "_part"]).drop("_part")
+
+
+def contextual_suggestions(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour: int, mode: str = "balanced", places: int = 40) -> DataFrame:
     """Per bank row the best entries by text similarity and learned bonuses, whatever their amounts and dates, where the sum passes the mode's threshold.
 
-    Bonuses alone never pass it, so only entries of an alike text count, and amounts and dates only say which class of bonus there is. Entries of
-    amounts less than 5 % apart, or within a week, are met by buckets. All others of a text have one class for a row, so of these
-    only the first by id can be among the best: as many places are asked for as are suggested, and as many more as the row has met entries
-    of the text already. So rows of one frequent text don't all meet.
+    Bonuses alone never pass it, so only entries of an alike text count, and amounts and dates only say which class of bonus there is. So a score
+    belongs to two texts and two classes (class_scores), bank rows of equal text, amount and date are one group, and of equal entries only the first by id count.
+    Entries are looked up by id, never all at once: first each group sees the first `places` of its texts. A class goes on only where an entry after
+    those could come before the group's last best one, and meets its entries under keys of its own: equal amounts or a bucket of close ones, and a
+    day or all days. Of each key as many as before are looked at, then eight times as many, while there are more and they can still count.
+    So nothing is cut, and what is looked at hangs on how soon the best classes are filled, not on how many rows share a text.
     """
     w = MODES[mode]
+    k, places = w["most"], max(places, w["most"])
     most = 0.3 * w["description"] + 0.2 * w["supplier"] + 0.2 * w["amount"] + 0.2 * w["date"] + 0.1 * w["time"]
     if most >= w["threshold"]:
         raise ValueError("bonuses alone pass the threshold")
-    b, e = shuffled(written(prepared(bank, "b", []))), shuffled(written(prepared(entries, "e", [])))
-    texts = hinted(written(alike_texts(b, e, w["threshold"] - most - 1e-9)))
-    asking = b.select("b_id", "b_amount", "b_date", "b_description").join(texts.select("b_description", "e_description"), "b_description")
-    places = shuffled(written(numbered(e.select("e_id", "e_amount", "e_date", "e_description"))))
-    step, week = F.log(F.lit(1.06)), lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / 7)
-    bucket = lambda c: F.floor(F.log(F.abs(F.col(c)).cast("double")) / step)
-    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    by_amount = asking.withColumn("k", bucket("b_amount")).join(places.withColumn("k", around(bucket("e_amount"))), ["e_description", "k"]).filter(F.abs(F.abs("b_amount") - F.abs("e_amount")).cast("double") < 0.051 * F.greatest(F.abs("b_amount"), F.abs("e_amount")).cast("double"))
-    by_date = asking.withColumn("d", week("b_date")).join(places.withColumn("d", around(week("e_date"))), ["e_description", "d"]).filter(F.abs(F.datediff("b_date", "e_date")) <= 7)
-    near = written(by_amount.select("b_id", "b_description", "e_description", "e_id").union(by_date.select("b_id", "b_description", "e_description", "e_id")).distinct())
-    had = near.groupBy("b_id", "e_description").agg(F.count("*").alias("had"))
-    more = asking.select("b_id", "b_description", "e_description").join(had, ["b_id", "e_description"], "left")
-    more = more.withColumn("place", F.explode(F.sequence(F.lit(1), F.coalesce("had", F.lit(0)) + w["most"]))).join(places, ["e_description", "place"]).select("b_id", "b_description", "e_description", "e_id")
-    pairs = near.union(more).distinct().join(texts, ["b_description", "e_description"]).join(b.select("b_id", "b_amount", "b_date"), "b_id").join(e.select("e_id", "e_amount", "e_date"), "e_id")
-    good = contextual(pairs, patterns, F.col("text_similarity"), hour, mode).filter(F.col("contextual") > w["threshold"]).withColumn("score", F.round("contextual", 6))
-    return ranked(good, w["most"]).select("b_id", "e_id", "rank", "score", "patterns_used", "explanation")
+    tasks = int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cents = lambda s: F.abs(F.col(f"{s}_amount").cast("decimal(28,6)")).alias(f"{s}_cents")
+    b, e = written(prepared(bank, "b", [])), written(prepared(entries, "e", []))
+    scores = hinted(written(class_scores(alike_texts(b, e, w["threshold"] - most - 1e-9), written(patterns), hour, mode)))
+    members = b.join(scores, "b_description", "left_semi").select("b_id", "b_description", cents("b"), F.to_date("b_date").alias("b_date"))
+    # Few bytes make many pairs: by their size Spark would join these partitions to one or two.
+    groups = written(members.select(*GROUP).distinct()).repartition(tasks, *GROUP)
+    rows = e.join(scores, "e_description", "left_semi").select("e_id", "e_description", cents("e"), F.to_date("e_date").alias("e_date"))
+    equal = Window.partitionBy("e_description", "e_cents", "e_date").orderBy("e_id")
+    rows = written(rows.withColumn("_nth", F.row_number().over(equal)).filter(F.col("_nth") <= k).drop("_nth"))
+    firsts = rows.withColumn("place", F.row_number().over(Window.partitionBy("e_description").orderBy("e_id"))).filter(F.col("place") <= places)
+    firsts = hinted(written(firsts))
+    found = [*GROUP, "e_description", "amounts", "dates", "score", "e_id"]
+    classes = {"amounts": amount_class(F.col("b_cents"), F.col("e_cents")), "dates": date_class(F.col("b_date"), F.col("e_date"))}
+    pairs = groups.join(hinted(written(scores.select("b_description", "e_description").distinct())), "b_description").join(firsts, "e_description")
+    best = written(best_of(pairs.withColumns(classes).join(scores, ["b_description", "e_description", "amounts", "dates"]).select(*found), k))
+
+    last, can = beating(best, k)
+    # Of texts with more entries than were seen: where all are within a week, or of close amounts, there are none of other days or amounts to look for.
+    ends = rows.groupBy("e_description").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("e_cents", "e_date") for n, f in (("low", F.min), ("high", F.max))])
+    seen = firsts.filter(F.col("place") == places).select("e_description", F.col("e_id").alias("seen")).join(ends.filter(F.col("n") > places), "e_description")
+    left = groups.join(last, GROUP, "left").join(hinted(written(scores.join(seen, "e_description"))), "b_description").filter(can)
+    far = lambda of, b_col, e_col, name: (of(F.col(b_col), F.col(f"low_{e_col}")) == name) | (of(F.col(b_col), F.col(f"high_{e_col}")) == name)
+    left = left.filter(((F.col("amounts") != "variable") | far(amount_class, "b_cents", "e_cents", "variable")) & ((F.col("dates") != "extended") | far(date_class, "b_date", "e_date", "extended")))
+    left = written(left.select(*GROUP, "e_description", "amounts", "dates", "score", "seen"))
+    kinds = [] if left.isEmpty() else ["exact", "close", "variable"]
+    on = ["e_description", "amount_key", "day_key"]
+    days = F.when(F.col("dates") == "same_day", F.array(F.lit(0))).when(F.col("dates") == "few_days", F.array(*[F.lit(n) for n in (-3, -2, -1, 1, 2, 3)]))
+    days = days.when(F.col("dates") == "week", F.array(*[F.lit(n) for n in (-7, -6, -5, -4, 4, 5, 6, 7)])).otherwise(F.array(F.lit(None).cast("int")))
+    for kind in kinds:
+        last, can = beating(best, k)
+        asks = left.filter(F.col("amounts") == kind).join(last, GROUP, "left").filter(can).drop("last_score", "last_id")
+        asks = asks.withColumn("amount_key", F.explode(class_keys(kind, F.col("b_cents"), True))).withColumn("day_key", F.explode(days))
+        asks = written(asks.withColumn("day_key", F.coalesce(F.date_add("b_date", F.col("day_key")).cast("string"), F.lit("any"))))
+        keyed = rows.withColumn("amount_key", F.explode(class_keys(kind, F.col("e_cents"), False))).withColumn("day_key", F.explode(F.array(F.col("e_date").cast("string"), F.lit("any"))))
+        index = written(numbered(keyed.join(shuffled(asks.select(*on).distinct()), on, "left_semi"), on)) if not asks.isEmpty() else None
+        after, upto = 0, places
+        while not asks.isEmpty():
+            met = dealt(asks, index.filter((F.col("place") > after) & (F.col("place") <= upto)), on, tasks)
+            hits = met.filter((F.col("e_id") > F.col("seen")) & (F.col("amounts") == classes["amounts"]) & (F.col("dates") == classes["dates"])).select(*found)
+            best = written(best_of(best.select(*found).union(hits), k))
+            last, can = beating(best, k)
+            more = asks.join(shuffled(index.filter(F.col("place") == upto).select(*on, F.col("e_id").alias("_at"))), on).withColumn("seen", F.greatest("seen", "_at")).drop("_at")
+            asks, after, upto = written(more.join(last, GROUP, "left").filter(can).drop("last_score", "last_id")), upto, 8 * upto
+    chosen = ranked(members.join(shuffled(best.select(*found)), GROUP), k)
+    told = scores.select("b_description", "e_description", "amounts", "dates", "patterns_used", "explanation")
+    return chosen.join(told, ["b_description", "e_description", "amounts", "dates"]).select("b_id", "e_id", "rank", "score", "patterns_used", "explanation")

@@ -285,6 +285,57 @@ def test_equal_texts_are_suggested_whatever_amount_and_date(spark):
     assert [(r.b_id, r.e_id, r.score, r.explanation) for r in got] == [(1, 7, 0.95, "No significant contextual patterns found")]
 
 
+def suggestion_sides(spark, n, m, amounts, days):
+    """Rows of a few alike texts on both sides, their amounts drawn from the given ones; days grow with ids, so that the first entries of a text are of no use to many rows."""
+    rng = random.Random(5)
+    schema = "id long, date date, a string, description string"
+    texts = [["PAGAMENTO BOLETO ENERGIA LTDA", "FRETE TRANSPORTADORA SUL ME"], ["ENERGIA LTDA BOLETO", "BOLETO PAGAMENTO ENERGIA", "TRANSPORTADORA SUL ME"]]
+    side = lambda count, said: spark.createDataFrame([(i, dt.date(2024, 1, 1) + dt.timedelta(days[i * len(days) // count]), rng.choice(amounts), rng.choice(said)) for i in range(count)], schema).withColumn("amount", F.col("a").cast("decimal(18,2)")).cache()
+    return side(n, texts[0]), side(m, texts[1])
+
+
+SUGGESTION_PATTERNS = {
+    # The usual history: close pairs are the most frequent, so that their classes score best; and its reverse.
+    "near": [("amount", "exact", 0.19), ("amount", "close", 0.06), ("amount", "variable", 0.02), ("date", "same_day", 0.15), ("date", "few_days", 0.08), ("date", "week", 0.03)],
+    "far": [("amount", "variable", 0.19), ("amount", "close", 0.06), ("date", "week", 0.15), ("date", "extended", 0.08)],
+    "tied": [("amount", "exact", 0.4), ("amount", "variable", 0.3), ("date", "few_days", 0.5), ("date", "extended", 0.2)],
+}
+
+
+@pytest.mark.parametrize(("known", "mode"), [("near", "learning"), ("near", "balanced"), ("far", "learning"), ("tied", "aggressive")])
+def test_suggestions_of_any_class_order_against_all_pairs(spark, monkeypatch, known, mode):
+    bank, entries = suggestion_sides(spark, 90, 900, ["1.90", "-2.00", "2.85", "3.00", "2.86", "9.50", "10.00", "-10.00", "10.20", "80.00", "84.00", "84.21"], [0, 0, 0, 1, 2, 3, 4, 7, 8, 9, 20, 21, 40])
+    patterns = spark.createDataFrame([(t, p, 9, f, "medium") for t, p, f in SUGGESTION_PATTERNS[known]], stores.PATTERNS).cache()
+    rounds, deal = [], suggestions.dealt
+    monkeypatch.setattr(suggestions, "dealt", lambda *a: rounds.append(1) or deal(*a))
+    monkeypatch.setattr(suggestions, "few", lambda df: mode == "balanced")
+    got = sorted((r.b_id, r.rank, r.e_id, r.score, r.patterns_used, r.explanation) for r in suggestions.contextual_suggestions(bank, entries, patterns, 9, mode, places=20).collect())
+    every = matching.prepared(bank, "b", []).crossJoin(matching.prepared(entries, "e", []))
+    ents = [{k: F.col(f"{s}_ents.{k}") for k in text.ENTITIES} for s in "be"]
+    alike = text.text_similarity(F.col("b_norm"), F.col("e_norm"), F.col("b_words"), F.col("e_words"), text.entity_similarity(*ents))
+    good = context.contextual(every, patterns, alike, 9, mode).filter(F.col("contextual") > context.MODES[mode]["threshold"]).withColumn("score", F.round("contextual", 6))
+    want = sorted((r.b_id, r.rank, r.e_id, r.score, r.patterns_used, r.explanation) for r in matching.ranked(good, context.MODES[mode]["most"]).collect())
+    assert got == want and got
+    # Where days far apart score best, the first places of a key don't do.
+    assert len(rounds) >= (5 if known == "far" else 1)
+
+
+def test_suggestions_do_not_make_all_pairs_of_a_text(spark, monkeypatch):
+    bank, entries = suggestion_sides(spark, 600, 600, [f"{100 + i / 100:.2f}" for i in range(500)], range(6))
+    patterns = spark.createDataFrame([(t, p, 9, f, "medium") for t, p, f in SUGGESTION_PATTERNS["far"]], stores.PATTERNS).cache()
+    sizes, write = [], suggestions.written
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(suggestions, "written", counted)
+    assert suggestions.contextual_suggestions(bank, entries, patterns, 9).count() == 6000
+    # All rows are near each other in amount and date: 150,000 pairs of alike texts or more.
+    assert max(sizes) <= 60_000
+
+
 def test_entity_pairs_and_users(spark):
     pairs = spark.createDataFrame([(1, "x||y", "pagamento boleto alfa ltda", "boleto loja ltda", 5), (2, "", "sem", "nada", 6), (3, "", "pix", "pix", None)], "id long, n string, b_description string, e_description string, by long")
     pairs = pairs.withColumns({"b_norm": F.lit("x"), "e_norm": F.lit("y"), "b_amount": F.lit(1).cast("decimal(18,2)"), "e_amount": F.lit(2).cast("decimal(18,2)"), "b_date": F.lit("2024-01-01").cast("date"), "e_date": F.lit("2024-03-01").cast("date")})
