@@ -39,14 +39,15 @@ def with_labels(rows: DataFrame, marks: DataFrame, few: bool, salts: int = 16) -
     """rows with `good` and `toxic` of their id.
 
     Few marks are broadcast. Else each marked id is dealt to `salts` tasks and each row asks one of them, so
-    an id that a third of all rows share is met in parts; rows without id meet nothing and are spread.
+    an id that a third of all rows share is met in parts; rows without id meet nothing and are spread. That join is
+    hinted to be sorted: by the size of their file, before they are dealt, Spark would broadcast millions of marks through the driver.
     """
     if few:
         joined = rows.join(F.broadcast(marks), F.col("id") == F.col("label_id"), "left")
     else:
         dealt = marks.withColumn("label_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         spread = F.when(F.col("id").isNull(), F.floor(F.rand(13) * (1 << 20)) + salts).otherwise(F.floor(F.rand(11) * salts)).cast("int")
-        joined = rows.withColumn("salt", spread).join(dealt, (F.col("id") == F.col("label_id")) & (F.col("salt") == F.col("label_salt")), "left")
+        joined = rows.withColumn("salt", spread).join(dealt.hint("merge"), (F.col("id") == F.col("label_id")) & (F.col("salt") == F.col("label_salt")), "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("good", "toxic")})
 
 
