@@ -3,6 +3,7 @@
 import pytest
 from ledgerloom.operators import matching
 from ledgerloom.plans import adapters
+from ledgerloom.streaming import jobs
 from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
@@ -58,3 +59,19 @@ def test_scores_are_not_made_in_conditions_of_joins(spark):
     plan = matching.pair_scores(bank, entries).select("b_id", "e_id", "score")._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert len(joins) >= 4 and not any("text_similarity" in line or "b_quality" in line for line in joins)
+
+
+def test_batches_tell_their_schema(spark, tmp_path):
+    """T1's work is not done once more on no rows, unless there was no batch."""
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    given = []
+
+    def work(batch):
+        given.append(batch.count())
+        return batch.withColumn("twice", 2 * F.col("id"))
+
+    read = lambda name: spark.readStream.schema("id long").parquet(str(tmp_path / name))
+    assert sorted(r.twice for r in jobs.run_batches(read("in"), str(tmp_path / "a"), work).collect()) == [0, 2, 4, 6, 8] and given == [5]
+    (tmp_path / "none").mkdir()
+    nothing = jobs.run_batches(read("none"), str(tmp_path / "b"), work)
+    assert nothing.columns == ["id", "twice", "batch"] and nothing.count() == 0
