@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,9 @@ from ledgerloom.functions.text import ENTITIES, entity_list, entity_similarity,
 from ledgerloom.operators import anomaly
 from ledgerloom.operators.context import MODES, amount_class, contextual, date_class
 from ledgerloom.operators.decisions import score_explanations
-from ledgerloom.operators.matching import MatchConfig, prepared, quality_scores, ranked, recommendation, text_tokens, valid, with_base_scores
+from ledgerloom.functions.similar import reference_bonus
+from ledgerloom.operators import matching
+from ledgerloom.operators.matching import MatchConfig, base_score, completeness, finer_amounts, one_a_text, prepared, quality_scores, ranked, recommendation, row_scores, text_tokens, valid, with_base_scores
 from ledgerloom.operators.tables import few, hinted, shuffled, written
 
 #: Days of a date bucket of valid pairs.
@@ -70,27 +73,109 @@ def valid_candidates(b: DataFrame, e: DataFrame, cfg: MatchConfig, mode: str) ->
     return reduce(DataFrame.union, [p.select("b_id", "e_id") for p in parts]).distinct()
 
 
-def learned_pairs(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour: int, mode: str = "balanced", cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """M11 in full: valid pairs that reach the threshold, with M1 (M4 and near references included), C9 over it, M7 to M10 and the final `score` (M12's parts are its columns)."""
-    b = shuffled(written(tokens(prepared(bank, "b", ["category", "transaction_id", "transaction_type"]), "b", patterns)))
-    e = shuffled(written(tokens(prepared(entries, "e", ["category", "cost_center", "transaction_type"]), "e", patterns)))
-    pairs = written(valid_candidates(b, e, cfg, mode)).join(b.drop("b_tokens"), "b_id").join(e.drop("e_tokens"), "e_id")
-    pairs = with_base_scores(pairs, b, e, cfg).withColumns(quality_scores())
+def learned_sides(bank: DataFrame, entries: DataFrame, patterns: DataFrame) -> list[DataFrame]:
+    """Both prepared sides with tokens and completeness, written."""
+    b = prepared(bank, "b", ["category", "transaction_id", "transaction_type"]).withColumn("b_quality", completeness("b"))
+    e = prepared(entries, "e", ["category", "cost_center", "transaction_type"]).withColumn("e_quality", completeness("e"))
+    return [shuffled(written(tokens(b, "b", patterns))), shuffled(written(tokens(e, "e", patterns)))]
+
+
+def learned_final(pairs: DataFrame, cfg: MatchConfig, cap: float) -> DataFrame:
+    """M11 with history over a pair's parts: C9's `contextual` of its base and total_bonus, and the final `score` where it reaches the threshold. A list of one keeps
+    that filter above the making of the score, as in final_scores."""
     base = F.least(F.lit(1.0), F.col("amount_score") + F.col("date_score") + cfg.text * F.col("text_similarity") + 0.1 * F.col("entity_bonus") + F.col("reference_bonus"))
-    pairs = contextual(pairs.withColumn("base", base), patterns, F.col("base"), hour, mode)
     trust = 0.3 * F.col("data_quality") + 0.25 * F.col("pattern_consistency") + 0.25 * F.col("outlier") + 0.2 * F.col("temporal")
-    final = F.least(F.lit(1.0), 0.7 * F.col("contextual") + 0.3 * trust)
-    return pairs.withColumn("score", F.round(final, 6)).filter(F.col("score") >= cfg.threshold)
+    pairs = pairs.withColumn("contextual", F.least(base + F.col("total_bonus"), F.lit(cap)))
+    pairs = pairs.withColumn("_final", F.least(F.lit(1.0), 0.7 * F.col("contextual") + 0.3 * trust)).withColumn("_final", F.explode(F.array("_final"))).filter(F.col("_final") >= cfg.threshold - 1e-6)
+    return pairs.withColumn("score", F.explode(F.array(F.round("_final", 6)))).filter(F.col("score") >= cfg.threshold).drop("_final")
+
+
+def learned_scores(met: DataFrame, b: DataFrame, e: DataFrame, patterns: DataFrame, hour: int, mode: str, cfg: MatchConfig) -> DataFrame:
+    """Pairs (b_id, e_id) that reach the threshold, with M1 (M4 and near references included), C9 over it, M7 to M10 and the final `score`."""
+    pairs = met.join(b.drop("b_tokens"), "b_id").join(e.drop("e_tokens"), "e_id")
+    pairs = with_base_scores(pairs, b, e, cfg).withColumns(quality_scores())
+    base = F.least(F.lit(1.0), F.col("amount_score") + F.col("date_score") + cfg.text * F.col("text_similarity") + 0.1 * F.col("entity_bonus") + F.col("reference_bonus"))
+    return learned_final(contextual(pairs.withColumn("base", base), patterns, F.col("base"), hour, mode), cfg, MODES[mode]["cap"])
+
+
+def learned_pairs(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour: int, mode: str = "balanced", cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """M11 in full: valid pairs that reach the threshold, with M1 (M4 and near references included), C9 over it, M7 to M10 and the final `score` (M12's parts are its columns)."""
+    b, e = learned_sides(bank, entries, patterns)
+    return learned_scores(written(valid_candidates(b, e, cfg, mode)), b, e, patterns, hour, mode, cfg)
+
+
+def text_cells(b: DataFrame, e: DataFrame, patterns: DataFrame, hour: int, mode: str, cfg: MatchConfig) -> DataFrame:
+    """Of all pairs of different texts (b_text, e_text) M1's parts and, by amount and date class (`amounts`, `dates`), what history adds: both hang on nothing else."""
+    amount = lambda x: F.lit(x).cast("decimal(28,6)")
+    said = {k: v for k, v in base_score(cfg).items() if k in ("text_similarity", "entity_bonus")}
+    pairs = one_a_text(b, "b").crossJoin(F.broadcast(one_a_text(e, "e"))).withColumns(said)
+    pairs = pairs.withColumns({"b_amount": amount(100), "b_date": F.lit("2024-01-01").cast("date"), "e_amount": F.explode(F.array(amount(100), amount(101)))})
+    pairs = pairs.withColumn("e_date", F.explode(F.array(*[F.date_add("b_date", n) for n in (0, 2, 5, 30)])))
+    classes = {"amounts": amount_class(F.col("b_amount"), F.col("e_amount")), "dates": date_class(F.col("b_date"), F.col("e_date"))}
+    told = contextual(pairs, patterns, F.lit(0.0), hour, mode).withColumns(classes)
+    return written(told.select("b_text", "e_text", *said, F.col("e_description").alias("_entry"), *classes, "total_bonus", "pattern_consistency"))
+
+
+#: Rounds of best_learned: an amount class and date classes, those that can score most first.
+ROUNDS = [("exact", ["same_day", "few_days"]), ("close", ["same_day", "few_days"]), ("exact", ["week"]), ("exact", ["extended"]), ("close", ["week"]), ("close", ["extended"])]
+
+
+def best_learned(b: DataFrame, e: DataFrame, patterns: DataFrame, hour: int, mode: str, cfg: MatchConfig) -> DataFrame:
+    """(b_id, e_id) of the best valid pairs of each bank row by the full score, as best_pairs finds them: class by class, and a bank row goes on
+    to a class only where a pair there can score as much as the last of its best. For few different texts and amounts of cents."""
+    tasks, cap = int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), MODES[mode]["cap"]
+    equal = Window.partitionBy("e_text", "e_amount", "e_date", "e_quality").orderBy("e_id")
+    firsts = e.select("e_id", "e_date", "e_amount", "e_text", "e_quality").withColumn("_nth", F.row_number().over(equal)).filter(F.col("_nth") <= cfg.top).drop("_nth")
+    firsts, cells = shuffled(written(firsts)), text_cells(b, e, patterns, hour, mode, cfg)
+    larger = -math.log(1 - math.ceil(100 * cfg.tolerance - 1e-9) / 100)  # J2's tolerance is of the larger amount
+    step = max(2 * larger, 1e-3)
+    bucket = lambda c, by=0.0: F.floor(F.log(F.abs(F.col(c)).cast("double")) / step + by / step)
+    span = lambda c, by=0: F.floor((F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) + by) / SPAN)
+    listed = lambda *days: F.array(*[F.lit(n) for n in days])
+    off = F.when(F.col("dates") == "same_day", listed(0)).when(F.col("dates") == "few_days", listed(-3, -2, -1, 1, 2, 3)).when(F.col("dates") == "week", listed(-7, -6, -5, -4, 4, 5, 6, 7)).otherwise(F.array(F.lit(None).cast("int")))
+    date = F.when(F.col("dates") == "same_day", cfg.same_day).when(F.col("dates") == "few_days", cfg.near_day).otherwise(0.0)
+    outlier = F.when(F.col("dates") == "extended", 0.9).otherwise(1.0)
+    rows, best = b.select("b_id", "b_date", "b_amount", "b_text", "b_quality", "b_transaction_id"), None
+    for amounts, dates in ROUNDS:
+        asks = rows.withColumn("least", F.lit(cfg.threshold))
+        if best is not None:
+            last = best.filter(F.col("rank") == cfg.top).select("b_id", F.col("score").alias("last"))
+            asks = asks.join(shuffled(last), "b_id", "left").withColumn("least", F.greatest("least", F.coalesce("last", F.lit(0.0)))).drop("last")
+        base = F.least(F.lit(1.0), F.lit(cfg.exact if amounts == "exact" else cfg.close) + date + cfg.text * F.col("text_similarity") + 0.1 * F.col("entity_bonus"))
+        most = lambda reference: 0.7 * F.least(F.lit(cap), base + reference + F.col("total_bonus")) + 0.3 * (0.3 + 0.25 * F.col("pattern_consistency") + 0.25 * outlier + 0.2) + 1e-6  # noqa: B023, E731
+        texts = cells.filter((F.col("amounts") == amounts) & F.col("dates").isin(dates)).filter(most(F.lit(cfg.reference)) >= cfg.threshold)
+        asks = asks.join(F.broadcast(texts), "b_text").filter(most(F.lit(cfg.reference)) >= F.col("least"))
+        asks = asks.withColumn("reference_bonus", reference_bonus(F.col("b_transaction_id"), F.col("_entry"), cfg.reference)).filter(most(F.col("reference_bonus")) >= F.col("least"))
+        asks = asks.withColumn("off", F.explode(off)).drop("_entry", "b_transaction_id", "amounts", "dates")
+        far = dates == ["extended"]
+        spread = asks.withColumn("span", F.explode(F.sequence(span("b_date", -cfg.max_days), span("b_date", cfg.max_days)))) if far else asks.withColumn("day", F.date_add("b_date", F.col("off")))
+        keyed = firsts.withColumn("span", span("e_date")) if far else firsts.withColumn("day", F.col("e_date"))
+        if amounts == "exact":
+            spread, keyed = spread.withColumn("cents", F.abs("b_amount")), keyed.withColumn("cents", F.abs("e_amount"))
+        else:
+            spread, keyed = spread.withColumn("cents", F.explode(F.sequence(bucket("b_amount", -larger - 1e-9), bucket("b_amount", larger + 1e-9)))), keyed.withColumn("cents", bucket("e_amount"))
+        keys = ["cents", "span" if far else "day", "e_text"]
+        pairs = shuffled(spread.drop("off").repartition(tasks, *keys)).join(keyed, keys).filter(valid(cfg))
+        pairs = pairs if amounts == "exact" else pairs.filter(F.abs("b_amount") != F.abs("e_amount"))
+        pairs = pairs.filter(F.abs(F.datediff("b_date", "e_date")) > 7) if far else pairs
+        pairs = learned_final(row_scores(pairs.drop(*keys[:2]), cfg), cfg, cap).filter(F.col("score") >= F.col("least")).select("b_id", "e_id", "score")
+        best = written(ranked(pairs if best is None else best.drop("rank").unionByName(pairs), cfg.top))
+    return best.select("b_id", "e_id")
 
 
 def find_matches_learned(bank: DataFrame, entries: DataFrame, patterns: DataFrame, hour: int, mode: str = "balanced", cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """M20 with history: of each bank row the best valid entries by the full score, with recommendation (M14), explanations (M13) and analysis.
 
     Validity comes before the cut, unlike in find_matches: a pair of any two rows of like text can reach the threshold by history
-    alone, so the other order would have to score all rows against all, only to drop what is no match. The analysis
-    has no D6, as it is about records, which these are not yet.
+    alone, so the other order would have to score all rows against all, only to drop what is no match. Where different texts are few, the best are found class
+    by class; else all valid candidates are scored. The analysis has no D6, as it is about records, which these are not yet.
     """
-    best = ranked(learned_pairs(bank, entries, patterns, hour, mode, cfg), cfg.top)
+    patterns = written(patterns)
+    b, e = learned_sides(bank, entries, patterns)
+    few_texts = one_a_text(b, "b").count() * one_a_text(e, "e").count() <= matching.FEW_TEXTS
+    by_class = few_texts and cfg.tolerance <= 0.04 and not finer_amounts(b, e)
+    met = best_learned(b, e, patterns, hour, mode, cfg) if by_class else written(valid_candidates(b, e, cfg, mode))
+    best = ranked(learned_scores(met, b, e, patterns, hour, mode, cfg), cfg.top)
     named = best.select("*", F.col("score").alias("match_score"), *[F.col(f"b_{c}").alias(f"bank_{c}") for c in ("amount", "date", "description", "category")], F.col("b_transaction_type").alias("bank_type"),
                         *[F.col(f"e_{c}").alias(f"entry_{c}") for c in ("amount", "date", "description", "category")], F.col("e_transaction_type").alias("entry_type"))
     judged = anomaly.analyze(named)

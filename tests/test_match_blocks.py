@@ -1,7 +1,7 @@
 """Blocks of matching against all pairs, by either way for texts to meet, and the plan that scores their pairs."""
 
 import pytest
-from ledgerloom.operators import matching
+from ledgerloom.operators import matching, stores, suggestions
 from ledgerloom.plans import adapters
 from ledgerloom.streaming import jobs
 from pyspark.sql import functions as F
@@ -75,3 +75,19 @@ def test_batches_tell_their_schema(spark, tmp_path):
     (tmp_path / "none").mkdir()
     nothing = jobs.run_batches(read("none"), str(tmp_path / "b"), work)
     assert nothing.columns == ["id", "twice", "batch"] and nothing.count() == 0
+
+
+def test_history_finds_the_best_without_all_valid_pairs(spark, monkeypatch):
+    """The best by classes are the best of all valid candidates, and these are not made where texts are few."""
+    bank, entries = adapters.bank_tx(spark, DIR).filter("id < 400"), adapters.ledger(spark, DIR).filter("id < 800")
+    entries = entries.unionByName(entries.withColumn("id", F.col("id") + 10_000).withColumn("date", F.date_add("date", (F.col("id") % 40).cast("int"))))
+    kinds = [("amount", "close", 50, 0.5), ("amount", "exact", 30, 0.3), ("date", "extended", 40, 0.9), ("date", "same_day", 40, 0.2), ("description", "tarifa bancaria mensal||tarifa mensal", 9, 0.09), ("supplier", "ltda", 9, 0.1), ("time", "hour_9", 9, 0.1)]
+    patterns = spark.createDataFrame([(*x, "high") for x in kinds], stores.PATTERNS)
+    cols = ["b_id", "e_id", "rank", "score", "patterns_used", "recommendation", "severity"]
+    for cfg in (matching.MatchConfig(threshold=0.6), matching.MatchConfig(threshold=0.5, top=2)):
+        monkeypatch.setattr(matching, "FEW_TEXTS", 0)
+        want = listed(suggestions.find_matches_learned(bank, entries, patterns, 9, cfg=cfg), *cols)
+        with monkeypatch.context() as none:
+            none.setattr(matching, "FEW_TEXTS", 200_000)
+            none.setattr(suggestions, "valid_candidates", None)
+            assert listed(suggestions.find_matches_learned(bank, entries, patterns, 9, cfg=cfg), *cols) == want and len(want) > 50
